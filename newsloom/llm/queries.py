@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, simhash
+from newsloom.llm import decontaminate, packing, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": decontaminate.query,
+    "op3_harmonic_packing": packing.query,
     "op4_simhash_groups": simhash.query,
+    "op6_token_counts": tokens.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
