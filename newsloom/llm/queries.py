@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, packing, simhash, tokens
+from newsloom.llm import decontaminate, langid, linefreq, packing, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": decontaminate.query,
     "op3_harmonic_packing": packing.query,
     "op4_simhash_groups": simhash.query,
+    "op5_language": langid.query,
     "op6_token_counts": tokens.query,
+    "op9_byte_shards": sharding.query,
+    "op10_line_frequency": linefreq.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
+    "op10_line_frequency": linefreq.SQL,
 }
