@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import table, written
-from newsloom.llm.tokens import VOCABULARY, slices, tokenizer_of
+from newsloom.llm.tokens import VOCABULARY, encoder_of, slices
 
 CAPACITY = 2048
 LEAST_PIECE = 32
@@ -59,15 +59,13 @@ def pieces(spark: SparkSession, docs: DataFrame, path: str, id_column: str, text
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks_of = tokenizer_of(sent)
+        encoder = encoder_of(sent)
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "size_class", *["ids"] * with_ids]
         for batch in batches:
             for part in slices(batch):
-                chunks, index, begin = chunks_of.cut(part.column(1))
-                coded = chunks_of.encode(chunks)
                 rows, of = [], []
-                for doc in range(len(part)):
-                    ids = b"".join([coded[i] for i in index[begin[doc] : begin[doc + 1]].tolist()] + [end])
+                for doc, text in enumerate(part.column(1).to_pylist()):
+                    ids = encoder.ids(text).astype("<u4").tobytes() + end
                     at, total = 0, len(ids) // 4
                     for length, size_class in cuts(total, capacity):
                         piece = ids[4 * at : 4 * (at + length)]

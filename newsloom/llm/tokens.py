@@ -8,8 +8,8 @@ slice of texts is looked up once.
 
 Counting uses the whole-token shortcut: `whole_tokens` proves offline, by the library itself, which
 vocabulary strings encode alone as one token; a pre-token among them counts 1 without any merging and
-the library merges only the rest. Chunks of plain Latin characters are cut into pre-tokens with the
-pattern of the vocabulary; any other chunk goes to the library whole.
+only the rest is merged. Chunks of plain Latin characters are cut into pre-tokens with the
+pattern of the vocabulary; any other chunk is encoded as it is.
 
 The tokenizer's file is read on the driver and sent to the tasks: a vocabulary doesn't grow with the
 data. Results for odd input: a null text counts as empty and has no tokens; rows with null ids and
@@ -28,6 +28,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,58 +38,42 @@ from newsloom.llm.common import table
 VOCABULARY = "byte_bpe_50k.json"
 #: Texts are handled in slices of about so many bytes, which bounds the memory of a task.
 SLICE_BYTES = 12_000_000
-#: A worker keeps the tokens of so many distinct chunks at most, then starts afresh.
-CACHED_CHUNKS = 400_000
 SPACES = r"\pZ\x09-\x0D\x1C-\x1F\x{85}"
 #: White space beside a space, or at an end: such a text isn't cut.
 UNCUT = f"^[{SPACES}]|[{SPACES}]$| [{SPACES}]|[{SPACES}] "
 LATIN = regex.compile("[\x21-\x7e\xa1-ɏ]+")
-_ready: dict[str, "Chunks"] = {}
+_ready: dict[str, "Encoder"] = {}
 
 
-class Chunks:
-    """A tokenizer in a worker, with what it has found for chunks so far."""
+class Encoder:
+    """A byte-level tokenizer in a worker.
+
+    Ordinary text is merged by tiktoken, given the vocabulary of the tokenizer's own file, in which the
+    number of a token is its rank among the merges; texts that hold an added token go to tokenizers.
+    """
 
     def __init__(self, definition: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_buffer(definition)
+        self.library = Tokenizer.from_buffer(definition)
         self.added = [t["content"] for t in json.loads(definition)["added_tokens"]]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.ids: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk, as bytes of unsigned 32-bit integers."""
-        if len(self.ids) > CACHED_CHUNKS:
-            self.ids.clear()
-        fresh = [c for c in chunks if c not in self.ids]
-        for chunk, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.ids[chunk] = np.array(found.ids, "<u4").tobytes()
-        return [self.ids[c] for c in chunks]
-
-    def count(self, chunks: list[str], whole: set[str]) -> list[int]:
-        if len(self.counts) > CACHED_CHUNKS:
-            self.counts.clear()
-        counts, parts, rest = self.counts, {}, {}
-        for chunk in chunks:
-            if chunk in counts:
-                continue
-            if chunk in whole:
-                counts[chunk] = 1
-                continue
-            latin = LATIN.fullmatch(chunk, 1 if chunk.startswith(" ") else 0) and not any(a in chunk for a in self.added)
-            cut = self.pattern.findall(chunk) if latin else [chunk]
-            left = [p for p in cut if p not in whole]
-            parts[chunk] = len(cut) - len(left), left
-            rest.update(dict.fromkeys(left))
-        merged = dict(zip(rest, map(len, self.tokenizer.encode_batch_fast(list(rest), add_special_tokens=False)), strict=True))
-        for chunk, (ones, left) in parts.items():
-            counts[chunk] = ones + sum(merged[p] for p in left)
-        return [counts[c] for c in chunks]
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(definition), special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        if any(a in text for a in self.added):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
+    def count(self, chunk: str, whole: set[str]) -> int:
+        """Tokens of a chunk: 1 for each pre-token that is proven whole; the rest is merged."""
+        if chunk in whole:
+            return 1
+        if LATIN.fullmatch(chunk, 1 if chunk.startswith(" ") else 0) and not any(a in chunk for a in self.added):
+            return sum(1 if p in whole else len(self.fast.encode_ordinary(p)) for p in self.pattern.findall(chunk))
+        return len(self.ids(chunk))
 
     def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct chunks, and for all texts the indices of their chunks and where each text's begin."""
-        texts = pc.fill_null(texts.cast(pa.string()), "")
         uncut = pc.match_substring_regex(texts, UNCUT)
         for content in self.added:
             uncut = pc.or_(uncut, pc.match_substring(texts, content))
@@ -109,11 +94,27 @@ class Chunks:
         return chunks, out, begin
 
 
-def tokenizer_of(sent) -> Chunks:
+def ranks(definition: bytes) -> dict[bytes, int]:
+    """The bytes of every ordinary token of a byte-level vocabulary."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # these bytes stand for themselves
+    byte_of = {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    found = json.loads(definition)
+    added = {t["id"] for t in found["added_tokens"]}
+    return {bytes(byte_of[c] for c in token): i for token, i in found["model"]["vocab"].items() if i not in added}
+
+
+def is_byte_level(definition: bytes) -> bool:
+    """Whether a .json tokenizer is plain byte-level BPE with the pattern of public_tokenizers."""
+    found = json.loads(definition)
+    cut = found.get("pre_tokenizer") or {}
+    return found.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and found["model"].get("type") == "BPE"
+
+
+def encoder_of(sent) -> Encoder:
     token, definition = sent.value[:2]
     if token not in _ready:
         _ready.clear()
-        _ready[token] = Chunks(definition)
+        _ready[token] = Encoder(definition)
     return _ready[token]
 
 
@@ -141,15 +142,15 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, id_column: str
     with open(path, "rb") as f:
         definition = f.read()
     picked = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    byte_level = path.endswith(".json") and b'"ByteLevel"' in definition and '"add_prefix_space": true' not in json.dumps(json.loads(definition).get("pre_tokenizer"))
+    byte_level = path.endswith(".json") and is_byte_level(definition)
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, definition, whole_tokens(definition) if byte_level else None))
 
     def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks_of, whole = tokenizer_of(sent), sent.value[2]
+        encoder, whole = encoder_of(sent), sent.value[2]
         for batch in batches:
             for part in slices(batch):
-                chunks, index, begin = chunks_of.cut(part.column(1))
-                counts = np.array(chunks_of.count(chunks, whole), np.int64)[index]
+                chunks, index, begin = encoder.cut(part.column(1))
+                counts = np.fromiter((encoder.count(c, whole) for c in chunks), np.int64, len(chunks))[index]
                 tokens = np.add.reduceat(counts, begin[:-1]) if len(part) else counts
                 yield pa.RecordBatch.from_arrays([part.column(0), pc.binary_length(part.column(1)).cast(pa.int64()), pa.array(tokens)], ["id", "n_bytes", "n_tokens"])
 
