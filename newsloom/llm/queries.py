@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, langid, linefreq, packing, sharding, simhash, tokens
+from newsloom.llm import decontaminate, katz, langid, linefreq, packing, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz_scores": katz.query,
     "op2_decontaminate": decontaminate.query,
     "op3_harmonic_packing": packing.query,
     "op4_simhash_groups": simhash.query,
