@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, katz, langid, linefreq, packing, quality, sharding, simhash, tokens
+from newsloom.llm import chroma, decontaminate, katz, langid, linefreq, packing, quality, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_scores": katz.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_groups": simhash.query,
     "op5_language": langid.query,
     "op6_token_counts": tokens.query,
+    "op7_chroma": chroma.query,
     "op8_quality": quality.query,
     "op9_byte_shards": sharding.query,
     "op10_line_frequency": linefreq.query,
