@@ -148,24 +148,6 @@ def near_duplicate_groups(
     return rows.join(named, rows.fp == named.class_fp).select("id", "fp", "component_id")
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """docs with only the least id of each group of near duplicates.
-
-    Rows without an id stay; of rows with the same id the first in the order of their texts stays.
-    """
-    groups = written(spark, near_duplicate_groups(spark, docs, id_column, text_column, width, distance), "groups")
-    out = groups.where("id <> component_id").select(F.col("id").alias("copy_id"))
-    kept = docs.join(out.distinct().hint("shuffle_hash"), docs[id_column] == F.col("copy_id"), "left_anti")
-    again = groups.where("id = component_id").groupBy("id").count().where("count > 1").select(F.col("id").alias("again_id"))
-    again = written(spark, again, "again")
-    if again.limit(1).count() == 0:
-        return kept
-    marked = kept.join(again.withColumn("repeated", F.lit(True)), kept[id_column] == F.col("again_id"), "left")
-    order = F.struct(F.col(text_column), *[F.to_json(F.struct(F.col(c))) for c in docs.columns if c not in (id_column, text_column)])
-    rows = marked.where("repeated").groupBy(id_column).agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
-    return marked.where("repeated IS NULL").select(docs.columns).unionByName(rows)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(spark, table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
