@@ -1 +1 @@
-"""Spark-native building blocks of newsloom."""
+"""Column functions: text, URLs, times and scores."""

@@ -1 +1 @@
-"""Spark-native building blocks of newsloom."""
+"""Operators on histories and candidate items, DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""Spark-native building blocks of newsloom."""
+"""Whole runs: a profile from a history, a feed from candidates and a profile."""

@@ -1 +1 @@
-"""Spark-native building blocks of newsloom."""
+"""Readers: configuration, saved pages, histories, feeds and state."""

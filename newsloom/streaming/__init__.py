@@ -1 +1 @@
-"""Spark-native building blocks of newsloom."""
+"""Streams of candidate items: lateness and repeats natively, selection per micro-batch."""
