@@ -72,10 +72,9 @@ def hits(texts: DataFrame, terms: Terms) -> DataFrame:
     """
     keys = [c for c in texts.columns if c != "text"]
     clean = texts.select(*keys, nfkc(text_of("text")).alias("text"))
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), 1))
-    forms = F.array_union(
-        F.transform(words, lambda w: F.struct(F.lit(True).alias("cased"), w.alias("word"))), F.transform(words, lambda w: F.struct(F.lit(False).alias("cased"), F.lower(w).alias("word")))
-    )
+    clean = clean.withColumn("words", F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), 1)))
+    form = lambda cased, words: F.transform(words, lambda w: F.struct(F.lit(cased).alias("cased"), w.alias("word")))
+    forms = F.concat(form(True, F.col("words")), form(False, F.array_distinct(F.transform("words", F.lower))))
     lowered = F.lower("text")
     found = [F.when(F.col("text").rlike(p), F.lit(i)) for i, p in terms.patterns] + [F.when(lowered.contains(p), F.lit(i)) for i, p in terms.parts]
     met = clean.select(*keys, F.explode(forms).alias("form")).select(*keys, "form.cased", "form.word").join(F.broadcast(terms.words), ["cased", "word"]).select(*keys, "term")

@@ -15,7 +15,7 @@ EXAMPLES = 3
 
 def retained(records: DataFrame, now: Column, days: int = KEEP_DAYS, column: str = "selected_at") -> DataFrame:
     """Records of less than that many days ago."""
-    return records.where(now.cast("double") - F.col(column).cast("double") < days * 86400)
+    return records.where(now.cast("timestamp").cast("double") - F.col(column).cast("timestamp").cast("double") < days * 86400)
 
 
 def unseen(rows: DataFrame, seen: DataFrame, url_column: str = "link", seen_column: str = "link") -> DataFrame:

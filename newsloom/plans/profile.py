@@ -40,9 +40,12 @@ def running_max(rows: DataFrame, order: str, value: Column, name: str, key: str
     tops = cut.groupBy(*keys, "bucket").agg(F.max(name).alias("top"))
     carried = tops.select(*keys, "bucket", F.max("top").over(above).alias("carried"))
     within = Window.partitionBy(*keys, "bucket").orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = cut.withColumn(name, F.max(name).over(within)).join(carried.withColumnRenamed("bucket", "at"), (F.col("bucket") == F.col("at")) if not key else [F.col("bucket") == F.col("at"), cut[key].eqNullSafe(carried[key])])
-    out = [cut[c] if c == key else F.col(c) for c in rows.columns]
-    return joined.select(*out, F.greatest(name, "carried").alias(name))
+    carried = carried.withColumnsRenamed({"bucket": "at_bucket"} | {k: f"at_{k}" for k in keys})
+    met = F.col("bucket") == F.col("at_bucket")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"at_{k}"))
+    joined = cut.withColumn(name, F.max(name).over(within)).join(carried, met)
+    return joined.select(*rows.columns, F.greatest(name, "carried").alias(name))
 
 
 def with_est_read(history: DataFrame) -> DataFrame:
