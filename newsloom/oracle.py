@@ -65,6 +65,8 @@ normal AS (SELECT page_id, url, {NORMAL_URL} AS n FROM pairs)"""
 READS = f"reads AS (SELECT page_id, url, {HOST.format('url')} AS domain, regexp_extract({HOST.format('url')}, '^([^.]+)', 1) AS source FROM pages)"
 KNOWN_SOURCES = f"known AS (SELECT source FROM reads GROUP BY 1 HAVING count(*) >= {LEAST_READS})"
 UNESCAPE = "trim(regexp_replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+TITLE = UNESCAPE.format("regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g')")
+TITLE_TOKENS = f"headlines AS (SELECT page_id AS doc_id, {TITLE} AS text FROM pages), " + f"{TOKENS}, {IDF}, {CLASSES}".replace("documents", "headlines")
 SPAM = [Topic("spam", ["cheap", "pills", "farm"]), Topic("ththe", ["that"])]
 TITLED = "titled AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, url FROM pages)"
 VIA = "CASE doc_id % 3 WHEN 0 THEN 'RSS' WHEN 1 THEN 'はてブ検索' ELSE 'Googleニュース' END"
@@ -111,7 +113,7 @@ count(*) FILTER (WHERE regexp_matches(text, '[぀-ヿ一-鿿]')) AS japanese_tit
 coalesce(array_to_string(list_sort(list(DISTINCT left(day, 4)) FILTER (WHERE age > 300)), ','), '') AS old_items_published_years, count(DISTINCT source || '/' || doc_id) AS known_urls_count FROM d""",
     "url_normalize": f"WITH {NORMALISED} SELECT page_id, n AS url, {HOST.format('url')} AS domain FROM normal",
     "seen_urls": f"WITH {NORMALISED} SELECT page_id, url AS link FROM normal WHERE page_id % 2 = 1 AND n NOT IN (SELECT n FROM normal WHERE page_id % 2 = 0)",
-    "page_extract": f"""SELECT page_id, {UNESCAPE.format("regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g')")} AS title,
+    "page_extract": f"""SELECT page_id, {TITLE} AS title,
 {UNESCAPE.format("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]+>', ' ', 'g')")} AS article FROM pages""",
     "saved_dates": "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS saved, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS feed FROM events",
     "name_and_language": "SELECT p_partkey, lower(replace(p_name, ' ', '')) AS name, CASE WHEN regexp_matches(p_name, '[぀-ヿ一-鿿]') THEN 'ja' ELSE 'en' END AS lang FROM part",
@@ -129,8 +131,8 @@ per AS (SELECT doc_id, sum(tw * rel) AS total, count(*) AS n FROM rel GROUP BY 1
 SELECT d.doc_id, coalesce(round(total * pow(0.5, (d.doc_id % 80) / 72.0) * CASE WHEN d.doc_id % 3 = 2 THEN 0.85 ELSE 1.0 END, 4), 0.0) AS score, coalesce(best.topic, '') AS primary, CAST(coalesce(n, 0) AS INTEGER) AS n_topics
 FROM documents d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN best ON d.doc_id = best.doc_id AND k = 1""",
     "idf": f"WITH {TOKENS}, {IDF} SELECT w AS token, df, round(idf, 9) AS idf FROM idf",
-    "story_classes": f"WITH {TOKENS}, {CLASSES} SELECT doc_id, min(doc_id) OVER (PARTITION BY ws) AS class_id FROM sets",
-    "story_pairs": f"""WITH {TOKENS}, {IDF}, {CLASSES}, reps AS (SELECT min(doc_id) AS doc_id FROM sets WHERE len(ws) > 0 GROUP BY ws),
+    "story_classes": f"WITH {TITLE_TOKENS} SELECT doc_id AS page_id, min(doc_id) OVER (PARTITION BY ws) AS class_id FROM sets",
+    "story_pairs": f"""WITH {TITLE_TOKENS}, reps AS (SELECT min(doc_id) AS doc_id FROM sets WHERE len(ws) > 0 GROUP BY ws),
 held AS (SELECT doc_id, w, idf FROM tok JOIN reps USING (doc_id) JOIN idf USING (w)), total AS (SELECT doc_id, sum(idf) AS s FROM held GROUP BY 1),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.idf) AS s FROM held a JOIN held b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a, b, round(sim, 6) AS similarity FROM (SELECT a, b, shared.s / (x.s + y.s - shared.s) AS sim FROM shared JOIN total x ON a = x.doc_id JOIN total y ON b = y.doc_id) WHERE round(sim, 12) >= 0.3""",

@@ -1,7 +1,8 @@
 """The library's operators as queries over the driver's tables, with SQL where SQL can express them.
 
-The tables have no reading history and no feeds, so documents stand for articles (the whole text is the
-title), their sources for media and pages for links; a date is the reference date less the id modulo 400 in days.
+The tables have no reading history and no feeds. Documents stand for articles where whole texts are matched,
+their sources for media; a date is the reference date less the id modulo 400 in days. Pages stand for
+articles where titles are compared: titles are short, and so are the prefixes that a story join runs over.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from newsloom.plans.profile import (
 )
 from newsloom.sinks.feed import description, guid, local_day
 from newsloom.sources.config import Topic
-from newsloom.sources.feeds import VIA
+from newsloom.sources.feeds import SUMMARY_CHARS, VIA
 from newsloom.sources.pages import page_title
 from newsloom.sources.state import Profile
 from newsloom.streaming.items import domain_counts
@@ -96,6 +97,17 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as candidate items: their title, their article as a summary of at most 300 characters, their host as the source."""
+    host, article = domain_of("url"), plain(F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1))
+    via = F.element_at(F.array(*map(F.lit, VIA.values())), (F.col("page_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("ord"), page_title(F.col("html")).alias("title"), F.col("url").alias("link"), host.alias("source"), via.alias("via"), F.lit("c").alias("collector"), F.lit("f").alias("feed_url"),
+        host.alias("domain"), F.timestamp_seconds(F.unix_seconds(F.lit(NOW)) - (F.col("page_id") % 80) * 3600).alias("published"), F.left(article, F.lit(SUMMARY_CHARS)).alias("summary"),
+        F.regexp_extract("url", "/(en|fr|de|es)/", 1).alias("lang"), host.alias("source_topics"),
+    )
+
+
 def topic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match_topics(spark, documents(spark, sf_dir), TOPICS, "doc_id", "text")
     return found.select("doc_id", "topic", F.array_join("keywords", ",").alias("keywords"))
@@ -243,7 +255,7 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), story_tokens("text").alias("tokens"))
+    return headlines(spark, sf_dir).select("ord", story_tokens("title").alias("tokens"))
 
 
 def story_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +265,7 @@ def story_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _classes(rows: DataFrame) -> DataFrame:
     least = rows.groupBy("key").agg(F.min("ord").alias("class_id"))
-    return rows.join(least, "key").select(F.col("ord").alias("doc_id"), "class_id")
+    return rows.join(least, "key").select(F.col("ord").alias("page_id"), "class_id")
 
 
 def story_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +276,7 @@ def story_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(spark, titles(spark, sf_dir), "titles")
-    return story_clusters(spark, rows, document_frequencies(rows)).select(F.col("ord").alias("doc_id"), "story")
+    return story_clusters(spark, rows, document_frequencies(rows)).select(F.col("ord").alias("page_id"), "story")
 
 
 def rep_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,10 +293,10 @@ def quota_cap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diverse_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = with_scores(spark, articles(spark, sf_dir), PROFILE.topics, PROFILE.weights, PROFILE.keyword_weights, F.lit(NOW)).withColumns({"tokens": story_tokens("title"), "buzz": F.lit(1.0)})
+    scored = with_scores(spark, headlines(spark, sf_dir), PROFILE.topics, PROFILE.weights, PROFILE.keyword_weights, F.lit(NOW)).withColumns({"tokens": story_tokens("title"), "buzz": F.lit(1.0)})
     rows = written(spark, scored.where("primary <> ''"), "scored")
     picked = diverse_selection(rows, document_frequencies(rows).select("token", "idf"), [(n, round(a * 30)) for n, a in PROFILE.allocation.items()], 30, 4)
-    return spark.createDataFrame([(o, i) for i, o in enumerate(picked.ords)], "doc_id long, place int")
+    return spark.createDataFrame([(o, i) for i, o in enumerate(picked.ords)], "page_id long, place int")
 
 
 def found_media(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
@@ -323,9 +335,9 @@ def feed_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole feed run over documents as candidates: what it selects, best first."""
-    found = rank(spark, articles(spark, sf_dir), PROFILE, BLOCKED, NOW, languages=LANGUAGES)
-    return found.selected.select(F.col("item_ord").alias("doc_id"), "score", "primary", "source")
+    """A whole feed run over headlines: what it selects, best first."""
+    found = rank(spark, headlines(spark, sf_dir), PROFILE, BLOCKED, NOW, languages=LANGUAGES)
+    return found.selected.select(F.col("item_ord").alias("page_id"), "score", "primary", "source")
 
 
 def processing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
