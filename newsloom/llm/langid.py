@@ -57,10 +57,10 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return out, begin
 
 
-def slices_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def slices_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
     first, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
+    for i, size in enumerate(pc.fill_null(pc.utf8_length(texts.cast(pa.string())), 0).to_pylist()):
+        held += size
         if held >= SLICE_CHARS:
             yield first, i + 1
             first, held = i + 1, 0
@@ -74,10 +74,10 @@ def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "l
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}  # the last entry: number of texts
         for batch in batches:
-            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, last in slices_of(texts):
-                for label in set(labels[first:last]):
-                    of = [t for t, x in zip(texts[first:last], labels[first:last], strict=True) if x == label]
+            for first, last in slices_of(batch.column(1)):
+                labels, texts = (batch.column(c).slice(first, last - first).to_pylist() for c in (0, 1))
+                for label in set(labels):
+                    of = [t for t, x in zip(texts, labels, strict=True) if x == label]
                     held = sums.setdefault(label, np.zeros(BUCKETS + 2, np.int64))
                     held[-1] += len(of)
                     for numbers in grams(of)[0]:
@@ -110,10 +110,9 @@ def scorer(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarray])
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         languages, priors, logs = sent.value
         for batch in batches:
-            texts = pc.fill_null(batch.cast(pa.string()), "").to_pylist()
             names, scores = [], []
-            for first, last in slices_of(texts):
-                part = texts[first:last]
+            for first, last in slices_of(batch):
+                part = pc.fill_null(batch.slice(first, last - first).cast(pa.string()), "").to_pylist()
                 if not languages:
                     names += [UNKNOWN] * len(part)
                     scores += [0.0] * len(part)
