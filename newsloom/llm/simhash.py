@@ -29,6 +29,7 @@ from newsloom.llm.common import table, written
 
 SEED = 42
 SLICE = 1 << 16
+BLOCK_NODES = 1_000_000
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -115,13 +116,49 @@ def star_edges(fingerprints: DataFrame, distance: int) -> DataFrame:
     return postings.mapInArrow(run, "src long, dst long").distinct()
 
 
+def block_stars(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) from every node to the smallest one that its block of edges joins it to.
+
+    Blocks hold about BLOCK_NODES nodes, whatever the table's size, and their stars connect what the
+    edges do: a group that many postings have linked keeps one edge per member in each block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(node: int) -> int:
+            while (above := up.setdefault(node, node)) != node:
+                up[node] = up[above]
+                node = up[node]
+            return node
+
+        def stars() -> pa.RecordBatch:
+            found = [(node, least) for node in list(up) if (least := root(node)) != node]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["src", "dst"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+            if len(up) > BLOCK_NODES:
+                yield stars()
+                up.clear()
+        yield stars()
+
+    return edges.mapInArrow(run, "src long, dst long")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, for all nodes with an edge.
 
-    Every round takes the least root among a node's neighbours and then the root's own root, and is
-    written to the shared folder; it ends when no root changes.
+    First large blocks of edges are cut down to stars. Every round then takes the least
+    root among a node's neighbours and the root's own root, and is written to the shared folder; it
+    ends when no root changes.
     """
-    links = written(spark, edges.union(edges.select("dst", "src")).distinct(), "links")
+    found = written(spark, edges, "edges")
+    blocks = max(1, -(-found.count() // BLOCK_NODES))
+    kept = written(spark, block_stars(found.coalesce(blocks)), "stars")
+    links = written(spark, kept.union(kept.select("dst", "src")).distinct(), "links")
     roots = links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("root"))
     roots = written(spark, roots, "roots")
     while True:
