@@ -4,11 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch: Spark's default of 10,000 whole texts takes several times their size in a task.
+ARROW_ROWS, ARROW_BYTES = 2_000, 16_000_000
+
+
+def with_small_batches(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query or stage (spark, ...) that hands texts to Python in small Arrow batches; a session's own setting stays."""
+
+    @wraps(step)
+    def run(spark: SparkSession, *args):
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        return step(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,6 +33,8 @@ from newsloom.llm.tokens import VOCABULARY, encoder_of, slices
 CAPACITY = 2048
 LEAST_PIECE = 32
 END_ID = 1
+#: Texts are handled in slices of about so many bytes, with their pieces beside them.
+SLICE_BYTES = 3_000_000
 #: About so many pieces are numbered together.
 BUCKET_PIECES = 200_000
 
@@ -62,7 +64,7 @@ def pieces(spark: SparkSession, docs: DataFrame, path: str, id_column: str, text
         encoder = encoder_of(sent)
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "size_class", *["ids"] * with_ids]
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 rows, of = [], []
                 for doc, text in enumerate(part.column(1).to_pylist()):
                     ids = encoder.ids(text).astype("<u4").tobytes() + end

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import chroma, decontaminate, katz, langid, linefreq, packing, quality, sharding, simhash, tokens
+from newsloom.llm.common import with_small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_scores": katz.query,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_shards": sharding.query,
     "op10_line_frequency": linefreq.query,
 }
+QUERIES = {name: with_small_batches(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
