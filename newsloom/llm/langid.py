@@ -30,7 +30,7 @@ SMOOTHING = 0.5
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
 #: Characters handled at once, which bounds the memory of a task.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 
 PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
