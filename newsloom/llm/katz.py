@@ -59,7 +59,8 @@ ASKED = "order int, shard int, batch long, keys binary, counts binary"
 ANSWERED = "shard int, batch long, answers binary, order int"
 FOUND = """batch long, place int, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double,
     order int, shard int, keys binary, masses binary, lower binary, wanted binary, docs binary"""
-WEIGHED = "shard int, batch long, place int, log_weight double, keys binary, weights binary, order int"
+WEIGHED = "shard int, batch long, places binary, log_weights binary, keys binary, weights binary, order int"
+SUMMED = "batch long, place int, log_weight double"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -273,7 +274,7 @@ def scored(batch: dict, answers: list[np.ndarray], discounts: list[Discounts], b
 
 
 def weigh(group: pa.Table) -> pa.Table:
-    """The backoff weights of a shard's contexts, and the sums of their logarithms by document."""
+    """The backoff weights of a shard's contexts, and for each batch the sums of their logarithms by document, packed."""
     rows = group.to_pylist()
     keys = np.concatenate([unpacked_keys(r["keys"]) for r in rows])
     distinct, places = np.unique(keys, return_inverse=True)
@@ -287,10 +288,19 @@ def weigh(group: pa.Table) -> pa.Table:
         if len(wanted):
             docs, which = np.unique(unpacked(r["docs"]), return_inverse=True)
             sums = np.bincount(which, logs[np.searchsorted(distinct, wanted)], len(docs))
-            out += [(shard, r["batch"], int(d), float(s), None, None, order) for d, s in zip(docs, sums, strict=True)]
+            out.append((shard, r["batch"], packed(docs), packed(sums), None, None, order))
     return pa.Table.from_batches([rows_to_batch(out, WEIGHED)])
 
 
+def summed(group: pa.Table) -> pa.Table:
+    """What all shards reply to a batch, added up by document."""
+    rows = group.to_pylist()
+    places = np.concatenate([unpacked(r["places"]).astype(np.int64) for r in rows])
+    distinct, which = np.unique(places, return_inverse=True)
+    sums = np.bincount(which, np.concatenate([unpacked(r["log_weights"]) for r in rows]), len(distinct))
+    return pa.table({"batch": pa.array([rows[0]["batch"]] * len(distinct), pa.int64()), "place": pa.array(distinct, pa.int32()), "log_weight": pa.array(sums, pa.float64())})
+
+
 def in_partitions(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df as a written table partitioned by order, its last column."""
     path = f"{shared_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
@@ -324,7 +334,7 @@ def katz_scores(spark: SparkSession, docs: DataFrame, held_out, id_column: str =
     found = written(spark, batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(score, FOUND), "scored")
     contexts = found.where("order IS NOT NULL").select("order", "shard", "batch", "keys", "masses", "lower", "wanted", "docs")
     weighed = in_partitions(spark, contexts.groupBy("order", "shard").applyInArrow(weigh, WEIGHED), "weights")
-    backed_off = weighed.where("batch >= 0").groupBy("batch", "place").agg(F.sum("log_weight").alias("log_weight"))
+    backed_off = weighed.where("batch >= 0").groupBy("batch").applyInArrow(summed, SUMMED)
     rows = found.where("order IS NULL").join(backed_off, ["batch", "place"], "left")
     return rows.select(
         "id",
