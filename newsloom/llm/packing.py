@@ -110,17 +110,19 @@ def harmonic_packing(
     buckets = max(1, -(-cut.count() // BUCKET_PIECES))
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets)))
     sizes = dealt.groupBy("bucket", "size_class").agg(F.count("*").alias("held"))
-    number = F.row_number().over(Window.partitionBy("bucket", "size_class").orderBy("id", "start", "length", "ids_crc32", "doc_tokens")) - 1
-    numbered = dealt.withColumn("number", number).join(sizes, ["bucket", "size_class"]).withColumn("bin", F.floor(F.col("number") / F.col("size_class")))
+    in_order = Window.partitionBy("bucket", "size_class").orderBy("id", "start", "length", "ids_crc32", "doc_tokens")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.withColumns({"number": F.row_number().over(in_order) - 1, "before": F.sum("length").over(so_far) - F.col("length")})
+    opened = F.max(F.when(F.col("number") % F.col("size_class") == 0, F.col("before"))).over(so_far)  # lengths up to the bin's first piece
+    placed = placed.withColumn("offset", F.col("before") - opened)
+    numbered = placed.join(sizes, ["bucket", "size_class"]).withColumn("bin", F.floor(F.col("number") / F.col("size_class")))
     full = F.col("bin") < F.floor(F.col("held") / F.col("size_class"))
     result = [*cut.columns, "sequence_id", "offset"]
 
     def name(size_class, bin_number):  # bucket, class and bin in one long; class 0: what was left over
         return F.shiftleft(F.col("bucket"), 44) + F.shiftleft(size_class.cast("long"), 32) + bin_number
 
-    filled = numbered.where(full).withColumns(
-        {"sequence_id": name(F.col("size_class"), F.col("bin")), "offset": (F.col("number") % F.col("size_class")) * F.col("length")}
-    )
+    filled = numbered.where(full).withColumn("sequence_id", name(F.col("size_class"), F.col("bin")))
     left = numbered.where(~full).select("bucket", *cut.columns)
 
     def together(group: pd.DataFrame) -> pd.DataFrame:
