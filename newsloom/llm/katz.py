@@ -48,7 +48,7 @@ from pyspark.taskcontext import TaskContext
 from newsloom.llm.common import is_held_out, shared_dir, table, written
 from newsloom.llm.tokens import slices
 
-ORDER = 2
+ORDER = 3
 CUTOFF = 5
 BATCH_BYTES = 8_000_000
 SHARD_TOKENS = 4_000_000
