@@ -55,6 +55,20 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str) -> str:
+    """A column name that no table of a user has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+#: Up to so many rows of keys are broadcast; beyond that both sides of the join are shuffled.
+BROADCAST_KEYS = 500_000
+
+
+def sized(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """A written table of keys with the hint that its size allows."""
+    return F.broadcast(keys) if keys.count() <= limit else keys.hint("shuffle_hash")
+
+
 def id_fold(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; null for a null id."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus

@@ -11,8 +11,9 @@ benchmark is cut into blocks of whole items by a hash; the documents then pass o
 the other and carry their hits along in a column, written to the shared folder between blocks.
 
 Results for odd input: a null or empty text has no words and no hits; items without an id or without
-words are ignored; an item id that occurs twice counts once; repeated documents are each returned;
-columns that aren't named are ignored.
+words are ignored; an item id that occurs twice counts once; a window that several items share hits each
+of them; very long texts are scanned like others, a text at a time; repeated documents are each returned;
+columns that aren't named are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import table, written
+from newsloom.llm.common import fresh, table, written
 
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 NORMAL = bytes(c if 0x30 <= c <= 0x39 or c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() and c < 0x80 else 0x20 for c in range(256))
@@ -163,15 +164,17 @@ def original_spans(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Arra
 
 def contaminated_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """(id, spans, items) of the documents with a hit; spans are offsets in the original text."""
-    hits = with_hits(spark, docs.select(id_column, text_column), benchmark, text_column, **options)
+    hits = with_hits(spark, docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("words_of")), benchmark, "words_of", **options)
     hit = hits.where(F.size("benchmark_hits.items") > 0)
-    return hit.select(id_column, original_spans(text_column, "benchmark_hits.starts", "benchmark_hits.ends").alias("spans"), F.col("benchmark_hits.items").alias("items"))
+    spans = original_spans("words_of", "benchmark_hits.starts", "benchmark_hits.ends").alias("spans")
+    return hit.select(F.col("id").alias(id_column), spans, F.col("benchmark_hits.items").alias("items"))
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the rows that hold a window of the benchmark."""
-    hits = with_hits(spark, docs, benchmark, **options)
-    return hits.where(F.size("benchmark_hits.items") == 0).select(*docs.columns)
+    found = fresh("hits")
+    hits = with_hits(spark, docs, benchmark, column=found, **options)
+    return hits.where(F.size(f"{found}.items") == 0).select(*docs.columns)
 
 
 def items_digest(items: list[str]) -> str:

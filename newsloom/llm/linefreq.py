@@ -1,17 +1,21 @@
 """Line deduplication by site-relative frequency.
 
 For every site (host) the pages that contain a line are divided by all its pages. Lines above the
-boilerplate ratio, on at least `least_pages` pages, are dropped from that site's pages.
+boilerplate ratio are dropped from that site's pages, if they repeat at all: a line on one page alone
+is no duplicate (`least_pages`, two), however few pages its site has.
 
 A page counts once for each distinct line. Lines are told apart by a 64-bit hash while they are
 counted, summed up before they are shuffled, so a hot line or host costs one row a task. What exceeds
 the ratio is bounded: a host has at most (its mean number of distinct lines) / ratio such lines. They
 are joined to the pages as one array a host: broadcast if their number is within a checked bound, with
-a shuffled join otherwise. Texts are cut and joined again where they are, without a shuffle.
+a shuffled join otherwise. Texts are cut and joined again where they are, without a shuffle; a page
+meets its site's lines in a hash set, once.
 
 Results for odd input: lines that are blank are never dropped; a null text stays null and counts as a
-page without lines; rows with a null host are a site of their own; repeated rows are pages of their own;
-the other columns are passed on.
+page without lines; an empty text stays empty; very long texts are handled in one piece; rows with a null
+host are a site of their own; a line exactly at the ratio stays; repeated rows are pages of their own; an
+empty table gives an empty one; the other columns are passed on, whatever their names (but for the two
+that a report adds, which may not be there before).
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import table, written
+from newsloom.llm.common import fresh, table, written
 
 RATIO = 0.05
-LEAST_PAGES = 5
+LEAST_PAGES = 2
 #: Up to so many boilerplate lines (of 8 bytes each) are broadcast.
 BROADCAST_LINES = 500_000
 
@@ -53,20 +57,28 @@ def without_boilerplate(
     spark: SparkSession, pages: DataFrame, host: Column, text_column: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, report: bool = False
 ) -> DataFrame:
     """pages with the text rid of its site's boilerplate lines; with `report` also n_lines and n_dropped."""
+    if report and {"n_lines", "n_dropped"} & set(pages.columns):
+        raise ValueError("a report adds n_lines and n_dropped, which the pages have already")
     found = written(spark, boilerplate(pages, host, text_column, ratio, least_pages), "boilerplate")
-    sites = found.groupBy(F.col("site").alias("boilerplate_site")).agg(F.collect_list("line").alias("boilerplate_lines"))
+    own_site, own_lines, done = fresh("site"), fresh("lines"), fresh("done")
+    sites = found.groupBy(F.col("site").alias(own_site)).agg(F.collect_list("line").alias(own_lines))
     if found.count() <= BROADCAST_LINES:
         sites = F.broadcast(sites)
-    joined = pages.join(sites, F.coalesce(host, F.lit("\0")) == F.col("boilerplate_site"), "left")
+    joined = pages.join(sites, F.coalesce(host, F.lit("\0")) == F.col(own_site), "left")
     lines = lines_of(F.col(text_column))
-    kept = F.filter(lines, lambda x: is_blank(x) | ~F.array_contains("boilerplate_lines", F.xxhash64(x)))
-    result = F.when(F.col("boilerplate_lines").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n"))
-    out = [result.alias(text_column) if c == text_column else F.col(c) for c in pages.columns]
+
+    def rid(bad: Column) -> Column:
+        kept = F.filter(lines, lambda x: is_blank(x) | ~F.array_contains(bad, F.xxhash64(x)))
+        return F.struct(F.array_join(kept, "\n").alias("text"), F.size(kept).alias("n_kept"))
+
+    # an array of one element binds what page and site share, so that it is found once and not for each line
+    shared = F.array(F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col(own_lines)))
+    marked = joined.withColumn(done, F.when(F.col(own_lines).isNotNull() & F.col(text_column).isNotNull(), F.transform(shared, rid)[0]))
+    out = [F.coalesce(F.col(f"{done}.text"), F.col(text_column)).alias(text_column) if c == text_column else F.col(c) for c in pages.columns]
     if report:
-        n = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(lines)).cast("long")
-        dropped = F.when(F.col("boilerplate_lines").isNull() | F.col(text_column).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
-        out += [n.alias("n_lines"), dropped.alias("n_dropped")]
-    return joined.select(out)
+        n = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(lines))
+        out += [n.cast("long").alias("n_lines"), F.coalesce(n - F.col(f"{done}.n_kept"), F.lit(0)).cast("long").alias("n_dropped")]
+    return marked.select(out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_matches_brute_force(spark, monkeypatch):
 
 def test_counts_of_dropped_lines(spark):
     pages = spark.createDataFrame(rows_of(), "doc_id long, source string, text string")
-    got = {r.doc_id: r for r in linefreq.without_boilerplate(spark, pages, F.col("source"), report=True).collect()}
+    got = {r.doc_id: r for r in linefreq.without_boilerplate(spark, pages, F.col("source"), least_pages=5, report=True).collect()}
     assert (got[0].n_lines, got[0].n_dropped) == (6, 3) and (got[202].n_lines, got[202].n_dropped) == (0, 0) and got[200].n_dropped == 0
 
 
