@@ -10,10 +10,21 @@ from newsloom.functions.text import text_of
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 SAVED_DATE = "^\\s*\\w+, (\\d+) (\\w+) (\\d{4}) (\\d+):(\\d+):(\\d+) GMT([+-])(\\d+)(?::?(\\d\\d))?"
 
+# Zones that mail and feeds call by name.
+ZONES = {
+    "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "AST": "-0400", "ADT": "-0300", "EST": "-0500", "EDT": "-0400",
+    "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700", "JST": "+0900",
+}
+
 
 def feed_time(text: str | Column) -> Column:
-    """An RFC 822 or ISO 8601 time, or null."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(text_of(text)), "^[A-Za-z]+,\\s*", ""), "(GMT|UTC|UT|Z)$", "+0000")
+    """An RFC 822 time (zones by name or offset, years of two or four digits) or an ISO 8601 time, or null."""
+    t = F.regexp_replace(F.trim(text_of(text)), "^[A-Za-z]+,\\s*", "")
+    t = F.regexp_replace(t, "^(\\d{1,2} +[A-Za-z]{3}) +([0-6]\\d) ", "$1 20$2 ")
+    t = F.regexp_replace(t, "^(\\d{1,2} +[A-Za-z]{3}) +([7-9]\\d) ", "$1 19$2 ")
+    zone = F.upper(F.regexp_extract(t, "[\\d ]([A-Za-z]{1,4})$", 1))
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), zone)
+    t = F.when(offset.isNotNull(), F.concat(F.regexp_replace(t, " *[A-Za-z]+$", ""), F.when(t.rlike("^\\d{4}-"), "").otherwise(" "), offset)).otherwise(t)
     t = F.regexp_replace(t, "([+-]\\d\\d):(\\d\\d)$", "$1$2")
     forms = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd'T'HH:mm:ssZ", "yyyy-MM-dd'T'HH:mm:ss.SSSZ", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms])

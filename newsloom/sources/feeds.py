@@ -8,12 +8,15 @@ its error, so one feed never fails the rest. Everything after the bytes is DataF
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from html.parser import HTMLParser
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +41,9 @@ KINDS = ("rss", "hatena", "google")
 REQUEST = "kind string, position int, label string, url string, name string, source_topics string"
 FETCHED = REQUEST + ", body binary, error string"
 ENTRY = ("title", "link", "summary", "published", "updated", "source_title", "source_href")
+ENTRY_TAGS = ("item", "entry")
+SAME_AS = {"description": "summary", "content": "summary", "pubdate": "published", "date": "published", "modified": "updated"}
+CDATA = re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.DOTALL)
 PARSED = T.StructType([T.StructField("entries", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ENTRY]))), T.StructField("error", T.StringType())])
 ITEM = "ord long, title string, link string, source string, via string, collector string, feed_url string, domain string, published timestamp, summary string, lang string, source_topics string"
 
@@ -59,16 +65,22 @@ def requests_of(sources: Sources) -> list[dict]:
     return [dict(zip(names, r, strict=True), position=i) for part in (rss, hatena, google) for i, r in enumerate(part)]
 
 
+def is_passing(error: Exception) -> bool:
+    """Whether asking once more may help: anything but an answer that says it won't."""
+    return isinstance(error, OSError) and getattr(error, "code", None) not in FINAL_CODES
+
+
 def fetch(url: str, agent: str = "newsloom", attempts: int = 2, wait_s: float = 2.0) -> bytes:
-    request = urllib.request.Request(url, headers={"User-Agent": agent, "Accept": "application/rss+xml, application/xml, */*"})
-    for left in reversed(range(attempts)):
+    request = urllib.request.Request(url)
+    request.add_header("User-Agent", agent)
+    request.add_header("Accept", "application/rss+xml, application/xml, */*")
+    for attempt in range(1, attempts + 1):
         try:
-            with urllib.request.urlopen(request, timeout=TIMEOUT_S) as answer:
-                return answer.read()
-        except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
-            if not left or getattr(e, "code", None) in FINAL_CODES:
+            return urllib.request.urlopen(request, timeout=TIMEOUT_S).read()
+        except Exception as e:
+            if attempt == attempts or not is_passing(e):
                 raise
-            time.sleep(wait_s)
+        time.sleep(wait_s)
     raise ValueError("no attempt")
 
 
@@ -112,27 +124,82 @@ def fetched(spark: SparkSession, requests: list[dict], pause_s: float = PAUSE_S,
     return spark.read.format("newsloom_feeds").options(requests=json.dumps(requests), pause=pause_s, wait=wait_s).load()
 
 
-def entries_of(body: bytes) -> list[dict]:
-    """Entries of RSS 2.0, RDF or Atom."""
+Child = tuple[str, dict[str, str | None], str]  # name without namespace, attributes, text
+
+
+def strict_children(body: bytes) -> Iterator[list[Child]]:
+    """The children of each entry of a well-formed feed."""
 
     def local(e: ET.Element) -> str:
-        return e.tag.rpartition("}")[2]
-
-    out = []
-    for entry in (e for e in ET.fromstring(body).iter() if local(e) in ("item", "entry")):
-        held: dict[str, str] = {}
-        for child in entry:
-            key, text = local(child), "".join(child.itertext()).strip()
-            if key == "link" and child.get("href"):
-                if child.get("rel", "alternate") == "alternate":
-                    held.setdefault("link", child.get("href", ""))
-            elif key == "source":
-                held |= {"source_title": text, "source_href": child.get("url", "")}
-            else:
-                key = {"description": "summary", "pubDate": "published", "date": "published", "content": "summary", "modified": "updated"}.get(key, key)
-                held.setdefault(key, text)
-        out.append({k: held.get(k) for k in ENTRY})
-    return out
+        return e.tag.rpartition("}")[2].lower()
+
+    for entry in ET.fromstring(body).iter():
+        if local(entry) in ENTRY_TAGS:
+            yield [(local(child), dict(child.attrib), "".join(child.itertext())) for child in entry]
+
+
+class LooseFeed(HTMLParser):
+    """The same of what isn't well-formed: tags are taken as they come, an entry ends where the next one begins."""
+
+    def __init__(self, body: bytes):
+        super().__init__()
+        self.entries: list[list[Child]] = []
+        self.open: str | None = None
+        declared = re.match(rb"\s*<\?xml[^>]*encoding=[\"']([\w.-]+)", body)
+        try:
+            text = body.decode(declared[1].decode() if declared else "utf-8", "replace")
+        except LookupError:
+            text = body.decode("utf-8", "replace")
+        self.feed(CDATA.sub(lambda m: escape(m[1]), text))
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        tag = tag.rpartition(":")[2]
+        if tag in ENTRY_TAGS:
+            self.entries.append([])
+            self.open = None
+        elif self.entries and self.open is None:
+            self.entries[-1].append((tag, dict(attrs), ""))
+            self.open = tag
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        before = self.open
+        self.handle_starttag(tag, attrs)
+        self.open = before
+
+    def handle_data(self, data: str) -> None:
+        if self.open:
+            tag, attrs, text = self.entries[-1][-1]
+            self.entries[-1][-1] = tag, attrs, text + data
+
+    def handle_endtag(self, tag: str) -> None:
+        tag = tag.rpartition(":")[2]
+        if tag == self.open or tag in ENTRY_TAGS:
+            self.open = None
+
+
+def entry_of(children: list[Child]) -> dict[str, str | None]:
+    held: dict[str, str | None] = {}
+    for tag, attributes, text in children:
+        key = SAME_AS.get(tag, tag)
+        if key == "source":
+            held |= {"source_title": text.strip(), "source_href": attributes.get("url") or ""}
+        elif key != "link" or not attributes.get("href"):
+            held.setdefault(key, text.strip())
+        elif (attributes.get("rel") or "alternate") == "alternate":
+            held.setdefault("link", attributes["href"])
+    return {name: held.get(name) for name in ENTRY}
+
+
+def entries_of(body: bytes) -> list[dict]:
+    """Entries of RSS 2.0, RDF or Atom; of a feed that isn't well-formed, those that can be told."""
+    try:
+        return [entry_of(children) for children in strict_children(body)]
+    except ET.ParseError:
+        found = [entry_of(children) for children in LooseFeed(body).entries]
+        if not found:
+            raise
+        return found
 
 
 @F.arrow_udf(PARSED)

@@ -1,21 +1,25 @@
 """Stored profiles and the state that runs carry on: read with a default, written beside and then named.
 
-State is versioned: a run writes a new folder and then a marker with its name, so a failed run leaves
-the state before it, and no run overwrites what it reads.
+State is versioned: a run writes a new folder and then adds a marker with its name beside the earlier ones,
+of which the newest counts. Nothing is ever overwritten, so a run that fails at any point leaves the state
+before it.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.sources.config import Topic, topic_of
 
 RECORDS = """title string, link string, source string, via string, collector string, feed_url string, domain string, lang string, score double,
     published timestamp, selected_at timestamp, topics array<struct<name: string, keywords: array<string>>>, `primary` string, related array<string>"""
+MARKER = "at long, version string"
 DISCOVERED = "domain string, publisher string, count long, first_seen string, last_seen string, examples array<string>"
 
 
@@ -54,12 +58,11 @@ def _current(spark: SparkSession, path: str) -> str | None:
     from pyspark.errors import AnalysisException
 
     try:
-        row = spark.read.text(f"{path}/current").first()
+        return spark.read.schema(MARKER).json(f"{path}/markers").agg(F.max_by("version", F.struct("at", "version"))).first()[0]
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    return row[0] if row else None
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -71,4 +74,4 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_state(spark: SparkSession, state: DataFrame, path: str) -> None:
     version = f"v-{uuid.uuid4().hex}"
     state.write.json(f"{path}/{version}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    spark.createDataFrame([(time.time_ns(), version)], MARKER).coalesce(1).write.mode("append").json(f"{path}/markers")

@@ -92,6 +92,9 @@ def test_small_functions(spark):
     assert value(spark, lambda c: feed_time(c).cast("string"), "Tue, 29 Sep 2026 10:00:00 +0900") == "2026-09-29 01:00:00"
     assert value(spark, lambda c: feed_time(c).cast("string"), "2026-09-29T10:00:00+09:00") == "2026-09-29 01:00:00"
     assert value(spark, feed_time, "no date") is None
+    for text, want in [("Tue, 29 Sep 2026 10:00:00 EST", "15:00"), ("29 Sep 26 10:00 JST", "01:00"), ("29 Sep 2026 10:00:00 GMT", "10:00"), ("2026-09-29T10:00:00Z", "10:00"), ("Tue, 29 Sep 2026 10:00:00 pdt", "17:00")]:
+        assert value(spark, lambda c: feed_time(c).cast("string"), text) == f"2026-09-29 {want}:00"
+    assert value(spark, lambda c: feed_time(c).cast("string"), "1 Jan 99 00:00:00 +0000") == "1999-01-01 00:00:00"
 
 
 ENTRY = """<article id="{id}_main"><a class="x EntryMetadataSource" href="/i/subscription/content/feed%2Fhttp%3A%2F%2Ff.example%2Frss">Site &amp; Co</a>
@@ -158,6 +161,17 @@ def test_feeds(spark, tmp_path):
     assert feeds.known_source_titles(spark, []).count() == 0
 
 
+def test_feeds_that_are_not_well_formed():
+    body = """<?xml version="1.0" encoding="utf-8"?><rss><channel><title>c</title><item><title>a &amp; b & c</title><link>https://a.example/1?x=1&y=2</link>
+<description><![CDATA[<p>x</p>]]></description><dc:date>2026-09-29T10:00:00Z</dc:date><br>
+<item><title>two</title><link href="https://b.example/2" /><source url="https://s.example">S</source>"""
+    one, two = feeds.entries_of(body.encode())
+    assert (one["title"], one["link"], one["summary"], one["published"]) == ("a & b & c", "https://a.example/1?x=1&y=2", "<p>x</p>", "2026-09-29T10:00:00Z")
+    assert (two["title"], two["link"], two["source_title"], two["source_href"]) == ("two", "https://b.example/2", "S", "https://s.example")
+    with pytest.raises(feeds.ET.ParseError):
+        feeds.entries_of(b"<rss>")
+
+
 def test_state(spark, tmp_path):
     path = str(tmp_path / "s")
     assert state.read_state(spark, path, state.DISCOVERED).count() == 0
@@ -165,6 +179,8 @@ def test_state(spark, tmp_path):
         rows = spark.createDataFrame([("d", "p", n, "a", "b", ["x"])], state.DISCOVERED)
         state.write_state(spark, rows, path)
         assert [r["count"] for r in state.read_state(spark, path, state.DISCOVERED).collect()] == [n]
+    (tmp_path / "s" / "v-unfinished").mkdir()  # a run that failed before its marker
+    assert [r["count"] for r in state.read_state(spark, path, state.DISCOVERED).collect()] == [2]
     data = {"topics": [{"name": "a", "weight": 1.0, "allocation": 1.0, "keywords": ["x"]}, {"name": "v", "weight": 0.0, "collect": False}], "known_domains": ["d"]}
     (tmp_path / "p.json").write_text(json.dumps(data))
     p = state.read_profile(str(tmp_path / "p.json"))
