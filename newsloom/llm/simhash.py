@@ -1,17 +1,24 @@
-"""SimHash near-duplicate groups through an inverted index over positional bytes.
+"""SimHash near-duplicate groups through an inverted index over positional bytes, with count filtering.
 
 A fingerprint has eight bytes. Two fingerprints that differ in at most `distance` bits differ in at
-most that many bytes, so they share at least 8 - distance positional bytes: the guaranteed minimum.
-The index therefore posts every distinct fingerprint under each set of that many (position, byte)
-entries. Within a posting the shared positional bytes of each pair are tallied, pairs below the
-minimum are out, and the rest are verified by their bits. With distance 2 a posting leaves two bytes
-open, so it can't hold more than 65,536 distinct fingerprints, whatever the table's size; copies of a
-text share one fingerprint and never meet as pairs. A posting yields the edges of a spanning star for
-each of its linked groups, at most one per member, and never its pairs.
-
-Results for odd input: a null text counts as an empty one (fingerprint zero); rows with a null id get
-a fingerprint and the smallest id of their component, or null if none has one; repeated rows are
-returned as often as they come; other columns are ignored.
+most that many bytes, so they share at least 8 - distance positional bytes: the guaranteed minimum. An
+index of single bytes would have a 256th of all fingerprints in each posting, so a posting is of more:
+the eight positions are cut into distance + 2 runs, and every distinct fingerprint is posted under the
+bytes of each two runs. At least two runs of a linked pair agree, so it meets.
+
+In a posting the shared positional bytes of each pair are tallied, those of the posting among them.
+Pairs below the guaranteed minimum are out; the others are verified by their bits. A posting of more
+than GROUP fingerprints is posted again, under each set of 8 - distance bytes that holds its own: a
+linked pair shares one of these too, and with distance 2 such a posting leaves two bytes open, so it
+can't hold more than 65,536 fingerprints, whatever the table's size. Beyond GROUP members look their
+possible partners up, in proportion to their number. Copies of a text share one fingerprint and never
+meet as pairs. A posting yields the edges of a spanning star for each of its linked groups, at most one
+per member, and never its pairs.
+
+Results for odd input: a null text counts as an empty one (fingerprint zero); very long texts are hashed
+a slice at a time; a bit set in exactly half of the hashes is 0; rows with a null id get a fingerprint and
+the smallest id of their component, or null if none has one; repeated rows are returned as often as they
+come; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import table, written
+from newsloom.llm.common import sized, table, written
 
 SEED = 42
 SLICE = 1 << 16
 BLOCK_NODES = 1_000_000
+#: Up to so many members a posting is tallied pair by pair, about TALLY_PAIRS at a time.
+GROUP = 2_048
+TALLY_PAIRS = 1 << 18
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -58,54 +68,78 @@ def with_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: s
     return picked.mapInArrow(run, "id long, fp long")
 
 
-def byte_masks(distance: int) -> list[int]:
-    """One mask for each set of 8 - distance byte positions, as signed longs."""
-    return [int(np.array([0xFF if p in kept else 0 for p in range(8)], np.uint8).view(np.int64)[0]) for kept in combinations(range(8), 8 - distance)]
+def mask_of(positions) -> int:
+    """The mask of these byte positions, as a signed long."""
+    return int(np.array([0xFF if p in positions else 0 for p in range(8)], np.uint8).view(np.int64)[0])
+
+
+def posted_positions(distance: int) -> list[tuple[int, ...]]:
+    """The positions of each two of distance + 2 runs of bytes."""
+    runs = np.array_split(np.arange(8), distance + 2)
+    return [tuple(int(p) for run in two for p in run) for two in combinations(runs, 2)]
+
+
+def narrower_positions(positions: tuple[int, ...], distance: int) -> list[tuple[int, ...]]:
+    """The sets of 8 - distance positions that hold these."""
+    rest = [p for p in range(8) if p not in positions]
+    return [tuple(sorted(positions + more)) for more in combinations(rest, 8 - distance - len(positions))]
+
+
+def tallied(members: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The linked pairs of a posting, as two arrays of places, and how many pairs the tally retained."""
+    n = len(members)
+    rows = max(1, TALLY_PAIRS // n)
+    first, second, retained = [], [], 0
+    for at in range(0, n, rows):
+        differ = members[at : at + rows, None] ^ members[None, at:]
+        shared = (differ[..., None].view(np.uint8) == 0).sum(axis=-1)
+        i, j = np.nonzero(np.triu(shared >= 8 - distance, 1))
+        retained += len(i)
+        near = np.bitwise_count(differ[i, j].view(np.uint64)) <= distance
+        first.append(i[near] + at)
+        second.append(j[near] + at)
+    return np.concatenate(first), np.concatenate(second), retained
+
+
+def looked_up(members: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for ascending members that differ in few bits: each looks for those it may be linked to."""
+    free = [b for b in range(64) if ((members[0] ^ members) >> b & 1).any()]
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for flip in (sum(1 << b for b in bits) for k in range(1, distance + 1) for bits in combinations(free, k)):
+        wanted = (members.view(np.uint64) ^ np.uint64(flip)).view(np.int64)
+        at = np.minimum(np.searchsorted(members, wanted), len(members) - 1)
+        found = np.flatnonzero((members[at] == wanted) & (members < wanted))
+        first.append(found)
+        second.append(at[found])
+    return np.concatenate(first), np.concatenate(second)
 
 
 def posting_stars(members: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within one posting as (member, smallest linked member), by union of verified pairs."""
     members = np.sort(members)
+    first, second = looked_up(members, distance) if len(members) > GROUP else tallied(members, distance)[:2]
     own = np.arange(len(members))
-    if len(members) <= 256:
-        differ = members[:, None] ^ members[None, :]
-        shared = (differ[..., None].view(np.uint8) == 0).sum(axis=-1)  # the tally of shared positional bytes
-        linked = (shared >= 8 - distance) & (np.bitwise_count(differ.view(np.uint64)) <= distance)
-        neighbours = [np.where(linked, own[None, :], len(own))]
-    else:  # each member looks its possible partners up, so that the work stays in proportion to the members
-        free = [b for b in range(64) if ((members[0] ^ members) >> b & 1).any()]
-        flips = [sum(1 << b for b in flip) for k in range(1, distance + 1) for flip in combinations(free, k)]
-        neighbours = []
-        for flip in flips:
-            wanted = (members.view(np.uint64) ^ np.uint64(flip)).view(np.int64)
-            at = np.minimum(np.searchsorted(members, wanted), len(own) - 1)
-            neighbours.append(np.where(members[at] == wanted, at, own)[:, None])
     label = own.copy()
-    padded = np.append(label, len(own))
     while True:
-        least = label
-        for index in neighbours:
-            least = np.minimum(least, padded[index].min(axis=1))
+        least = label.copy()
+        np.minimum.at(least, second, label[first])
+        np.minimum.at(least, first, label[second])
         least = least[least]
         if (least == label).all():
             break
         label = least
-        padded = np.append(label, len(own))
     follows = label != own
     return members[follows], members[label[follows]]
 
 
-def star_edges(fingerprints: DataFrame, distance: int) -> DataFrame:
+def posted(fingerprints: DataFrame, positions: list[tuple[int, ...]]) -> DataFrame:
+    """(fp, which, held): each fingerprint under its bytes at these positions."""
+    entries = [F.struct(F.lit(mask_of(p)).alias("which"), F.col("fp").bitwiseAND(F.lit(mask_of(p))).alias("held")) for p in positions]
+    return fingerprints.select("fp", F.explode(F.array(*entries)).alias("entry")).select("fp", "entry.which", "entry.held")
+
+
+def star_edges(spark: SparkSession, fingerprints: DataFrame, distance: int) -> DataFrame:
     """(src, dst): links between distinct fingerprints, dst the smaller one of a spanning star."""
-    masks = byte_masks(distance)
-    entries = F.array(*[F.struct(F.lit(i).alias("positions"), F.col("fp").bitwiseAND(F.lit(m)).alias("held")) for i, m in enumerate(masks)])
-    postings = (
-        fingerprints.select("fp", F.explode(entries).alias("entry"))
-        .groupBy("entry.positions", "entry.held")
-        .agg(F.collect_list("fp").alias("members"))
-        .where(F.size("members") > 1)
-        .select("members")
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +147,23 @@ def star_edges(fingerprints: DataFrame, distance: int) -> DataFrame:
             src, dst = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
-    return postings.mapInArrow(run, "src long, dst long").distinct()
+    def stars(postings: DataFrame) -> DataFrame:
+        gathered = postings.groupBy("which", "held").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+        return gathered.select("members").mapInArrow(run, "src long, dst long")
+
+    wide = posted_positions(distance)
+    postings = posted(fingerprints, wide)
+    large = written(spark, postings.groupBy("which", "held").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("which", "held"), "large")
+    if large.limit(1).count() == 0:
+        return stars(postings).distinct()
+    keys = sized(large)
+    again = None
+    for positions in wide:
+        of = postings.where(F.col("which") == F.lit(mask_of(positions))).join(keys, ["which", "held"], "left_semi").select("fp")
+        narrow = posted(of, narrower_positions(positions, distance))
+        again = narrow if again is None else again.unionByName(narrow)
+    small = postings.join(keys, ["which", "held"], "left_anti")
+    return stars(small).unionByName(stars(again.distinct())).distinct()
 
 
 def block_stars(edges: DataFrame) -> DataFrame:
@@ -178,7 +228,7 @@ def near_duplicate_groups(
     """(id, fp, component_id) for each row of docs; component_id is the smallest id that links reach."""
     rows = written(spark, with_fingerprints(docs, id_column, text_column, width), "fingerprints")
     classes = written(spark, rows.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
-    roots = components(spark, star_edges(classes.select("fp"), distance))
+    roots = components(spark, star_edges(spark, classes.select("fp"), distance))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")

@@ -49,28 +49,68 @@ def near_family(seed, centres, members, flips):
     return sorted(out)
 
 
-def test_links_and_components_match_brute_force(spark):
+@pytest.mark.parametrize("group", [2048, 3])
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_links_and_components_match_brute_force(spark, monkeypatch, group, distance):
+    if group == 3:
+        monkeypatch.setattr(simhash, "posting_stars", small_group(group))
     fps = near_family(1, 12, 40, 4) + [0, -1, 1, 3, 7, 15]
     fps = sorted(set(fps))
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-    roots = {r.node: r.root for r in simhash.components(spark, simhash.star_edges(frame, 2)).collect()}
-    want = plain_components(fps)
+    monkeypatch.setattr(simhash, "GROUP", group)  # of 3: postings are posted again
+    roots = {r.node: r.root for r in simhash.components(spark, simhash.star_edges(spark, frame, distance)).collect()}
+    want = plain_components(fps, distance)
     assert {f: roots.get(f, f) for f in fps} == want
 
 
-def test_large_postings_equal_small_ones():
+def small_group(group):
+    """posting_stars with its bound set in the worker."""
+    whole = simhash.posting_stars
+
+    def stars(members, distance):
+        simhash.GROUP = group
+        return whole(members, distance)
+
+    return stars
+
+
+def test_every_linked_pair_meets_in_a_posting():
+    rng = np.random.default_rng(2)
+    for distance in range(1, 5):
+        masks = [simhash.mask_of(p) for p in simhash.posted_positions(distance)]
+        for _ in range(500):
+            flip = 0
+            for b in rng.choice(64, distance, replace=False):
+                flip |= 1 << int(b)
+            differ = int(np.array(flip, np.uint64).view(np.int64))
+            assert any(differ & m == 0 for m in masks)
+            for positions in simhash.posted_positions(distance):
+                if differ & simhash.mask_of(positions) == 0:
+                    assert any(differ & simhash.mask_of(n) == 0 for n in simhash.narrower_positions(positions, distance))
+
+
+def test_the_tally_rejects_pairs_and_bits_verify_the_rest():
+    """Of the pairs that meet, the tally rejects those with too few shared bytes, the bits some of those retained."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**32, 300).astype(np.int64) << 32  # one posting: the four lower bytes are shared
+    near = base[:40] ^ (np.int64(1) << rng.integers(32, 64, 40))
+    far = base[40:80] ^ (np.int64(255) << 40)  # one byte differs, in all its bits
+    members = np.unique(np.concatenate((base, near, far)))
+    met = len(members) * (len(members) - 1) // 2
+    first, second, retained = simhash.tallied(members, 2)
+    pairs = [(i, j, int(members[i] ^ members[j])) for i in range(len(members)) for j in range(i + 1, len(members))]
+    shared = [(i, j, x) for i, j, x in pairs if sum((x >> 8 * p & 255) == 0 for p in range(8)) >= 6]
+    linked = {(i, j) for i, j, x in shared if (x & (2**64 - 1)).bit_count() <= 2}
+    assert retained == len(shared) and set(zip(first.tolist(), second.tolist(), strict=True)) == linked
+    assert met > 100 * retained and retained > len(linked) >= 40
+
+
+def test_lookups_equal_the_tally():
     rng = np.random.default_rng(5)
-    members = np.unique(rng.integers(0, 1 << 16, 3000)).astype(np.int64) << 24 | 7
-    src, dst = simhash.posting_stars(members, 2)
-    want = plain_components(list(map(int, members[:0])))  # empty case
-    assert want == {}
-    part = members[:250]
-    s, d = simhash.posting_stars(part, 2)
-    plain = plain_components(list(map(int, part)))
-    assert {**{int(m): int(m) for m in part}, **dict(zip(map(int, s), map(int, d), strict=True))} == plain
-    big = dict(zip(map(int, src), map(int, dst), strict=True))
-    for a, b in zip(map(int, s), map(int, d), strict=True):  # what few link, many link too
-        assert big.get(a, a) == big.get(b, b)
+    members = np.unique(rng.integers(0, 1 << 16, 1500)).astype(np.int64) << 24 | 7
+    for distance in (1, 2):
+        pairs = [set(zip(*(x.tolist() for x in found[:2]), strict=True)) for found in (simhash.tallied(members, distance), simhash.looked_up(members, distance))]
+        assert pairs[0] == pairs[1] and pairs[0]
 
 
 def test_null_empty_long_tied_and_extra_columns(spark):
