@@ -48,13 +48,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+#: Spark's own switch: shuffle files go as soon as the write that needed them is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost nothing.
+
+    What was shuffled for it is no longer needed then, and its files go.
+    """
+    path = path or new_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(name: str) -> str:
     """A column name that no table of a user has."""
     return f"{name}_{uuid.uuid4().hex}"

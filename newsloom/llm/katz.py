@@ -16,11 +16,17 @@ the same amount as a count of CUTOFF does, so each context keeps something for u
 How it runs. Texts become batches of about a million tokens, a written table. Every batch sends its
 distinct n-grams of each order, 64-bit hashes with their training counts, to the shards of that order;
 an n-gram comes from a batch once, however frequent it is, and shards divide the range of the hash
-evenly. A shard adds up, keeps its counts in a table partitioned by order, and answers each batch in
-the order of its question; one batch is told to own an n-gram. Batches then know all counts they need
-for p*. For the weights, the owners send each seen n-gram's share in the two sums to its context's
-shard, which keeps the weights in a table partitioned by order, and adds the logarithms that documents
-asked for. What is shuffled grows with the number of distinct n-grams in batches.
+evenly. A shard adds up and answers each batch in the order of its question, in a table partitioned by
+order; one batch is told to own an n-gram, and a batch is told which n-grams no other batch has. Batches
+then know all counts they need for p*. A context that one batch alone holds is weighed there. For the
+others, the owners send what each context's shard needs for the two sums; the shard keeps the weights in
+a table partitioned by order and adds the logarithms that documents asked for. Tables and shuffles that
+nothing needs any more are removed as it goes.
+
+Growth. What is shuffled is a few bytes for each distinct n-gram of a batch. A row is a batch's n-grams of
+one shard: there are 2^LEAST_BITS shards at least, so rows grow with the batches until the corpus has
+2^LEAST_BITS x SHARD_TOKENS tokens; beyond that the shards grow as well and rows hold fewer n-grams, down
+to one. A shard holds about SHARD_TOKENS n-grams and, of a word that is everywhere, one entry a batch.
 
 Hashes are 64 bits wide: among M n-grams an unseen one is taken for a seen one with probability
 M / 2^64.
@@ -33,7 +39,6 @@ from every score is 0; columns that aren't named are ignored.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,20 +50,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from newsloom.llm.common import is_held_out, shared_dir, table, written
+from newsloom.llm.common import is_held_out, new_path, removed, table, written
 from newsloom.llm.tokens import slices
 
 ORDER = 3
 CUTOFF = 5
 BATCH_BYTES = 8_000_000
 SHARD_TOKENS = 4_000_000
+LEAST_BITS = 9
+#: Low bits of a float that are left out where it is sent: the rest is exact to 2^-37.
+CUT_BITS = np.uint64(0xFFFF)
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word has a space
 
 BATCH = "batch long, ids array<long>, held array<boolean>, lengths array<long>, tokens binary, words binary"
 ASKED = "order int, shard int, batch long, keys binary, counts binary"
 ANSWERED = "shard int, batch long, answers binary, order int"
 FOUND = """batch long, place int, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double,
-    order int, shard int, keys binary, masses binary, lower binary, wanted binary, docs binary"""
+    order int, shard int, keys binary, totals binary, few binary, lower binary, wanted binary, docs binary"""
 WEIGHED = "shard int, batch long, places binary, log_weights binary, keys binary, weights binary, order int"
 SUMMED = "batch long, place int, log_weight double"
 
@@ -78,8 +86,12 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def rounded(values: np.ndarray) -> np.ndarray:
+    return (values.view(np.uint64) & ~CUT_BITS).view(np.float64)
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys by their differences."""
+    """64-bit keys by their differences, which are small where they ascend."""
     return packed(np.diff(keys, prepend=np.uint64(0)))
 
 
@@ -88,7 +100,7 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 
 
 def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words' hashes in ascending order, the tokens as places among them, tokens per text."""
+    """Distinct words' hashes, the most frequent first and equals ascending, the tokens as places among them, tokens per text."""
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     starts, flat = words.offsets.to_numpy().astype(np.int64), words.values.slice(words.offsets[0].as_py(), words.offsets[-1].as_py() - words.offsets[0].as_py())
     starts -= starts[0]
@@ -101,8 +113,11 @@ def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = np.ones(len(tokens), bool)
     inner[np.cumsum(lengths) - 1] = False
     tokens[inner] = hashes[coded.indices.to_numpy()][real] if len(flat) else tokens[inner]
-    distinct, places = np.unique(tokens, return_inverse=True)
-    return distinct, places, lengths
+    distinct, places, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.lexsort((distinct, -counts))
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[places], lengths
 
 
 def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -155,7 +170,7 @@ def batches_of(docs: DataFrame) -> DataFrame:
 
 
 def questions(batches: DataFrame, order: int, bits: int) -> DataFrame:
-    """Each batch's distinct n-grams with their training counts, by order and shard: ASKED."""
+    """Each batch's distinct n-grams of that order with their training counts, by shard: ASKED."""
 
     def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in arrived:
@@ -163,16 +178,16 @@ def questions(batches: DataFrame, order: int, bits: int) -> DataFrame:
                 lengths = np.array(row["lengths"])
                 tokens = unpacked_keys(row["words"])[unpacked(row["tokens"])]
                 learned = np.repeat(~np.array(row["held"]), lengths)
-                for k, (keys, at) in enumerate(zip(*ngrams(tokens, lengths, order), strict=True), 1):
-                    distinct, places = np.unique(keys, return_inverse=True)
-                    counts = np.bincount(places[learned[at]], minlength=len(distinct))
-                    yield rows_to_batch([(k, s, row["batch"], packed_keys(distinct[x]), packed(counts[x])) for s, x in shard_edges(distinct, bits)], ASKED)
+                keys, at = (x[-1] for x in ngrams(tokens, lengths, order))
+                distinct, places = np.unique(keys, return_inverse=True)
+                counts = np.bincount(places[learned[at]], minlength=len(distinct))
+                yield rows_to_batch([(order, s, row["batch"], packed_keys(distinct[x]), packed(counts[x])) for s, x in shard_edges(distinct, bits)], ASKED)
 
     return batches.mapInArrow(run, ASKED)
 
 
 def answer(group: pa.Table) -> pa.Table:
-    """All questions to a shard: the sums, as twice the count, plus 1 for the batch that owns the n-gram.
+    """All questions to a shard: four times the count, plus 2 for the batch that owns the n-gram, plus 1 if no other batch has it.
 
     A row for no batch (-1) holds n_1 .. n_(CUTOFF+1), the number of n-grams and the sum of their counts.
     """
@@ -181,8 +196,8 @@ def answer(group: pa.Table) -> pa.Table:
     distinct, places = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(places, weights=counts, minlength=len(distinct)).astype(np.int64)
     learned = np.flatnonzero(counts)
-    answers = 2 * sums[places]
-    answers[learned[np.unique(places[learned], return_index=True)[1]]] += 1
+    answers = 4 * sums[places] + (np.bincount(places)[places] == 1)
+    answers[learned[np.unique(places[learned], return_index=True)[1]]] += 2
     order, shard, out, begin = rows[0]["order"], rows[0]["shard"], [], 0
     for r, k in zip(rows, keys, strict=True):
         out.append((shard, r["batch"], packed(answers[begin : begin + len(k)]), order))
@@ -212,6 +227,10 @@ class Discounts:
         """Discounted counts."""
         return np.where(counts <= CUTOFF, counts * self.small[np.minimum(counts, CUTOFF)], counts - self.taken)
 
+    def lost(self, few: np.ndarray) -> np.ndarray:
+        """What n-grams lose, few: how many of them have the counts 1 .. CUTOFF and more."""
+        return few @ np.append(np.arange(1, CUTOFF + 1) * (1 - self.small[1:]), self.taken)
+
     def unknown(self) -> float:
         """The share of what discounting has taken from all n-grams of this order."""
         r = np.arange(1, CUTOFF + 1)
@@ -219,8 +238,18 @@ class Discounts:
         return float((few * r * (1 - self.small[1:])).sum() + (self.kinds - few.sum()) * self.taken) / self.total
 
 
+def few_of(counts: np.ndarray, share: np.ndarray, contexts: int) -> np.ndarray:
+    """For each context how many of its n-grams have the counts 1 .. CUTOFF and more."""
+    size = np.minimum(counts, CUTOFF + 1) - 1
+    return np.bincount(share * (CUTOFF + 1) + size, minlength=contexts * (CUTOFF + 1)).reshape(contexts, CUTOFF + 1)
+
+
+def weights_of(totals: np.ndarray, few: np.ndarray, lower: np.ndarray, discounts: Discounts) -> np.ndarray:
+    return discounts.lost(few) / totals / (1 - lower)
+
+
 def scored(batch: dict, answers: list[np.ndarray], discounts: list[Discounts], bits: int) -> list[tuple]:
-    """FOUND rows of a batch: its documents' sums of log10 p*, and what it has for each context shard."""
+    """FOUND rows of a batch: its documents' sums of logarithms, and what it has for each context shard."""
     order, lengths = len(discounts), np.array(batch["lengths"])
     tokens = unpacked_keys(batch["words"])[unpacked(batch["tokens"])]
     keys, at = ngrams(tokens, lengths, order)
@@ -230,58 +259,68 @@ def scored(batch: dict, answers: list[np.ndarray], discounts: list[Discounts], b
     size = len(tokens)
     key_at = np.zeros((order, size), np.uint64)
     count_at = np.zeros((order, size), np.int64)
+    alone_at = np.zeros((order, size), bool)
     p_at = np.zeros((order, size))
     owned = []  # for each order the last positions of the n-grams that this batch owns, each once
     for k in range(order):
         distinct, first, places = np.unique(keys[k], return_index=True, return_inverse=True)
         key_at[k, at[k]] = keys[k]
-        count_at[k, at[k]] = (answers[k] >> 1)[places]
-        owned.append(at[k][first[(answers[k] & 1).astype(bool)]])
+        count_at[k, at[k]] = (answers[k] >> 2)[places]
+        alone_at[k, at[k]] = (answers[k] & 1).astype(bool)[places]
+        owned.append(at[k][first[(answers[k] & 2).astype(bool)]])
         seen = np.flatnonzero(count_at[k])
         context = count_at[k - 1, seen - 1] if k else total
         p_at[k, seen] = discounts[k].kept(count_at[k, seen]) / context
     logs = np.full(size, math.log10(discounts[0].unknown()) if total else 0.0)
     asked = [np.ones(size, bool)]  # whether the context of each order weighs in at a position
+    longest = np.zeros(size, np.int64)
     for k in range(order):
         seen = count_at[k] > 0
         logs[seen] = np.log10(p_at[k, seen])
+        longest[seen] = k + 1
         if k:
             known_context = np.zeros(size, bool)
             known_context[at[k]] = count_at[k - 1, at[k] - 1] > 0
             asked.append(known_context)
     rows = []
-    base = np.log10((count_at[0] + 1.0) / (total + kinds + 1.0))
-    columns = [np.add.reduceat(x, begin) for x in ((count_at[0] > 0).astype(np.int64), base, logs)]
-    for i, (doc, held, n) in enumerate(zip(batch["ids"], batch["held"], lengths.tolist(), strict=True)):
-        rows.append((batch["batch"], i, doc, held, n, int(columns[0][i]), float(columns[1][i]), float(columns[2][i]), *[None] * 7))
-    longest = np.zeros(size, np.int64)
-    for k in range(order):
-        longest[count_at[k] > 0] = k + 1
     for k in range(1, order):
         mine = owned[k]
-        context, share = np.unique(key_at[k - 1, mine - 1], return_inverse=True)
-        taken = (count_at[k, mine] - discounts[k].kept(count_at[k, mine])) / count_at[k - 1, mine - 1]
-        masses, lower = np.bincount(share, taken, len(context)), np.bincount(share, p_at[k - 1, mine], len(context))
+        context, first, share = np.unique(key_at[k - 1, mine - 1], return_index=True, return_inverse=True)
+        totals, few = count_at[k - 1, mine[first] - 1], few_of(count_at[k, mine], share, len(context))
+        lower = np.bincount(share, p_at[k - 1, mine], len(context))
         need = np.flatnonzero(asked[k] & (longest < k + 1))
         need = need[np.argsort(key_at[k - 1, need - 1], kind="stable")]
+        here = alone_at[k - 1, mine[first] - 1]
+        at_home = alone_at[k - 1, need - 1]
+        own_logs = np.log10(weights_of(totals[here], few[here], lower[here], discounts[k]))
+        logs[need[at_home]] += own_logs[np.searchsorted(context[here], key_at[k - 1, need[at_home] - 1])]
+        context, totals, few, lower, need = context[~here], totals[~here], few[~here], rounded(lower[~here]), need[~at_home]
         wanted, wanting = key_at[k - 1, need - 1], docs[need]
         given, taken_by = dict(shard_edges(context, bits)), dict(shard_edges(wanted, bits))
         none = slice(0, 0)
         for shard in sorted({*given, *taken_by}):
             x, y = given.get(shard, none), taken_by.get(shard, none)
-            rows.append((batch["batch"], *[None] * 7, k, shard, packed_keys(context[x]), packed(masses[x]), packed(lower[x]), packed_keys(wanted[y]), packed(wanting[y])))
+            sent = (packed_keys(context[x]), packed(totals[x]), packed(few[x].T.ravel()), packed(lower[x]), packed_keys(wanted[y]), packed(wanting[y]))
+            rows.append((batch["batch"], *[None] * 7, k, shard, *sent))
+    base = np.log10((count_at[0] + 1.0) / (total + kinds + 1.0))
+    columns = [np.add.reduceat(x, begin) for x in ((count_at[0] > 0).astype(np.int64), base, logs)]
+    for i, (doc, held, n) in enumerate(zip(batch["ids"], batch["held"], lengths.tolist(), strict=True)):
+        rows.append((batch["batch"], i, doc, held, n, int(columns[0][i]), float(columns[1][i]), float(columns[2][i]), *[None] * 8))
     return rows
 
 
-def weigh(group: pa.Table) -> pa.Table:
+def weigh(group: pa.Table, discounts: list[Discounts]) -> pa.Table:
     """The backoff weights of a shard's contexts, and for each batch the sums of their logarithms by document, packed."""
     rows = group.to_pylist()
-    keys = np.concatenate([unpacked_keys(r["keys"]) for r in rows])
-    distinct, places = np.unique(keys, return_inverse=True)
-    masses, lower = (np.bincount(places, np.concatenate([unpacked(r[c]) for r in rows]), len(distinct)) for c in ("masses", "lower"))
-    weights = masses / (1 - lower)
     order, shard = rows[0]["order"], rows[0]["shard"]
-    out: list[tuple] = [(shard, -1, None, None, packed_keys(distinct), packed(weights), order)]
+    keys = np.concatenate([unpacked_keys(r["keys"]) for r in rows])
+    distinct, first, places = np.unique(keys, return_index=True, return_inverse=True)
+    totals = np.concatenate([unpacked(r["totals"]) for r in rows])[first].astype(np.int64)
+    few_at = np.concatenate([unpacked(r["few"]).reshape(CUTOFF + 1, -1).T for r in rows])
+    few = np.stack([np.bincount(places, few_at[:, r], len(distinct)) for r in range(CUTOFF + 1)], axis=1)
+    lower = np.bincount(places, np.concatenate([unpacked(r["lower"]) for r in rows]), len(distinct))
+    weights = weights_of(totals, few, lower, discounts[order])
+    out: list[tuple] = [(shard, -1, None, None, packed_keys(distinct), packed(rounded(weights)), order)]
     logs = np.log10(weights)
     for r in rows:
         wanted = unpacked_keys(r["wanted"])
@@ -301,24 +340,19 @@ def summed(group: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array([rows[0]["batch"]] * len(distinct), pa.int64()), "place": pa.array(distinct, pa.int32()), "log_weight": pa.array(sums, pa.float64())})
 
 
-def in_partitions(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a written table partitioned by order, its last column."""
-    path = f"{shared_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy("order").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def katz_scores(spark: SparkSession, docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER) -> DataFrame:
     """Scores of each row of docs by the model of the rows that aren't held out.
 
     Columns: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     picked = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), held_out.alias("held"))
-    batches = written(spark, batches_of(picked), "batches")
+    paths = [new_path(spark, name) for name in ("batches", "counts")]
+    batches = written(spark, batches_of(picked), "batches", paths[0])
     size = batches.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    bits = max(2, math.ceil(math.log2(max(1, size / SHARD_TOKENS))))
-    asked = questions(batches, order, bits)
-    answered = in_partitions(spark, asked.groupBy("order", "shard").applyInArrow(answer, ANSWERED), "counts")
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, size / SHARD_TOKENS))))
+    for k in range(1, order + 1):  # one after the other, so that the questions of one order are on disk at a time
+        written(spark, questions(batches, k, bits).groupBy("shard").applyInArrow(answer, ANSWERED).drop("order"), "counts", f"{paths[1]}/order={k}")
+    answered = spark.read.schema(ANSWERED).parquet(paths[1])
     sums = [np.zeros(CUTOFF + 3, np.int64) for _ in range(order)]
     for r in answered.where("batch = -1").select("order", "answers").toLocalIterator():
         sums[r.order - 1] += unpacked(bytes(r.answers)).astype(np.int64)
@@ -330,10 +364,14 @@ def katz_scores(spark: SparkSession, docs: DataFrame, held_out, id_column: str =
         answers = [np.concatenate([np.zeros(0, np.int64), *(unpacked(r["answers"]).astype(np.int64) for r in got if r["order"] == k)]) for k in range(1, order + 1)]
         return pa.Table.from_batches([rows_to_batch(scored(batch, answers, discounts, bits), FOUND)])
 
-    replies = answered.where("batch >= 0")
+    def weighed_by(group: pa.Table) -> pa.Table:
+        return weigh(group, discounts)
+
+    replies = answered.where("batch >= 0").select("shard", "batch", "answers", "order")
     found = written(spark, batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(score, FOUND), "scored")
-    contexts = found.where("order IS NOT NULL").select("order", "shard", "batch", "keys", "masses", "lower", "wanted", "docs")
-    weighed = in_partitions(spark, contexts.groupBy("order", "shard").applyInArrow(weigh, WEIGHED), "weights")
+    removed(spark, *paths)
+    contexts = found.where("order IS NOT NULL").select("order", "shard", "batch", "keys", "totals", "few", "lower", "wanted", "docs")
+    weighed = written(spark, contexts.groupBy("order", "shard").applyInArrow(weighed_by, WEIGHED), "weights", by=("order",))
     backed_off = weighed.where("batch >= 0").groupBy("batch").applyInArrow(summed, SUMMED)
     rows = found.where("order IS NULL").join(backed_off, ["batch", "place"], "left")
     return rows.select(

@@ -65,6 +65,7 @@ TEXTS = [None, "", "a", "A b\tc", "a b c d e", "x y z a b", "new words only", "a
 def test_scores_match_the_definition(spark, monkeypatch, order):
     monkeypatch.setattr(katz, "BATCH_BYTES", 200)  # many batches
     monkeypatch.setattr(katz, "SHARD_TOKENS", 300)  # and shards
+    monkeypatch.setattr(katz, "LEAST_BITS", 3)
     held = {2, 5, 6, 9, 12, 20}
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(TEXTS)], "doc_id long, text string, words string, batch int")
     rows = katz.katz_scores(spark, docs, F.col("doc_id").isin(*held), order=order).collect()
