@@ -31,6 +31,10 @@ LEAST_PAGES = 2
 BROADCAST_LINES = 500_000
 
 
+#: A site with more lines has those that a page shares found by a hash set first.
+FEW_LINES = 32
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -71,8 +75,9 @@ def without_boilerplate(
         kept = F.filter(lines, lambda x: is_blank(x) | ~F.array_contains(bad, F.xxhash64(x)))
         return F.struct(F.array_join(kept, "\n").alias("text"), F.size(kept).alias("n_kept"))
 
-    # an array of one element binds what page and site share, so that it is found once and not for each line
-    shared = F.array(F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col(own_lines)))
+    # an array of one element binds the lines to look for, so that they are found once and not for each line
+    met = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col(own_lines))
+    shared = F.array(F.when(F.size(own_lines) <= FEW_LINES, F.col(own_lines)).otherwise(met))
     marked = joined.withColumn(done, F.when(F.col(own_lines).isNotNull() & F.col(text_column).isNotNull(), F.transform(shared, rid)[0]))
     out = [F.coalesce(F.col(f"{done}.text"), F.col(text_column)).alias(text_column) if c == text_column else F.col(c) for c in pages.columns]
     if report:
