@@ -8,12 +8,15 @@ quantised to two bits in Gray code, so every position in time has a packed integ
 Two recordings are aligned at the offset that most pairs of equal integers share (the least such offset
 if several do) and match if they overlap by MIN_OVERLAP positions there and at most MAX_ERROR of the
 bits differ. Recordings with equal fingerprints form a class, and classes are compared instead of
-recordings. Queries are compared with all classes in blocks of bounded size: a block is an inverted
-index of packed integers, which every task looks its recordings up in.
-
-Results for odd input: audio that is null, isn't 8- or 16-bit PCM, or is too short has no integers and
-is in the class of such recordings, which matches nothing; ids may be null (a class is named by its
-least id) or repeat; columns that aren't named are ignored.
+recordings: queries' classes meet all classes in a join on integers, and each pair's votes for offsets are
+summed up before and after a shuffle. An integer that many classes have (silence) is split by class. Where
+an integer is frequent in both recordings, its votes are a correlation by Fourier transforms instead of
+pairs of positions. Sound is read and transformed a slice at a time.
+
+Results for odd input: audio that is null, isn't PCM of 8 to 32 bits, or is too short has no integers and
+is in the class of such recordings, which matches nothing; silence has one integer throughout; a file that
+ends before its header says counts as far as it goes; ids may be null (a class is named by its least id) or
+repeat; an empty table gives empty ones; columns that aren't named are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +24,16 @@ from __future__ import annotations
 import io
 import wave
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import table, written
+from newsloom.llm.common import sized, table, written
 
 FRAME_S = 0.37
 OVERLAPS = 3
@@ -41,30 +44,47 @@ STEPS = np.array([-0.1, 0.0, 0.1])  # between the four values of a filter
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 MIN_OVERLAP = 16
 MAX_ERROR = 0.15
-BLOCK_CODES = 1_000_000
+#: Windows transformed at once.
+WINDOWS = 256
+#: An integer of more classes than HOT is split; more than PAIRS pairs of positions are counted by transforms.
+HOT, PAIRS = 5_000, 1 << 14
+#: Votes in an Arrow batch, about.
+VOTES = 500_000
 
 #: (kind, lowest pitch class, pitch classes, frames); kinds: halves by pitch, halves by time, quarters crosswise, middle third by time.
 FILTERS = [("pitch", p, h, w) for p, h, w in ((0, 12, 16), (0, 6, 8), (6, 6, 8), (3, 6, 4))] + [
     ("time", p, h, w) for p, h, w in ((0, 3, 16), (3, 3, 16), (6, 3, 16), (9, 3, 16), (0, 4, 6), (8, 4, 6))
 ] + [("cross", p, h, w) for p, h, w in ((0, 12, 16), (2, 8, 8), (0, 6, 12))] + [("middle", p, h, w) for p, h, w in ((0, 4, 15), (4, 4, 15), (8, 4, 15))]
 
-MATCHES = T.ArrayType(
-    T.StructType([T.StructField(n, T.LongType()) for n in ("class_id", "offset", "overlap", "bit_errors")])
-)
+ERRORS = T.StructType([T.StructField("overlap", T.LongType()), T.StructField("bit_errors", T.LongType())])
 
 
-def samples_of(audio: bytes | None) -> tuple[np.ndarray, int]:
-    """Mono samples from -1 to 1, and their rate; none for what isn't PCM of 8 or 16 bits."""
+def samples_from(data: bytes, width: int, channels: int) -> np.ndarray:
+    """Mono samples from -1 to 1."""
+    data = data[: len(data) // (width * channels) * width * channels]
+    if width == 1:
+        found = (np.frombuffer(data, np.uint8) - 128.0) / 128
+    else:  # the bytes of a sample are the upper ones of an integer of four
+        wide = np.zeros((len(data) // width, 4), np.uint8)
+        wide[:, 4 - width :] = np.frombuffer(data, np.uint8).reshape(-1, width)
+        found = wide.view("<i4").ravel() / 2147483648
+    return found.reshape(-1, channels).mean(axis=1)
+
+
+def opened(audio: bytes | None) -> wave.Wave_read | None:
     try:
-        with wave.open(io.BytesIO(audio or b"")) as f:
-            data, width, channels, rate = f.readframes(f.getnframes()), f.getsampwidth(), f.getnchannels(), f.getframerate()
+        found = wave.open(io.BytesIO(audio or b""))
     except (wave.Error, EOFError):
+        return None
+    return found if found.getsampwidth() in (1, 2, 3, 4) and found.getframerate() > 0 else None
+
+
+def samples_of(audio: bytes | None) -> tuple[np.ndarray, int]:
+    """All samples, and their rate; none for what isn't PCM."""
+    f = opened(audio)
+    if f is None:
         return np.zeros(0), 0
-    if width not in (1, 2):
-        return np.zeros(0), 0
-    whole = len(data) // (width * channels) * width * channels
-    found = np.frombuffer(data[:whole], "<i2") / 32768 if width == 2 else (np.frombuffer(data[:whole], np.uint8) - 128.0) / 128
-    return found.reshape(-1, channels).mean(axis=1), rate
+    return samples_from(f.readframes(f.getnframes()), f.getsampwidth(), f.getnchannels()), f.getframerate()
 
 
 @lru_cache(4)
@@ -77,14 +97,19 @@ def pitch_classes(size: int, rate: int) -> np.ndarray:
     return of
 
 
-def pitch_frames(samples: np.ndarray, rate: int) -> np.ndarray:
-    """Frames x 12, each of length 1, or 0 where there is silence."""
+def pitch_frames(read: Callable[[int, int], np.ndarray], total: int, rate: int) -> np.ndarray:
+    """Frames x 12, each of length 1, or 0 where there is silence; read gives the samples of a range."""
     size = 1 << round(np.log2(max(2.0, FRAME_S * rate)))
     hop = max(1, size // OVERLAPS)
-    if len(samples) < size:
-        return np.zeros((0, 12))
-    cut = np.lib.stride_tricks.sliding_window_view(samples, size)[::hop]
-    found = np.abs(np.fft.rfft(cut * np.hanning(size), axis=1)) ** 2 @ pitch_classes(size, rate)
+    energy = [np.zeros((0, 12))]
+    for first in range(0, max(0, (total - size) // hop + 1), WINDOWS):
+        last = min(first + WINDOWS, (total - size) // hop + 1)
+        samples = read(first * hop, (last - 1) * hop + size)
+        if len(samples) < size:
+            break
+        cut = np.lib.stride_tricks.sliding_window_view(samples, size)[::hop]
+        energy.append(np.abs(np.fft.rfft(cut * np.hanning(size), axis=1)) ** 2 @ pitch_classes(size, rate))
+    found = np.concatenate(energy)
     if len(found) < len(SMOOTH):
         return np.zeros((0, 12))
     smooth = sum(w * found[i : len(found) - len(SMOOTH) + 1 + i] for i, w in enumerate(SMOOTH))
@@ -121,7 +146,15 @@ def packed_codes(frames: np.ndarray) -> np.ndarray:
 
 
 def codes_of(audio: bytes | None) -> np.ndarray:
-    return packed_codes(pitch_frames(*samples_of(audio)))
+    f = opened(audio)
+    if f is None:
+        return np.zeros(0, np.uint32)
+
+    def read(first: int, last: int) -> np.ndarray:
+        f.setpos(first)
+        return samples_from(f.readframes(last - first), f.getsampwidth(), f.getnchannels())
+
+    return packed_codes(pitch_frames(read, f.getnframes(), f.getframerate()))
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -137,80 +170,103 @@ def with_codes(docs: DataFrame, id_column: str, audio_column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, len(batch), 64)):
-                found = [codes_of(x).view(np.int32) for x in part.column(1).to_pylist()]
+            for part in (batch.slice(i, 16) for i in range(0, len(batch), 16)):
+                found = [codes_of(x.as_py()).view(np.int32) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["id", "codes"])
 
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(audio_column).alias("audio")).mapInArrow(run, "id long, codes array<int>")
 
 
-class Index:
-    """A block of queries by their packed integers."""
-
-    def __init__(self, queries: list[tuple[int, list[int]]]):
-        self.ids = [q for q, _ in queries]
-        self.codes = [np.array(c, np.int32).view(np.uint32) for _, c in queries]
-        flat = np.concatenate([np.zeros(0, np.uint32), *self.codes])
-        self.order = np.argsort(flat, kind="stable")
-        self.sorted = flat[self.order]
-        lengths = np.array([len(c) for c in self.codes], np.int64)
-        self.query = np.repeat(np.arange(len(lengths)), lengths)[self.order]
-        self.position = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[self.order]
-
-    def matches(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(query id, offset, overlap, bit errors) of the queries that codes match; offset: of codes in the query."""
-        low, high = np.searchsorted(self.sorted, codes, "left"), np.searchsorted(self.sorted, codes, "right")
-        hits = high - low
-        if not hits.sum():
-            return
-        at = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
-        offsets = self.position[at] - np.repeat(np.arange(len(codes)), hits)
-        pairs, votes = np.unique(np.stack((self.query[at], offsets)), axis=1, return_counts=True)
-        best = np.lexsort((pairs[1], -votes, pairs[0]))  # the offset with most votes comes first, then the least
-        first = best[np.unique(pairs[0][best], return_index=True)[1]]
-        for query, offset in zip(pairs[0][first].tolist(), pairs[1][first].tolist(), strict=True):
-            overlap, errors = bit_errors(self.codes[query], codes, offset)
-            if overlap >= MIN_OVERLAP and errors <= MAX_ERROR * 32 * overlap:
-                yield self.ids[query], offset, overlap, errors
-
-
-def aligned_recordings(spark: SparkSession, docs: DataFrame, is_query, id_column: str = "id", audio_column: str = "audio", block_codes: int = BLOCK_CODES) -> DataFrame:
-    """One row per recording: id, class_id, codes, and for queries their matches with other classes.
-
-    is_query: a condition on id. matches holds (class_id, offset, overlap, bit_errors), null if not a query.
+def postings(classes: DataFrame) -> DataFrame:
+    """(code, print, at): for each class and packed integer of it, its positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = held.values.to_numpy()
+                order = np.argsort(codes, kind="stable").astype(np.int32)
+                distinct, begin = np.unique(codes[order], return_index=True)
+                at = pa.ListArray.from_arrays(pa.array(np.append(begin, len(codes)), pa.int32()), pa.array(order))
+                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array([name] * len(distinct), pa.binary()), at], ["code", "print", "at"])
+
+    return classes.where("size(codes) > 0").select("print", "codes").mapInArrow(run, "code int, print binary, at array<int>")
+
+
+def votes_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets at which positions of a meet those of b, and how many do."""
+    if len(a) * len(b) <= PAIRS:
+        return np.unique(np.subtract.outer(a.astype(np.int64), b).ravel(), return_counts=True)
+    x, y = np.zeros(int(a.max()) + 1), np.zeros(int(b.max()) + 1)
+    x[a], y[b] = 1, 1
+    size = 1 << (len(x) + len(y)).bit_length()
+    found = np.rint(np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)).astype(np.int64)
+    met = np.flatnonzero(found)
+    return np.where(met < len(x), met, met - size), found[met]
+
+
+def votes(met: DataFrame) -> DataFrame:
+    """(asking, print, offset, n) of rows (asking, print, mine, theirs) with positions of one integer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(pairs: list, offsets: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+            names = [pa.array([p[i] for p, o in zip(pairs, offsets, strict=True) for _ in range(len(o))], pa.binary()) for i in (0, 1)]
+            none = [np.zeros(0, np.int64)]
+            return pa.RecordBatch.from_arrays([*names, pa.array(np.concatenate(none + offsets)), pa.array(np.concatenate(none + counts))], ["asking", "print", "offset", "n"])
+
+        for batch in batches:
+            pairs, offsets, counts, held = [], [], [], 0
+            for asking, name, mine, theirs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                offset, n = votes_of(mine.values.to_numpy(), theirs.values.to_numpy())
+                pairs.append((asking, name))
+                offsets.append(offset)
+                counts.append(n)
+                held += len(offset)
+                if held > VOTES:
+                    yield rows(pairs, offsets, counts)
+                    pairs, offsets, counts, held = [], [], [], 0
+            yield rows(pairs, offsets, counts)
+
+    return met.select("asking", "print", "mine", "theirs").mapInArrow(run, "asking binary, print binary, offset long, n long")
+
+
+@F.arrow_udf(ERRORS)
+def errors_of(mine: pa.Array, theirs: pa.Array, offsets: pa.Array) -> pa.Array:
+    found = [bit_errors(a.values.to_numpy().view(np.uint32), b.values.to_numpy().view(np.uint32), o) for a, b, o in zip(mine, theirs, offsets.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["overlap", "bit_errors"])
+
+
+def matches_of(spark: SparkSession, classes: DataFrame, hot: int = HOT) -> DataFrame:
+    """(asking, class_id, offset, overlap, bit_errors): what the classes that ask match."""
+    every = written(spark, postings(classes), "postings")
+    asked = written(spark, postings(classes.where("asks")).select("code", F.col("print").alias("asking"), F.col("at").alias("mine")), "asked")
+    often = every.groupBy("code").agg(F.count("*").alias("held")).where(F.col("held") > hot)
+    often = sized(written(spark, often.select("code", F.ceil(F.col("held") / hot).alias("parts")), "often"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    whole = every.join(often, "code", "left").select("code", "print", F.col("at").alias("theirs"), F.pmod(F.xxhash64("print"), parts).alias("part"))
+    split = asked.join(often, "code", "left").select("code", "asking", "mine", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    met = split.join(whole, ["code", "part"]).where(F.col("asking") != F.col("print"))
+    summed = votes(met).groupBy("asking", "print", "offset").agg(F.sum("n").alias("n"))
+    best = summed.groupBy("asking", "print").agg(F.max(F.struct("n", (-F.col("offset")).alias("less"))).alias("best"))
+    pairs = written(spark, best.select("asking", "print", (-F.col("best.less")).alias("offset")), "pairs")
+    mine = classes.select(F.col("print").alias("asking"), F.col("class_id").alias("asking_id"), F.col("codes").alias("mine"))
+    theirs = classes.select("print", "class_id", F.col("codes").alias("theirs"))
+    judged = pairs.join(mine, "asking").join(theirs, "print").withColumn("found", errors_of("mine", "theirs", "offset"))
+    near = (F.col("found.overlap") >= MIN_OVERLAP) & (F.col("found.bit_errors") <= MAX_ERROR * 32 * F.col("found.overlap"))
+    return judged.where(near).select(F.col("asking_id").alias("asking"), "class_id", "offset", "found.overlap", "found.bit_errors")
+
+
+def aligned_recordings(spark: SparkSession, docs: DataFrame, is_query: Column, id_column: str = "id", audio_column: str = "audio", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Each recording's class (id, class_id, codes), and what the classes of queries match among the others.
+
+    is_query: a condition on id. Matches: asking and class_id, both names of classes, the offset of the
+    latter in the former, overlap and bit_errors.
     """
     rows = written(spark, with_codes(docs, id_column, audio_column), "codes")
-    print_of = F.sha2(F.array_join("codes", ","), 256)
-    classes = rows.groupBy(print_of.alias("print")).agg(F.min("id").alias("class_id"), F.max(F.coalesce(is_query, F.lit(False))).alias("asks"), F.first("codes").alias("codes"))
-    classes = written(spark, classes, "classes")
-    asking = classes.where("asks AND class_id IS NOT NULL AND size(codes) > 0")
-    total = asking.agg(F.sum(F.size("codes"))).first()[0] or 0
-    blocks = max(1, -(-total // block_codes))
-    found = None
-    for block in range(blocks):
-        part = asking.where(F.pmod(F.xxhash64("print"), F.lit(blocks)) == block).select("class_id", "codes").collect()
-        sent = spark.sparkContext.broadcast([(r.class_id, list(r.codes)) for r in part])  # a block of bounded size
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value)
-            for batch in batches:
-                out = [
-                    (query, own, *rest)
-                    for own, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for query, *rest in index.matches(np.array(codes, np.int32).view(np.uint32))
-                    if query != own
-                ]
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["asking", "class_id", "offset", "overlap", "bit_errors"])
-
-        hits = classes.select("class_id", "codes").mapInArrow(run, "asking long, class_id long, offset long, overlap long, bit_errors long")
-        found = hits if found is None else found.unionByName(hits)
-    hit = F.struct("class_id", "offset", "overlap", "bit_errors")
-    listed = found.groupBy("asking").agg(F.sort_array(F.collect_list(hit)).alias("matches"))
-    named = classes.select("print", "class_id").join(listed, F.col("class_id") == F.col("asking"), "left").select("print", "class_id", "matches")
-    joined = rows.withColumn("print", print_of).join(named, "print")
-    none = F.array().cast(MATCHES)
-    return joined.select("id", "class_id", "codes", F.when(F.coalesce(is_query, F.lit(False)), F.coalesce("matches", none)).alias("matches"))
+    print_of = F.unhex(F.sha2(F.array_join("codes", ","), 256))
+    asks = F.max(F.coalesce(is_query, F.lit(False))).alias("asks")
+    classes = written(spark, rows.groupBy(print_of.alias("print")).agg(F.min("id").alias("class_id"), asks, F.first("codes").alias("codes")), "classes")
+    members = rows.withColumn("print", print_of).join(classes.select("print", "class_id"), "print").select("id", "class_id", "codes")
+    return members, matches_of(spark, classes, hot)
 
 
 def tone_sequence(values: list[float] | None, rate: int = 5512, note_s: float = 0.1) -> bytes | None:
@@ -247,7 +303,9 @@ def played(vectors: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings played as notes: each recording's class, and the matches of ids divisible by 50."""
+    """The embeddings played as notes: a row per recording with its class, and a row per match of a class that has an id divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    found = aligned_recordings(spark, played(vectors), F.col("id") % 50 == 0)
-    return found.select(F.col("id").alias("vec_id"), "class_id", F.size("codes").cast("long").alias("n_codes"), codes_crc32("codes").alias("codes_crc32"), "matches")
+    members, matches = aligned_recordings(spark, played(vectors), F.col("id") % 50 == 0)
+    rows = members.select(F.col("id").alias("vec_id"), "class_id", F.size("codes").cast("long").alias("n_codes"), codes_crc32("codes").alias("codes_crc32"))
+    pairs = matches.select(F.col("asking").alias("class_id"), F.col("class_id").alias("match_class_id"), "offset", "overlap", "bit_errors")
+    return rows.unionByName(pairs, allowMissingColumns=True)
