@@ -1,14 +1,16 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Learning counts every n-gram of every labelled text: tasks add up their own counts, Spark sums them by
-language and bucket. The table of log probabilities has BUCKETS rows and a column per language, of
-which there may be `max_languages`; that bounds what is broadcast. Scoring handles texts in slices:
-one array of code points, one of bucket numbers per n-gram order, rows of the table gathered and
-added up per text.
+language and bucket. A table of log probabilities has BUCKETS rows and a column per language. Languages
+are dealt into blocks of about BLOCK_LANGUAGES, each a table that is broadcast; a text meets one after the
+other and carries its best language and the sum of the odds along. Scoring handles texts in slices: one
+array of code points, one of bucket numbers per n-gram order, rows of the table gathered and added up per
+text.
 
 Results for odd input: a text that is null or has no letter is `und` with score 0, and so is every
-text if nothing could be learned; null labels aren't learned from; repeated rows count as often as
-they come; columns that aren't named are ignored.
+text if nothing could be learned; of languages with equal odds the first in order is taken; null labels
+aren't learned from; very long texts are scored whole, a slice of texts at a time; repeated rows count as
+often as they come; an empty table gives an empty one; columns that aren't named are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import is_held_out, table
+from newsloom.llm.common import is_held_out, table, written
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-MAX_LANGUAGES = 256
+BLOCK_LANGUAGES = 64
 UNKNOWN = "und"
 #: Characters handled at once, which bounds the memory of a task.
 SLICE_CHARS = 250_000
 
-PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+#: The best language so far, its log odds, and the logarithm of the sum of all odds.
+FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("best", T.DoubleType()), T.StructField("whole", T.DoubleType())])
+Block = tuple[list[str], np.ndarray, np.ndarray]
 
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -68,8 +72,8 @@ def slices_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "lang", max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log priors, and log probabilities (BUCKETS + 1 rows; the last is zero)."""
+def learn(spark: SparkSession, labelled: DataFrame, text_column: str = "text", label_column: str = "lang", block_languages: int = BLOCK_LANGUAGES) -> list[Block]:
+    """Blocks of languages, log priors, and log probabilities (BUCKETS + 1 rows; the last is zero)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}  # the last entry: number of texts
@@ -89,52 +93,68 @@ def learn(labelled: DataFrame, text_column: str = "text", label_column: str = "l
 
     rows = labelled.select(F.col(label_column).alias("lang"), F.col(text_column).alias("text")).dropna()
     summed = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(r.lang for r in summed.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    found = summed.toArrow()  # at most BUCKETS + 1 rows a language
+    summed = written(spark, summed, "grams")
+    known = summed.where(F.col("bucket") == BUCKETS + 1).agg(F.count("*").alias("languages"), F.sum("n").alias("texts")).first()
+    blocks = -(-known.languages // block_languages)
+    dealt = summed.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(blocks))) if blocks > 1 else summed.withColumn("block", F.lit(0))
+    found = (block_of(dealt.where(F.col("block") == i).toArrow(), known.texts) for i in range(blocks))  # BUCKETS + 2 rows a language at most
+    return [block for block in found if block[0]]
+
+
+def block_of(found: pa.Table, all_texts: int) -> Block:
+    languages = sorted(pc.unique(found["lang"]).to_pylist())
     counts = np.zeros((BUCKETS + 2, len(languages)))
-    place = {x: i for i, x in enumerate(languages)}
-    counts[found["bucket"].to_numpy(), [place[x] for x in found["lang"].to_pylist()]] = found["n"].to_numpy()
+    counts[found["bucket"].to_numpy(), pc.index_in(found["lang"], pa.array(languages, pa.string())).to_numpy()] = found["n"].to_numpy()
     texts, counts = counts[-1], counts[:BUCKETS] + SMOOTHING
     logs = np.zeros((BUCKETS + 1, len(languages)), np.float32)
     logs[:-1] = np.log(counts / counts.sum(axis=0))
-    return languages, np.log(texts / max(texts.sum(), 1)), logs
+    return languages, np.log(texts / all_texts), logs
 
 
-def scorer(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarray]):
-    """A UDF text -> (lang, score), score the posterior of the language."""
-    sent = spark.sparkContext.broadcast(model)
+def block_scorer(spark: SparkSession, block: Block):
+    """A UDF (text, FOUND so far) -> FOUND."""
+    sent = spark.sparkContext.broadcast(block)
 
-    @F.arrow_udf(PREDICTION)
-    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf(FOUND)
+    def predict(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         languages, priors, logs = sent.value
-        for batch in batches:
-            names, scores = [], []
-            for first, last in slices_of(batch):
-                part = pc.fill_null(batch.slice(first, last - first).cast(pa.string()), "").to_pylist()
-                if not languages:
-                    names += [UNKNOWN] * len(part)
-                    scores += [0.0] * len(part)
-                    continue
+        for texts, before in batches:
+            names, best, whole = before.field("lang").to_pylist(), before.field("best").to_numpy(zero_copy_only=False).copy(), before.field("whole").to_numpy(zero_copy_only=False).copy()
+            for first, last in slices_of(texts):
+                part = pc.fill_null(texts.slice(first, last - first).cast(pa.string()), "").to_pylist()
                 numbers, begin = grams(part)
                 sums = priors + sum(np.add.reduceat(logs[n], begin[:-1], axis=0, dtype=np.float64) for n in numbers)
-                odds = np.exp(sums - sums.max(axis=1, keepdims=True))
-                best = sums.argmax(axis=1)
-                known = [any(map(str.isalpha, t)) for t in part]
-                names += [languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known, strict=True)]
-                scores += np.where(known, 1 / odds.sum(axis=1), 0.0).tolist()
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+                top = sums.max(axis=1)
+                whole[first:last] = np.logaddexp(whole[first:last], top + np.log(np.exp(sums - top[:, None]).sum(axis=1)))
+                for i, (at, odds) in enumerate(zip(sums.argmax(axis=1).tolist(), top.tolist(), strict=True), first):
+                    if names[i] is None or (-odds, languages[at]) < (-best[i], names[i]):
+                        names[i], best[i] = languages[at], odds
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(best), pa.array(whole)], ["lang", "best", "whole"])
 
     return predict.asNondeterministic()  # so that it isn't run again for each use of its fields
 
 
-def trained_scorer(spark: SparkSession, docs: DataFrame, text_column: str = "text", label_column: str = "lang", id_column: str = "doc_id", folds: int = 4):
-    return scorer(spark, learn(docs.where(~is_held_out(id_column, folds)), text_column, label_column))
+def with_language(spark: SparkSession, docs: DataFrame, blocks: list[Block], column: str, text_column: str = "text") -> DataFrame:
+    """docs with a column (lang, score), score the posterior of the language."""
+    none = F.struct(F.lit(None).cast("string").alias("lang"), F.lit(float("-inf")).alias("best"), F.lit(float("-inf")).alias("whole"))
+    out = docs.withColumn(column, none)
+    for i, block in enumerate(blocks):
+        if i:
+            out = written(spark, out, "languages")
+        out = out.withColumn(column, block_scorer(spark, block)(F.col(text_column), F.col(column)))
+    known = F.col(f"{column}.lang").isNotNull() & F.coalesce(F.col(text_column).cast("string").rlike("\\p{L}"), F.lit(False))
+    lang = F.when(known, F.col(f"{column}.lang")).otherwise(F.lit(UNKNOWN))
+    score = F.when(known, F.exp(F.col(f"{column}.best") - F.col(f"{column}.whole"))).otherwise(F.lit(0.0))
+    return out.withColumn(column, F.struct(lang.alias("lang"), score.alias("score")))
+
+
+def learn_from(spark: SparkSession, docs: DataFrame, text_column: str = "text", label_column: str = "lang", id_column: str = "doc_id", folds: int = 4) -> list[Block]:
+    """What the rows of docs that aren't held out teach."""
+    return learn(spark, docs.where(~is_held_out(id_column, folds)), text_column, label_column)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    predict = trained_scorer(spark, docs)
-    found = docs.select("doc_id", is_held_out("doc_id", 4).alias("held_out"), predict("text").alias("found"))
+    rows = docs.select("doc_id", is_held_out("doc_id", 4).alias("held_out"), "text")
+    found = with_language(spark, rows, learn_from(spark, docs), "found")
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")

@@ -40,21 +40,34 @@ def test_scores_match_plain_form(spark, monkeypatch):
     monkeypatch.setattr(langid, "SLICE_CHARS", 10)
     rows = [(i, t, x, "und") for i, (x, t) in enumerate(LABELLED)]
     labelled = spark.createDataFrame(rows + [(9, "no label", None, "x"), (10, None, "en", "x")], "bucket long, text string, lang string, score string")
-    model = langid.learn(labelled)
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "lang long, text string")
-    got = {r.lang: r.found for r in docs.select("lang", langid.scorer(spark, model)("text").alias("found")).collect()}
+    for size in (64, 1):  # one block, and several
+        blocks = langid.learn(spark, labelled, block_languages=size)
+        assert (len(blocks) == 1) == (size == 64) and sorted(x for b in blocks for x in b[0]) == ["de", "en", "fr"]
+        docs = spark.createDataFrame([(*r, 1, 2) for r in enumerate(TEXTS)], "lang long, text string, best int, whole int")
+        found = langid.with_language(spark, docs, blocks, "found")
+        assert found.columns == [*docs.columns, "found"]
+        check(found)
+
+
+def test_equal_odds_go_to_the_first_language(spark):
+    labelled = spark.createDataFrame([("same text", "b"), ("same text", "a"), ("same text", "c")], "text string, lang string")
+    docs = spark.createDataFrame([("same text",)], "text string")
+    for size in (64, 1):
+        r = langid.with_language(spark, docs, langid.learn(spark, labelled, block_languages=size), "f").first().f
+        assert r.lang == "a" and r.score == pytest.approx(1 / 3)
+
+
+def check(found):
+    got = {r.lang: r.found for r in found.collect()}
     for i, (lang, score) in enumerate(plain_scores(TEXTS, LABELLED)):
         assert got[i].lang == lang and got[i].score == pytest.approx(score, abs=1e-4)
 
 
 def test_nothing_to_learn_from_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
-    predict = langid.trained_scorer(spark, docs)
-    assert docs.select(predict("text").alias("f")).first().f.asDict() == {"lang": "und", "score": 0.0}
-    assert docs.limit(0).select(predict("text").alias("f")).count() == 0
-    many = spark.createDataFrame([(i, "t", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError):
-        langid.learn(many, max_languages=3)
+    blocks = langid.learn_from(spark, docs)
+    assert langid.with_language(spark, docs, blocks, "f").first().f.asDict() == {"lang": "und", "score": 0.0}
+    assert langid.with_language(spark, docs.limit(0), blocks, "f").count() == 0
 
 
 def test_held_out_accuracy(spark):
