@@ -10,8 +10,10 @@ size, and each (class, bucket) numbers its pieces and cuts the numbers into bins
 What is left over in a bucket is fewer than k pieces of each class, a number that depends on the
 capacity alone. These few are placed together, longest first into the first bin with room.
 
-Results for odd input: a null text is an empty one, which has the end id alone; rows with null ids and
-repeated rows are packed like others; an empty table gives no pieces; other columns are ignored.
+Results for odd input: a null text is an empty one, which has the end id alone; very long texts are cut
+into many pieces; pieces of equal length are in the order of their ids; rows with null ids and repeated
+rows are packed like others, and dealt into buckets by their place as well, so that no row can fill one;
+an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ END_ID = 1
 SLICE_BYTES = 3_000_000
 #: About so many pieces are numbered together.
 BUCKET_PIECES = 200_000
+#: Equal rows are told apart by so many numbers.
+SALTS = 1 << 20
 
-PIECES = "id {kind}, start long, length long, ids_crc32 long, doc_tokens long, size_class int{more}"
+PIECES = "id {kind}, start long, length long, ids_crc32 long, doc_tokens long, size_class int, salt int{more}"
 
 
 def cuts(n: int, capacity: int, least_piece: int = LEAST_PIECE) -> list[tuple[int, int]]:
@@ -62,7 +66,8 @@ def pieces(spark: SparkSession, docs: DataFrame, path: str, id_column: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(sent)
-        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "size_class", *["ids"] * with_ids]
+        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "size_class", "salt", *["ids"] * with_ids]
+        salt = 0
         for batch in batches:
             for part in slices(batch, SLICE_BYTES):
                 rows, of = [], []
@@ -76,6 +81,8 @@ def pieces(spark: SparkSession, docs: DataFrame, path: str, id_column: str, text
                         at += length
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
                 arrays = [part.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.int32())]
+                arrays.append(pa.array(np.arange(salt, salt + len(of)) % SALTS, pa.int32()))
+                salt = (salt + len(of)) % SALTS
                 arrays += [pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in columns[5]], pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -108,7 +115,7 @@ def harmonic_packing(
     """The pieces of docs with their sequence_id and their offset in it; see PIECES for the rest."""
     cut = written(spark, pieces(spark, docs, path, id_column, text_column, capacity, end_id, with_ids), "pieces")
     buckets = max(1, -(-cut.count() // BUCKET_PIECES))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32", "salt"), F.lit(buckets)))
     sizes = dealt.groupBy("bucket", "size_class").agg(F.count("*").alias("held"))
     in_order = Window.partitionBy("bucket", "size_class").orderBy("id", "start", "length", "ids_crc32", "doc_tokens")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -117,7 +124,7 @@ def harmonic_packing(
     placed = placed.withColumn("offset", F.col("before") - opened)
     numbered = placed.join(sizes, ["bucket", "size_class"]).withColumn("bin", F.floor(F.col("number") / F.col("size_class")))
     full = F.col("bin") < F.floor(F.col("held") / F.col("size_class"))
-    result = [*cut.columns, "sequence_id", "offset"]
+    result = [*[c for c in cut.columns if c != "salt"], "sequence_id", "offset"]
 
     def name(size_class, bin_number):  # bucket, class and bin in one long; class 0: what was left over
         return F.shiftleft(F.col("bucket"), 44) + F.shiftleft(size_class.cast("long"), 32) + bin_number

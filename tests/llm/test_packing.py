@@ -23,3 +23,11 @@ def test_offsets_follow_each_other_at_other_capacities(spark, capacity):
         assert at <= capacity
         mixed += len({length for _, length in pieces}) > 1
     assert mixed
+
+
+def test_a_row_that_repeats_fills_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 50)
+    docs = spark.createDataFrame([(None, "the same words")] * 400, "doc_id long, text string")
+    rows = packing.harmonic_packing(spark, docs, public_tokenizers.path(VOCABULARY)).collect()
+    assert len(rows) == 400 and len({(r.sequence_id, r.offset) for r in rows}) == 400
+    assert len({r.sequence_id >> 44 for r in rows}) == 8
