@@ -31,7 +31,8 @@ to one. A shard holds about SHARD_TOKENS n-grams and, of a word that is everywhe
 Hashes are 64 bits wide: among M n-grams an unseen one is taken for a seen one with probability
 M / 2^64.
 
-Results for odd input: a null text is an empty one, whose only token is the end; rows with a null id
+Results for odd input: a null text is an empty one, whose only token is the end; a very long text is in
+one batch; the discounts don't depend on the order of rows, so ties have no say; rows with a null id
 are held out and scored; repeated rows are scored each, and learned from each; with nothing to learn
 from every score is 0; columns that aren't named are ignored.
 """

@@ -10,8 +10,10 @@ turn, `fan` at a time, until one is left.
 Groups are rows with equal texts, told apart by SHA-256. Slots number the rows of a shard from 0: rows
 are numbered in parts of bounded size, each of which begins where the parts before it end.
 
-Results for odd input: a null text has no bytes and belongs with empty texts; rows with null ids and
-repeated rows are placed like others; an empty table gives an empty one; other columns are ignored.
+Results for odd input: a null text has no bytes and belongs with empty texts; a very long text is a group
+like others; groups of equal weight are taken in the order of their hashes; rows with null ids and repeated
+rows are placed like others, and share their text's shard; an empty table gives an empty one; other columns
+are ignored.
 """
 
 from __future__ import annotations
