@@ -8,8 +8,8 @@ slice of texts is looked up once.
 
 Counting uses the whole-token shortcut: `whole_tokens` proves offline, by the library itself, which
 vocabulary strings encode alone as one token; a pre-token among them counts 1 without any merging and
-only the rest is merged. Chunks of plain Latin characters are cut into pre-tokens with the
-pattern of the vocabulary; any other chunk is encoded as it is.
+only the rest is merged. Chunks of characters that all versions of Unicode class alike are cut into pre-tokens with
+the pattern of the vocabulary; any other chunk is encoded as it is.
 
 The tokenizer's file is read on the driver and sent to the tasks: a vocabulary doesn't grow with the
 data. Results for odd input: a null text counts as empty and has no tokens; rows with null ids and
@@ -41,7 +41,12 @@ SLICE_BYTES = 12_000_000
 SPACES = r"\pZ\x09-\x0D\x1C-\x1F\x{85}"
 #: White space beside a space, or at an end: such a text isn't cut.
 UNCUT = f"^[{SPACES}]|[{SPACES}]$| [{SPACES}]|[{SPACES}] "
-LATIN = regex.compile("[\x21-\x7e\xa1-ɏ]+")
+#: Characters whose kind (letter, digit, other) is the same in every version of Unicode that a library may have:
+#: Latin, Greek, Cyrillic, Arabic, kana, CJK, Hangul, full-width forms.
+SETTLED = regex.compile(
+    "[\x21-\x7e\xa1-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u0621-\u063a\u0641-\u064a"
+    "\u3001-\u3003\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]+"
+)
 _ready: dict[str, "Encoder"] = {}
 
 
@@ -68,7 +73,7 @@ class Encoder:
         """Tokens of a chunk: 1 for each pre-token that is proven whole; the rest is merged."""
         if chunk in whole:
             return 1
-        if LATIN.fullmatch(chunk, 1 if chunk.startswith(" ") else 0) and not any(a in chunk for a in self.added):
+        if SETTLED.fullmatch(chunk, 1 if chunk.startswith(" ") else 0) and not any(a in chunk for a in self.added):
             return sum(1 if p in whole else len(self.fast.encode_ordinary(p)) for p in self.pattern.findall(chunk))
         return len(self.ids(chunk))
 
