@@ -7,13 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own switch: shuffle files go as soon as the write that needed them is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir; a local session without it gets a folder of its own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local session without it gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
@@ -22,6 +25,16 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
         folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/newsloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return folder.rstrip("/")
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = f"{shared_dir(spark)}/newsloom/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,7 +26,8 @@ def domain_of(url: str | Column) -> Column:
 
 
 def _decoded(part: Column) -> Column:
-    return F.coalesce(F.try_url_decode(part), part)
+    """Form decoding; a percent sign without two digits stays."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25")), part)
 
 
 def _encoded(part: Column) -> Column:

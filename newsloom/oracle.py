@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from newsloom.functions.text import STOP_WORDS
-from newsloom.operators.exclusion import AD, AD_TITLE, BLOCKED as BLOCKED_REASON, ENGLISH, GALLERY, KNOWN
+from newsloom.operators.exclusion import AD, AD_TITLE, BLOCKED as BLOCKED_REASON, COMPANY, ENGLISH, GALLERY, KNOWN
 from newsloom.operators.matching import DEFAULT_WEIGHT, is_cased
 from newsloom.plans.profile import LEAST_READS
-from newsloom.queries import BLOCKED, LANGUAGES, PROFILE, TOPICS
+from newsloom.queries import BLOCKED, LANGUAGES, PROFILE, TOPICS, WIRE_DOMAINS, WIRE_PROFILE, WIRE_SOURCES, WIRE_TOPICS_OF_SOURCES
 from newsloom.sources.config import Topic
 
 
@@ -24,12 +24,12 @@ def condition(term: str, column: str = "text") -> str:
     return f"regexp_matches({column}, '(^|[^A-Za-z0-9]){gap}{plural}([^A-Za-z0-9]|$)', '{'c' if is_cased(term) else 'i'}')"
 
 
-def match_ctes(topics: list[Topic], rows: str = "documents", key: str = "doc_id", column: str = "text") -> str:
+def match_ctes(topics: list[Topic], rows: str = "documents", key: str = "doc_id", column: str = "text", weights: dict[str, dict[str, float]] = PROFILE.keyword_weights) -> str:
     """terms (a row per term) and hit (key, topic_ord, topic, pos, keyword, english, weight), exclusion applied."""
     values, met = [], []
     for order, t in enumerate(topics):
         for pos, (term, excludes) in enumerate([*((k, False) for k in t.terms), *((k, True) for k in t.exclude)]):
-            weight = PROFILE.keyword_weights.get(t.name, {}).get(term, DEFAULT_WEIGHT)
+            weight = weights.get(t.name, {}).get(term, DEFAULT_WEIGHT)
             met.append(f"SELECT {key}, {len(values)} AS term FROM {rows} WHERE {condition(term, column)}")
             values.append(f"({len(values)}, {order}, {quoted(t.name)}, {pos}, {quoted(term)}, {excludes}, {term in t.english}, CAST({weight} AS DOUBLE))")
     return f"""terms(term, topic_ord, topic, pos, keyword, excludes, english, weight) AS (VALUES {', '.join(values)}),
@@ -77,6 +77,33 @@ REASON = f"""SELECT doc_id, CASE WHEN source = 'src1' OR (doc_id % 3 <> 0 AND so
 assert BLOCKED == ["src3", "src4.example.com"]
 WEIGHTS = ", ".join(f"({quoted(k)}, CAST({v} AS DOUBLE))" for k, v in PROFILE.weights.items())
 MEDIA = f"media AS (SELECT page_id, url, page_id % 2 AS run, {HOST.format('url')} AS domain, strftime(DATE '2024-01-31' + CAST(page_id % 5 AS INTEGER), '%Y-%m-%d') AS day FROM pages WHERE {HOST.format('url')} NOT IN ('', 'example.com'))"
+PART_TOKENS = f"parts AS (SELECT p_partkey AS doc_id, p_name AS text FROM part), {TOKENS}, {IDF}, {CLASSES}".replace("documents", "parts")
+PART_PAIRS = f"""{PART_TOKENS}, reps AS (SELECT min(doc_id) AS doc_id FROM sets WHERE len(ws) > 0 GROUP BY ws),
+held AS (SELECT doc_id, w, idf FROM tok JOIN reps USING (doc_id) JOIN idf USING (w)), total AS (SELECT doc_id, sum(idf) AS s FROM held GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.idf) AS s FROM held a JOIN held b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2),
+sims AS (SELECT a, b, round(shared.s / (x.s + y.s - shared.s), 12) AS sim FROM shared JOIN total x ON a = x.doc_id JOIN total y ON b = y.doc_id)"""
+
+SAVED = """saved AS (SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS read_rank, 'T ' || o_orderstatus || ' ' || o_orderkey AS title, 'S & ' || o_orderpriority AS source,
+  'https://e.example/?a=1&o=' || o_orderkey AS url, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || 'T04:15:16Z' END AS published,
+  CASE WHEN o_orderkey % 5 = 0 THEN strftime(CAST(o_orderdate AS DATE) - INTERVAL 1 DAY, '%Y-%m-%d') || 'T23:00:00Z' ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || 'T13:00:00Z' END AS received, 'http://f.example/' || o_orderkey AS feed_url,
+  'm ' || o_orderkey % 3 AS feedly_meme, 'about ' || o_orderkey AS summary, 'o' || o_orderkey AS entry_id, CASE WHEN o_orderkey % 5 = 0 THEN 'published' ELSE '' END AS lacks FROM orders)"""
+
+
+def one_of(values: list, number: str = "k") -> str:
+    return f"list_extract([{', '.join(quoted(v) for v in values)}], CAST({number} % {len(values)} + 1 AS INTEGER))"
+
+
+WIRE = f"""wire AS (SELECT k, {one_of(['【PR】', '[PR] ', '【画像】', 'Sponsored ', *[''] * 7])} AS before, {one_of([' 3/12', ' cheap', ' old', *[''] * 10])} AS after, {one_of(WIRE_SOURCES)} AS source, {one_of(['RSS', 'はてブ検索', 'Googleニュース'])} AS via,
+  {one_of(WIRE_DOMAINS)} AS domain, {one_of(['cheap casino', 'a red ring', 'pills', 'hot hot bolts', *[''] * 15])} AS summary, {one_of(['ja', 'en', 'en', 'fr', 'en', 'en'])} AS lang, {one_of(WIRE_TOPICS_OF_SOURCES)} AS source_topics,
+  CASE WHEN k % 17 <> 0 THEN k % 100 - 3 END AS age, before || p_name || after AS title FROM (SELECT p_partkey AS k, p_name FROM part))"""
+
+
+def met_in(column: str) -> str:
+    return f"(WITH {match_ctes(WIRE_PROFILE.topics, 'wire', 'k', column, WIRE_PROFILE.keyword_weights)} SELECT DISTINCT k, topic_ord, topic, pos, keyword, weight FROM hit)"
+
+
+SPECIAL = " UNION ALL ".join(f"SELECT k, {i} AS topic_ord, {quoted(t)} AS topic, source FROM wire WHERE source_topics = {quoted(said)}" for i, t, said in ((1, "metal・rings", "rings、x"), (2, "sizes", "sizes・ほか")))
+WIRE_WEIGHTS = ", ".join(f"({quoted(t)}, CAST({w} AS DOUBLE))" for t, w in WIRE_PROFILE.weights.items())
 
 ORACLE_SQL: dict[str, str] = {
     "topic_match": f"WITH {match_ctes(TOPICS)} SELECT doc_id, topic, string_agg(keyword, ',' ORDER BY pos) AS keywords FROM hit GROUP BY doc_id, topic",
@@ -149,7 +176,7 @@ SELECT m.domain, m.domain AS publisher, count(*) AS n, arg_min(day, run * 100000
 FROM media m JOIN ex ON m.domain = ex.domain GROUP BY 1""",
     "retention_seen": "SELECT event_id, user_id FROM events WHERE epoch(TIMESTAMP '2024-01-30') - epoch(ts) < 604800",
     "day_groups": "SELECT strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, count(*) AS n, round(max(value), 2) AS best FROM events GROUP BY 1",
-    "collector_gate": "SELECT user_id, ok_ratio, ok_ratio >= 0.5 AS healthy FROM (SELECT user_id, round(avg(CAST(event_type <> 'error' AS DOUBLE)), 6) AS ok_ratio FROM events GROUP BY 1)",
+    "collector_gate": "SELECT r / 100.0::DOUBLE AS least_ratio, (SELECT avg(CAST(event_type <> 'error' AS DOUBLE)) FROM events WHERE user_id % 10 <> 0) >= r / 100.0::DOUBLE AS healthy FROM range(0, 101, 5) t(r)",
     "feed_descriptions": f"""WITH {match_ctes(TOPICS)}, t AS (SELECT doc_id, topic_ord, topic || '（' || string_agg(keyword, ', ' ORDER BY pos) FILTER (WHERE k <= 4) || '）' AS part
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, topic_ord ORDER BY pos) AS k FROM hit) GROUP BY doc_id, topic_ord, topic),
 d AS (SELECT doc_id, string_agg(part, ' / ' ORDER BY topic_ord) AS parts FROM t GROUP BY 1)
@@ -157,4 +184,50 @@ SELECT d.doc_id, '該当トピック: ' || parts || '｜出典: ' || source || C
 sha1('https://' || source || '.example.com/' || d.doc_id) AS guid FROM d JOIN documents ON d.doc_id = documents.doc_id""",
     "processing_order": "SELECT o_orderkey, '1' || printf('%012X', CAST(1000000000000 - round(round(o_totalprice / 1e6, 4) * 10000) AS BIGINT)) || printf('%016X', o_orderkey) AS key FROM orders",
     "stream_domain_counts": f"SELECT strftime(TIMESTAMP '2024-01-31' - to_minutes(page_id), '%Y-%m-%d') AS day, {HOST.format('url')} AS domain, count(*) AS n FROM pages GROUP BY 1, 2",
+    "part_pairs": f"WITH {PART_PAIRS} SELECT a, b, round(sim, 6) AS similarity FROM sims WHERE sim >= 0.3",
+    "part_stories": f"""WITH RECURSIVE {PART_PAIRS}, near AS (SELECT * FROM sims WHERE sim >= 0.3),
+numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM reps), before AS (SELECT numbered.doc_id, i, coalesce(list(a) FILTER (WHERE a IS NOT NULL), []) AS earlier FROM numbered LEFT JOIN near ON doc_id = b GROUP BY 1, 2),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders UNION ALL
+  SELECT before.i, CASE WHEN list_has_any(leaders, earlier) THEN leaders ELSE list_append(leaders, doc_id) END FROM walk JOIN before ON before.i = walk.i + 1),
+leads AS (SELECT unnest(leaders) AS leader FROM walk WHERE i = (SELECT count(*) FROM reps)),
+mutual AS (SELECT a, b, sim FROM near UNION ALL SELECT b, a, sim FROM near UNION ALL SELECT doc_id, doc_id, 1.0 FROM reps),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ws) AS c FROM sets)
+SELECT doc_id AS p_partkey, story FROM (SELECT class.doc_id, leader AS story, row_number() OVER (PARTITION BY class.doc_id ORDER BY sim DESC, leader DESC) AS place FROM class JOIN mutual ON a = c JOIN leads ON leader = b AND leader <= class.doc_id) WHERE place = 1""",
+    "part_picks": f"""WITH RECURSIVE {PART_TOKENS}, cand AS (SELECT p_partkey AS ord, 'source' || p_partkey % 9 AS src, round(p_retailprice, 1) AS score, CASE p_brand WHEN 'Brand#1' THEN 'a' WHEN 'Brand#2' THEN 'b' ELSE '' END AS topic, round(p_size / 100.0, 2) AS rank, ws FROM part JOIN sets ON p_partkey = doc_id),
+weight AS (SELECT map(list(w), list(idf)) AS m FROM idf),
+turn AS (SELECT row_number() OVER (ORDER BY phase, rank DESC, score DESC, ord) AS i, * FROM (SELECT CASE topic WHEN 'a' THEN 1 ELSE 2 END AS phase, CASE topic WHEN 'a' THEN 7 ELSE 3 END AS quota, * FROM cand WHERE topic <> '' UNION ALL SELECT 3, 12, ord, src, score, topic, 0.0, ws FROM cand)),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ords, CAST([] AS VARCHAR[]) AS srcs, CAST([] AS VARCHAR[][]) AS words, 0 AS phase, 0 AS got UNION ALL
+  SELECT i, CASE WHEN take THEN list_append(ords, ord) ELSE ords END, CASE WHEN take THEN list_append(srcs, src) ELSE srcs END, CASE WHEN take THEN list_append(words, ws) ELSE words END, phase, got + CAST(take AS INTEGER)
+  FROM (SELECT turn.i, turn.phase, ords, srcs, words, ord, src, ws, CASE WHEN walk.phase = turn.phase THEN got WHEN turn.phase = 3 THEN len(ords) ELSE 0 END AS got,
+      CASE WHEN walk.phase = turn.phase THEN got WHEN turn.phase = 3 THEN len(ords) ELSE 0 END < quota AND NOT list_contains(ords, ord) AND len(list_filter(srcs, lambda x: x = src)) < 2
+      AND NOT list_bool_or(list_transform(words, lambda o: round(coalesce(list_sum(list_transform(list_intersect(o, ws), lambda t: m[t])), 0) / list_sum(list_transform(list_distinct(list_concat(o, ws)), lambda t: m[t])), 12) >= 0.5)) IS TRUE AS take
+    FROM walk JOIN turn ON turn.i = walk.i + 1, weight))
+SELECT ord AS p_partkey, CAST(p - 1 AS BIGINT) AS place FROM (SELECT unnest(ords) AS ord, generate_subscripts(ords, 1) AS p FROM walk WHERE i = (SELECT max(i) FROM turn))""",
+    "wire_reasons": f"""WITH {WIRE} SELECT k AS p_partkey, CASE WHEN age > 72 THEN 'too_old'
+WHEN domain IN ('src1.example.com', 'a.src1.example.com') OR (via <> 'RSS' AND source = 'src2 news') THEN '{KNOWN}' WHEN lang NOT IN ({', '.join(map(quoted, LANGUAGES))}) THEN '{ENGLISH}'
+WHEN before IN ('【PR】', '[PR] ', 'Sponsored ') THEN '{AD}' WHEN before = '【画像】' OR after = ' 3/12' THEN '{GALLERY}' WHEN via = 'Googleニュース' AND source IN ('株式会社 北', '合同会社 南') THEN '{COMPANY}'
+WHEN source = 'src3' OR domain IN ('src4.example.com', 'sub.src4.example.com') THEN '{BLOCKED_REASON}' WHEN after = ' cheap' OR summary = 'cheap casino' THEN '集めない話題（money）' ELSE '' END AS reason FROM wire""",
+    "wire_scores": f"""WITH {WIRE}, th AS {met_in('title')}, sh0 AS {met_in('summary')}, sp AS ({SPECIAL}),
+sh AS (SELECT * FROM sh0 WHERE NOT EXISTS (SELECT 1 FROM th WHERE th.k = sh0.k AND th.topic_ord = sh0.topic_ord AND th.keyword = sh0.keyword)),
+t AS (SELECT DISTINCT k, topic_ord, topic FROM (SELECT k, topic_ord, topic FROM th UNION ALL SELECT k, topic_ord, topic FROM sh0 UNION ALL SELECT k, topic_ord, topic FROM sp)),
+tt AS (SELECT k, topic_ord, product(1 - weight) AS p, string_agg(keyword, '+' ORDER BY pos) AS ks FROM th GROUP BY 1, 2), st AS (SELECT k, topic_ord, product(1 - 0.5 * weight) AS p, string_agg(keyword, '+' ORDER BY pos) AS ks FROM sh GROUP BY 1, 2),
+w(topic, tw) AS (VALUES {WIRE_WEIGHTS}),
+x AS (SELECT t.*, coalesce(tw, 0.5) AS tw, CASE WHEN sp.source IS NOT NULL AND tt.p IS NULL THEN 0.5 ELSE 1.0 END * coalesce(tt.p, 1.0) AS title_left, coalesce(st.p, 1.0) AS sum_left, sp.source, coalesce(concat_ws('+', tt.ks, st.ks), '') AS ks
+  FROM t LEFT JOIN tt ON t.k = tt.k AND t.topic_ord = tt.topic_ord LEFT JOIN st ON t.k = st.k AND t.topic_ord = st.topic_ord LEFT JOIN sp ON t.k = sp.k AND t.topic_ord = sp.topic_ord LEFT JOIN w ON t.topic = w.topic),
+c AS (SELECT *, tw * (1 - title_left * sum_left) * CASE WHEN source IS NULL THEN 1.0 ELSE 1.5 END AS con, CASE WHEN ks = '' THEN '専門媒体: ' || source ELSE ks END AS said FROM x),
+per AS (SELECT k, sum(con) AS total, string_agg(topic || ':' || said, ' ' ORDER BY round(con, 3) DESC, topic_ord) AS topics FROM c GROUP BY 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(1 - title_left, 3) DESC, round(1 - title_left * sum_left, 3) DESC, tw, topic DESC) AS place FROM c)
+SELECT wire.k AS p_partkey, coalesce(round(total * pow(0.5, greatest(coalesce(age, 0), 0) / 72.0) * CASE WHEN via = 'Googleニュース' THEN 0.85 ELSE 1.0 END, 4), 0.0) AS score,
+CASE WHEN title_left < 1 THEN best.topic ELSE '' END AS primary, coalesce(per.topics, '') AS topics, CASE WHEN title_left < 1 THEN round(con, 3) ELSE 0.0 END AS contrib FROM wire LEFT JOIN per ON wire.k = per.k LEFT JOIN best ON wire.k = best.k AND place = 1""",
+    "saved_articles": f"WITH {SAVED} SELECT * FROM saved",
+    "saved_report": f"WITH {SAVED} SELECT count(*) AS articles, min(nullif(published, '')) AS published_min, max(nullif(published, '')) AS published_max, count(*) FILTER (WHERE lacks <> '') AS problems FROM saved",
+    "feed_entries": """WITH e AS (SELECT *, o_custkey % 2 = 0 AS atom, o_custkey % 3 AS kind, 'T & ' || o_orderpriority AS head, o_orderkey % 2 = 0 AS signed FROM orders),
+l AS (SELECT *, CASE WHEN atom THEN 'https://a.example/' ELSE 'https://www.h' || o_orderkey % 7 || '.example/' END || o_orderkey AS link, CASE WHEN atom THEN 'a.example' ELSE 'h' || o_orderkey % 7 || '.example' END AS site FROM e)
+SELECT CASE WHEN signed AND NOT (kind = 2 AND NOT atom AND FALSE) THEN head || ' - The Post' ELSE head END AS title, link, CASE kind WHEN 0 THEN 'N' || o_custkey WHEN 1 THEN site WHEN 2 THEN CASE WHEN atom THEN 'Googleニュース' ELSE 'The <b>Post' END END AS source,
+CASE kind WHEN 0 THEN 'RSS' WHEN 1 THEN 'はてブ検索' ELSE 'Googleニュース' END AS via, 'L' || o_custkey AS collector, CASE WHEN kind < 2 THEN site WHEN atom THEN '' ELSE 'post.example' END AS domain,
+CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) + CASE WHEN atom THEN 0 ELSE 15 * 3600 END AS published, CASE WHEN kind = 2 THEN '' WHEN atom THEN 's' ELSE 'order ' || o_orderkey END AS summary, 'en' AS lang FROM l""",
+    "history_file": """SELECT CAST(p_partkey AS INTEGER) AS read_rank, 'a "quoted", ' || p_name || chr(10) || 'line' AS title, CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE '' END AS source, 'https://p.example/' || p_partkey AS url, '' AS published,
+CAST(p_partkey AS VARCHAR) AS received, CAST(p_partkey AS VARCHAR) AS feed_url, CAST(p_partkey AS VARCHAR) AS feedly_meme, CAST(p_partkey AS VARCHAR) AS summary, CAST(p_partkey AS VARCHAR) AS entry_id FROM part""",
+    "state_versions": """SELECT 'u' || user_id || '.example' AS domain, event_type AS publisher, count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS first_seen, strftime(max(ts), '%Y-%m-%d') AS last_seen, event_type AS examples FROM events WHERE event_type <> 'view' GROUP BY user_id, event_type""",
+    "decoded_links": "SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS day, 'http://e.example/' || event_type || '/あ+%zz' AS link FROM events",
 }

@@ -8,24 +8,24 @@ articles where titles are compared: titles are short, and so are the prefixes th
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.scores import trend_label
-from newsloom.functions.tables import table, written
+from newsloom.functions.tables import shared_dir, table, written
 from newsloom.functions.text import detect_lang, norm_name, plain, story_tokens
-from newsloom.functions.times import feed_time, saved_date
-from newsloom.functions.urls import domain_of, normalize_url
+from newsloom.functions.times import feed_time, parse_day, saved_date
+from newsloom.functions.urls import domain_of, normalize_url, unquoted
 from newsloom.operators.exclusion import in_domains, known_publishers, with_reasons
 from newsloom.operators.matching import match_topics, vetoes
 from newsloom.operators.scoring import with_scores
 from newsloom.operators.selection import capped, diverse_selection, largest_remainders
 from newsloom.operators.state import newly_found, retained, unseen, update_discovered
 from newsloom.operators.stories import buzz, document_frequencies, representatives, similar_classes, story_clusters, token_classes, token_key
-from newsloom.plans.feed import processing_key, rank
+from newsloom.plans.feed import considered, processing_key, rank
 from newsloom.plans.profile import (
     first_rows,
     history_stats,
@@ -45,10 +45,12 @@ from newsloom.plans.profile import (
     with_weights,
 )
 from newsloom.sinks.feed import description, guid, local_day
+from newsloom.sinks.report import write_history
 from newsloom.sources.config import Topic
-from newsloom.sources.feeds import SUMMARY_CHARS, VIA
-from newsloom.sources.pages import page_title
-from newsloom.sources.state import Profile
+from newsloom.sources.feeds import SUMMARY_CHARS, VIA, healthy, items, parsed
+from newsloom.sources.pages import HISTORY, extraction_report, page_title, read_history
+from newsloom.sources.pages import articles as saved_pages
+from newsloom.sources.state import DISCOVERED, Profile, read_state, write_state
 from newsloom.streaming.items import domain_counts
 
 REFERENCE = dt.date(2024, 1, 31)
@@ -74,6 +76,19 @@ PROFILE = Profile(
     sources=[],
 )
 BLOCKED = ["src3", "src4.example.com"]
+WIRE_SOURCES = ["北株式会社", "株式会社 北", "src2 news", "Daily Src3", "src3", "合同会社 南", "src9"]
+WIRE_DOMAINS = ["src1.example.com", "a.src1.example.com", "src4.example.com", "sub.src4.example.com", "ok.example.org", "", "notsrc1.example.com", "src9.example.com"]
+WIRE_TOPICS_OF_SOURCES = ["rings、x", "metal全般", "", "sizes・ほか"]
+WIRE_PROFILE = Profile(
+    topics=[Topic("colours", ["red", "blue"], ["hot"]), Topic("metal・rings", ["ring", "plate"], ["bolt"], ["old"]), Topic("sizes", ["small widget"], ["new"])],
+    vetoes=[t for t in TOPICS if not t.collect],
+    weights={"colours": 0.43, "metal・rings": 0.97},
+    allocation={},
+    keyword_weights={"colours": {"red": 0.89}, "metal・rings": {"ring": 0.71}},
+    known_domains=PROFILE.known_domains,
+    known_publishers=PROFILE.known_publishers,
+    sources=[],
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,10 +310,141 @@ def quota_cap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diverse_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = with_scores(spark, headlines(spark, sf_dir), PROFILE.topics, PROFILE.weights, PROFILE.keyword_weights, F.lit(NOW)).withColumns({"tokens": story_tokens("title"), "buzz": F.lit(1.0)})
     rows = written(spark, scored.where("primary <> ''"), "scored")
-    picked = diverse_selection(rows, document_frequencies(rows).select("token", "idf"), [(n, round(a * 30)) for n, a in PROFILE.allocation.items()], 30, 4)
+    shares = spark.createDataFrame([(i, n, a) for i, (n, a) in enumerate(PROFILE.allocation.items())], "ord int, name string, share double")
+    quotas = {r["name"]: r.quota for r in largest_remainders(shares, 30).collect()}  # a row per topic
+    picked = diverse_selection(rows, document_frequencies(rows).select("token", "idf"), [(n, quotas[n]) for n in PROFILE.allocation], 30, 4)
     return spark.createDataFrame([(o, i) for i, o in enumerate(picked.ords)], "page_id long, place int")
 
 
+def part_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parts as headlines: names of two words, each of which many others have."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), story_tokens("p_name").alias("tokens"))
+
+
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(spark, part_titles(spark, sf_dir), "titles")
+    return similar_classes(token_classes(rows), document_frequencies(rows), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def part_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(spark, part_titles(spark, sf_dir), "titles")
+    return story_clusters(spark, rows, document_frequencies(rows)).select(F.col("ord").alias("p_partkey"), "story")
+
+
+def part_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve parts by price, at most two of a container, none too similar to one picked before; seven and three from two brands first."""
+    brand, number = F.col("p_brand"), F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        number.alias("ord"), F.concat(F.lit("Source "), (number % 9).cast("string")).alias("source"), F.round("p_retailprice", 1).alias("score"), F.when(brand == "Brand#1", "a").when(brand == "Brand#2", "b").otherwise("").alias("primary"),
+        (F.col("p_size") / 100).alias("contrib"), F.lit(1.0).alias("fresh"), F.lit(1.0).alias("buzz"), story_tokens("p_name").alias("tokens"),
+    )
+    rows = written(spark, rows, "candidates")
+    picked = diverse_selection(rows, document_frequencies(rows).select("token", "idf"), [("b", 3), ("a", 7)], 12, 2, diversity=0.5)
+    return spark.createDataFrame([(o, i) for i, o in enumerate(picked.ords)], "p_partkey long, place int")
+
+
+def of_number(values: list, number: Column) -> Column:
+    """One of the values, by a number modulo how many there are."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+
+def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parts as a wire of candidates with every kind of title, source, domain and date."""
+    k = F.col("p_partkey")
+    before = of_number(["【PR】", "[PR] ", "【画像】", "Sponsored ", *[""] * 7], k)
+    after = of_number([" 3/12", " cheap", " old", *[""] * 10], k)
+    return table(spark, sf_dir, "part").select(
+        k.alias("ord"), F.concat(before, "p_name", after).alias("title"), F.concat(F.lit("https://x.example/"), k.cast("string")).alias("link"), of_number(WIRE_SOURCES, k).alias("source"),
+        of_number([*VIA.values()], k).alias("via"), F.lit("c").alias("collector"), F.lit("f").alias("feed_url"), of_number(WIRE_DOMAINS, k).alias("domain"),
+        F.when(k % 17 != 0, F.timestamp_seconds(F.unix_seconds(F.lit(NOW)) - (k % 100 - 3) * 3600)).alias("published"),
+        of_number(["cheap casino", "a red ring", "pills", "hot hot bolts", *[""] * 15], k).alias("summary"), of_number(["ja", "en", "en", "fr", "en", "en"], k).alias("lang"), of_number(WIRE_TOPICS_OF_SOURCES, k).alias("source_topics"),
+    )
+
+
+def wire_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = considered(spark, wire(spark, sf_dir), WIRE_PROFILE, BLOCKED, F.lit(NOW), LANGUAGES)
+    return rows.select(F.col("ord").alias("p_partkey"), "reason")
+
+
+def wire_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = WIRE_PROFILE
+    rows = with_scores(spark, wire(spark, sf_dir), p.topics, p.weights, p.keyword_weights, F.lit(NOW))
+    told = F.transform("topics", lambda t: F.concat(t["name"], F.lit(":"), F.array_join(t["keywords"], "+")))
+    return rows.select(F.col("ord").alias("p_partkey"), "score", "primary", F.coalesce(F.array_join(told, " "), F.lit("")).alias("topics"), F.coalesce("contrib", F.lit(0.0)).alias("contrib"))
+
+
+def saved_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as saved pages, one for each customer, and what is read back from them."""
+    key = F.col("o_orderkey").cast("string")
+    day = F.date_format("o_orderdate", "dd MMM yyyy")
+    dates = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('<span title="Received: Fri, '), day, F.lit(' 01:00:00 GMT+2">'))).otherwise(
+        F.concat(F.lit('<span title="Published: Thu, '), day, F.lit(" 24:15:16 GMT-4\nReceived: Thu, "), day, F.lit(' 13:00:00 GMT+0">')))
+    block = F.concat(
+        F.lit('<article id="o'), key, F.lit('_main"><a class="EntryMetadataSource" href="/i/subscription/content/feed%2Fhttp%3A%2F%2Ff.example%2F'), key,
+        F.lit('">S &amp; '), "o_orderpriority", F.lit('</a><a class="EntryTitleLink" href="https://e.example/?a=1&amp;o='), key, F.lit('">T <b>'), "o_orderstatus", F.lit("</b>  "), key,
+        F.lit('</a><i title="Meme" class="InterestingMetadata__icon"></i><span>m '), (F.col("o_orderkey") % 3).cast("string"), F.lit('</span><div><div><div><div>about '), key,
+        F.lit('</div></div></div><div class="k">'), dates, F.lit("</span></div></article>"),
+    )
+    blocks = F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("block"))))
+    saved = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.concat(F.lit("<html>"), F.array_join(F.transform(blocks, lambda b: b["block"]), " "), F.lit("</html>")).alias("html"))
+    rows = saved_pages(saved, keep=("o_custkey",))
+    return rows.select("*", F.array_join("problems", ",").alias("lacks")).drop("problems")
+
+
+def saved_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction_report(saved_articles(spark, sf_dir).withColumn("problems", F.filter(F.split("lacks", ","), lambda p: p != "")))
+
+
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as feeds, one for each customer, in three kinds and two formats, and the items read back from them."""
+    key, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "dd MMM yyyy")
+    head = F.concat(F.lit("<title>T &amp;amp; "), "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, " - The &lt;b&gt;Post").otherwise(""), F.lit("</title>"))
+    rss = F.concat(F.lit("<item>"), head, F.lit("<link>https://www.h"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".example/"), key, F.lit("</link><description>&lt;p&gt;order&lt;/p&gt; "), key,
+        F.lit('</description><source url="https://post.example">The &lt;b&gt;Post</source><pubDate>Thu, '), day, F.lit(" 10:00:00 EST</pubDate></item>"))
+    atom = F.concat(F.lit("<entry>"), head, F.lit('<link rel="self" href="https://self.example"/><link href="https://a.example/'), key, F.lit('"/><summary>s</summary><updated>'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T09:00:00+09:00</updated></entry>"))
+    is_atom = F.col("o_custkey") % 2 == 0
+    orders = table(spark, sf_dir, "orders")
+    inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.when(is_atom, atom).otherwise(rss).alias("entry")))), lambda e: e["entry"]), "")
+    bodies = orders.groupBy("o_custkey").agg(inside.alias("inside"))
+    body = F.when(is_atom, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "inside", F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel>"), "inside", F.lit("</channel></rss>")))
+    number = F.col("o_custkey")
+    feeds = bodies.select(
+        of_number(["rss", "hatena", "google"], number).alias("kind"), number.cast("int").alias("position"), F.concat(F.lit("L"), number.cast("string")).alias("label"), F.lit("https://feeds.example").alias("url"),
+        F.concat(F.lit("N"), number.cast("string")).alias("name"), F.lit("t").alias("source_topics"), body.cast("binary").alias("body"), F.lit(None).cast("string").alias("error"),
+    )
+    rows = items(parsed(feeds))
+    return rows.select("title", "link", "source", "via", "collector", "domain", F.unix_seconds("published").alias("published"), "summary", "lang")
+
+
+def history_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parts as a history, written as CSV and read again."""
+    k = F.col("p_partkey").cast("string")
+    text = {"title": F.concat(F.lit('a "quoted", '), "p_name", F.lit("\nline")), "source": F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")), "url": F.concat(F.lit("https://p.example/"), k), "published": F.lit("")}
+    columns = [F.col("p_partkey").cast("int").alias("read_rank"), *[text.get(n, k).alias(n) for n in HISTORY.fieldNames()[1:]]]
+    path = f"{shared_dir(spark)}/newsloom/history-{uuid.uuid4().hex}"
+    write_history(table(spark, sf_dir, "part").select(columns), path)
+    return read_history(spark, path)
+
+
+def state_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events kept as discovered media, in two versions: the second is what is read."""
+    media = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("count"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
+    rows = media.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example")).alias("domain"), F.col("event_type").alias("publisher"), "count", iso("first").alias("first_seen"), iso("last").alias("last_seen"), F.array("event_type").alias("examples"))
+    path = f"{shared_dir(spark)}/newsloom/state-{uuid.uuid4().hex}"
+    write_state(spark, rows, path)
+    write_state(spark, rows.where(F.col("publisher") != "view"), path)
+    return read_state(spark, path, DISCOVERED).select("domain", "publisher", F.col("count").alias("n"), "first_seen", "last_seen", F.array_join("examples", ",").alias("examples"))
+
+
+def decoded_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of ISO times, and parts of URLs that are written with percent signs."""
+    events = table(spark, sf_dir, "events")
+    iso = F.when(F.col("event_id") % 50 == 0, "no day").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    said = F.concat(F.lit("http%3A%2F%2Fe.example%2F"), "event_type", F.lit("%2f%E3%81%82+%zz"))
+    return events.select("event_id", parse_day(iso).cast("string").alias("day"), unquoted(said).alias("link"))
+
+
 def found_media(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
     pages = table(spark, sf_dir, "pages").where(F.col("page_id") % 2 == parity)
     day = F.date_add(F.lit(REFERENCE), (F.col("page_id") % 5).cast("int")).cast("timestamp")
@@ -307,8 +453,6 @@ def found_media(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
 
 
 def discovered_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from newsloom.sources.state import DISCOVERED
-
     state = update_discovered(spark.createDataFrame([], DISCOVERED), found_media(spark, sf_dir, 0))
     after = update_discovered(state, found_media(spark, sf_dir, 1))
     return after.select("domain", "publisher", F.col("count").alias("n"), "first_seen", "last_seen", F.array_join("examples", " ").alias("examples"))
@@ -323,8 +467,10 @@ def day_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collector_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = (F.col("event_type") != "error").cast("double")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg(ok), 6).alias("ok_ratio")).withColumn("healthy", F.col("ok_ratio") >= 0.5)
+    """events as answers of feeds: whether a run would publish, for ratios that it may ask for."""
+    error = F.when(F.col("event_type") == "error", "HTTPError: 500")
+    feeds = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 10 == 0, "google").otherwise("rss").alias("kind"), error.alias("error"))
+    return spark.createDataFrame([(r / 100, healthy(feeds, r / 100)) for r in range(0, 101, 5)], "least_ratio double, healthy boolean")
 
 
 def feed_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,11 +496,16 @@ def stream_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/pages.parquet").schema
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/pages.parquet*")
     rows = stream.select(F.col("url").alias("link"), F.timestamp_seconds(F.unix_seconds(F.lit(NOW)) - F.col("page_id") * 60).alias("published"))
-    name = f"stream_{id(rows)}"
-    checkpoint = tempfile.mkdtemp(prefix="newsloom-") if spark.conf.get("spark.checkpoint.dir", None) is None else f"{spark.conf.get('spark.checkpoint.dir')}/newsloom/{name}"
-    counts = domain_counts(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    path = f"{shared_dir(spark)}/newsloom/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    counts = domain_counts(rows).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     counts.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "domain", "n")
+    batches = spark.read.parquet(path)
+    last = batches.where(F.col("batch") == batches.agg(F.max("batch")).first()[0])
+    return last.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "domain", "n")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -396,5 +547,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feed_descriptions": feed_descriptions,
     "feed_rank": feed_rank,
     "processing_order": processing_order,
+    "part_pairs": part_pairs,
+    "part_stories": part_stories,
+    "part_picks": part_picks,
+    "wire_reasons": wire_reasons,
+    "wire_scores": wire_scores,
+    "saved_articles": saved_articles,
+    "saved_report": saved_report,
+    "feed_entries": feed_entries,
+    "history_file": history_file,
+    "state_versions": state_versions,
+    "decoded_links": decoded_links,
     "stream_domain_counts": stream_domain_counts,
 }
