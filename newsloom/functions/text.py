@@ -6,7 +6,7 @@ import html
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +23,17 @@ has have had about more up out not no vs via than just now here there first last
 
 
 @F.arrow_udf(T.StringType())
-def nfkc(texts: pa.Array) -> pa.Array:
+def _nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+def nfkc(text: str | Column) -> Column:
+    """The normal form; texts of ASCII alone have it already and don't go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    beyond = text.rlike("[^\\x00-\\x7F]")
+    return F.when(beyond, _nfkc(F.when(beyond, text))).otherwise(text)
+
+
 @F.arrow_udf(T.StringType())
 def unescaped(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
@@ -71,4 +78,10 @@ def story_tokens(title: str | Column) -> Column:
         F.regexp_extract_all(text, F.lit(HAN_RUN), 1),
         lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2))),
     )
-    return F.array_distinct(F.concat(words, F.regexp_extract_all(text, F.lit(KATAKANA_RUN), 1), F.flatten(pairs)))
+    beyond = F.concat(F.regexp_extract_all(text, F.lit(KATAKANA_RUN), 1), F.flatten(pairs))
+    return F.array_distinct(F.when(text.rlike(JAPANESE), F.concat(words, beyond)).otherwise(words))
+
+
+def each_of(rows: DataFrame, items: str | Column, name: str, *kept: str | Column) -> DataFrame:
+    """A row per element of an array, without the filter on the array that Spark puts below an explode, which would compute it twice."""
+    return rows.select(*kept, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())

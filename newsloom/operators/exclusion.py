@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import nfkc, norm_name, text_of
+from newsloom.functions.tables import written
+from newsloom.functions.text import norm_name, text_of
 from newsloom.functions.urls import domain_suffixes
 from newsloom.operators.matching import vetoes
 from newsloom.sources.config import Topic
@@ -61,19 +62,20 @@ def known_publishers(rows: DataFrame, publishers: DataFrame, name_column: str =
 def with_reasons(spark: SparkSession, items: DataFrame, known_domains: list[str], known_names: list[str], blocked: list[str], veto_topics: list[Topic], languages: tuple[str, ...] = ("ja",)) -> DataFrame:
     """items (with a unique ord) with reason, "" for those to be considered."""
     column = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
-    domains = [b for b in blocked if "." in b and " " not in b]
-    at_known = in_domains(items, column(known_domains, "domain"), "ord").withColumn("known_domain", F.lit(True))
-    at_blocked = in_domains(items, column(domains, "domain"), "ord").withColumn("blocked_domain", F.lit(True))
-    named = known_publishers(items.where("via <> 'RSS'"), column(known_names, "name")).select(F.col("name").alias("source"), F.lit(True).alias("known_name"))
-    blocked_names = F.broadcast(column(blocked, "name").select(norm_name("name").alias("norm_source"), F.lit(True).alias("blocked_name")).distinct())
-    vetoed = vetoes(spark, items, veto_topics)
+    # lists meet distinct domains and names, whose flags then meet the items; only vetoes are by item
+    domains = items.select(text_of("domain").alias("at_domain")).distinct()
+    at_known = in_domains(domains, column(known_domains, "domain"), "at_domain", "at_domain").withColumn("known_domain", F.lit(True))
+    at_blocked = in_domains(domains, column([b for b in blocked if "." in b and " " not in b], "domain"), "at_domain", "at_domain").withColumn("blocked_domain", F.lit(True))
+    flagged = at_known.join(at_blocked, "at_domain", "full")
+    named = known_publishers(items.where("via <> 'RSS'"), column(known_names, "name")).select(F.col("name").alias("at_source"), F.lit(True).alias("known_name"))
+    names = items.select(text_of("source").alias("at_source")).distinct().withColumn("n", norm_name("at_source"))
+    at_names = names.join(listed(column(blocked, "name").select(norm_name("name").alias("n")).distinct()), "n", "left_semi").select("at_source", F.lit(True).alias("blocked_name"))
+    sources = named.join(at_names, "at_source", "full")
+    vetoed = vetoes(spark, items, veto_topics).withColumnRenamed("ord", "at_ord")
     joined = (
-        items.withColumns({"norm_source": norm_name("source"), "nfkc_title": nfkc(text_of("title"))})
-        .join(blocked_names, "norm_source", "left")
-        .join(named, "source", "left")
-        .join(at_known, "ord", "left")
-        .join(at_blocked, "ord", "left")
-        .join(vetoed, "ord", "left")
+        items.join(listed(written(spark, flagged, "domains")), F.col("at_domain") == text_of("domain"), "left")
+        .join(listed(written(spark, sources, "names")), F.col("at_source") == text_of("source"), "left")
+        .join(listed(written(spark, vetoed, "vetoes")), F.col("at_ord") == F.col("ord"), "left")
     )
     reason = (
         F.when(F.col("known_domain") | (F.col("known_name") & (F.col("via") != "RSS")), KNOWN)

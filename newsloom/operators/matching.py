@@ -2,7 +2,7 @@
 
 A term of ASCII letters and digits matches as a whole word: texts are cut into such words once, and
 words meet terms in an equi-join with a broadcast table of the configuration. Other terms are tested
-as literals where the text is. Rules: a term of at most four characters with a capital is case-sensitive; spaces and hyphens are interchangeable; a term of four
+as literals where the text is, and join by a name of their own, so each text is read once. Rules: a term of at most four characters with a capital is case-sensitive; spaces and hyphens are interchangeable; a term of four
 characters or more may have s or es after it; a term beyond ASCII matches anywhere.
 
 What an excluded term of a topic matches has no hits in that topic. A term that is defined twice in a
@@ -18,11 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import nfkc, text_of
+from newsloom.functions.text import each_of, nfkc, text_of
 from newsloom.sources.config import Topic
 
 TERMS = "term int, topic_ord int, topic string, pos int, keyword string, excludes boolean, weight double"
 DEFAULT_WEIGHT = 0.4
+#: Terms are written by hand; their table is broadcast.
+MOST_WORDS = 200_000
 
 
 def is_cased(term: str) -> bool:
@@ -62,9 +64,17 @@ def term_table(spark: SparkSession, topics: list[Topic], weights: dict[str, dict
                 cased = is_cased(term)
                 endings = ("", "s", "es") if term[-1].isalpha() and len(term) >= 4 else ("",)
                 words += [(number, cased, (term if cased else term.lower()) + e) for e in endings]
+    words += [(i, True, named(i)) for i, _ in [*patterns, *parts]]
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"{len(words)} words of terms are more than a configuration holds and a broadcast may")
     return Terms(spark.createDataFrame(rows, TERMS), spark.createDataFrame(words, "term int, cased boolean, word string"), patterns, parts)
 
 
+def named(term: int) -> str:
+    """What stands for a term that isn't a word, where words are looked up; no word has a space."""
+    return f" {term}"
+
+
 def hits(texts: DataFrame, terms: Terms) -> DataFrame:
     """(keys..., topic_ord, topic, hits) for texts (keys..., text): what each text hits of each topic, exclusion applied.
 
@@ -74,12 +84,11 @@ def hits(texts: DataFrame, terms: Terms) -> DataFrame:
     clean = texts.select(*keys, nfkc(text_of("text")).alias("text"))
     clean = clean.withColumn("words", F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), 1)))
     form = lambda cased, words: F.transform(words, lambda w: F.struct(F.lit(cased).alias("cased"), w.alias("word")))
-    forms = F.concat(form(True, F.col("words")), form(False, F.array_distinct(F.transform("words", F.lower))))
     lowered = F.lower("text")
-    found = [F.when(F.col("text").rlike(p), F.lit(i)) for i, p in terms.patterns] + [F.when(lowered.contains(p), F.lit(i)) for i, p in terms.parts]
-    met = clean.select(*keys, F.explode(forms).alias("form")).select(*keys, "form.cased", "form.word").join(F.broadcast(terms.words), ["cased", "word"]).select(*keys, "term")
-    if found:
-        met = met.unionByName(clean.select(*keys, F.explode(F.filter(F.array(*found), lambda i: i.isNotNull())).alias("term")))
+    found = [F.when(F.col("text").rlike(p), F.lit(named(i))) for i, p in terms.patterns] + [F.when(lowered.contains(p), F.lit(named(i))) for i, p in terms.parts]
+    others = [form(True, F.filter(F.array(*found), lambda n: n.isNotNull()))] if found else []
+    forms = F.concat(form(True, F.col("words")), form(False, F.array_distinct(F.transform("words", F.lower))), *others)
+    met = each_of(clean, forms, "form", *keys).select(*keys, "form.cased", "form.word").join(F.broadcast(terms.words), ["cased", "word"]).select(*keys, "term")
     hit = F.struct("pos", "keyword", "weight")
     grouped = met.join(F.broadcast(terms.table), "term").groupBy(*keys, "topic_ord", "topic").agg(F.max("excludes").alias("vetoed"), F.array_sort(F.collect_set(F.when(~F.col("excludes"), hit))).alias("hits"))
     return grouped.where("NOT vetoed AND size(hits) > 0").drop("vetoed")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.tables import written
+from newsloom.functions.text import each_of
 
 # Thresholds and factors.
 SAME_STORY = 0.30
@@ -35,7 +36,7 @@ def idf(df: Column, n: int) -> Column:
 def document_frequencies(titles: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(token, df, idf) over all titles (an array of distinct tokens each)."""
     n = max(1, titles.count())
-    return titles.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", idf(F.col("df"), n))
+    return each_of(titles, tokens, "token").groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", idf(F.col("df"), n))
 
 
 def token_key(tokens: str = "tokens") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.scores import keyword_weight, trend_label
 from newsloom.functions.tables import written
-from newsloom.functions.text import is_japanese, nfkc, story_tokens, text_of
+from newsloom.functions.text import each_of, is_japanese, nfkc, story_tokens, text_of
 from newsloom.functions.times import decayed, parse_day
 from newsloom.functions.urls import netloc, without_www
 from newsloom.operators.matching import hits, term_table
@@ -157,7 +157,7 @@ def known_domains(domains: DataFrame, least: int = LEAST_READS) -> DataFrame:
 def term_stats(rows: DataFrame, terms: Column) -> DataFrame:
     """Per term of rows (w, recent): weighted, count, recent, older, in one pass; terms are an array of distinct ones."""
     recent = F.sum(F.col("recent").cast("long"))
-    return rows.select("w", "recent", F.explode(terms).alias("term")).groupBy("term").agg(F.sum("w").alias("weighted"), F.count("*").alias("count"), recent.alias("recent"), (F.count("*") - recent).alias("older"))
+    return each_of(rows, terms, "term", "w", "recent").groupBy("term").agg(F.sum("w").alias("weighted"), F.count("*").alias("count"), recent.alias("recent"), (F.count("*") - recent).alias("older"))
 
 
 def uncovered(spark: SparkSession, stats: DataFrame, topics: list[Topic]) -> DataFrame:
