@@ -20,6 +20,16 @@ a an the to of and or in on for with as at by is are was were be been its it fro
 what why who when after over amid into this that these those your you we our their his her will would can could may
 has have had about more up out not no vs via than just now here there first last year years day week report reports
 """.split()
+# Words that name no topic by themselves, the part of speech that terms are made of, kinds of it that aren't.
+EMPTY_NOUNS = """
+こと もの ため よう これ それ あれ ここ そこ 方法 理由 発表 開始 公開 可能 登場 話題 記事 最新 必要 場合
+問題 以上 以下 結果 対応 決定 判明 明らか 新た 予定 報道 利用 使用 提供 実現 実施 追加 変更 確認 指摘
+存在 期待 影響 関係 関連 検討 計画 強化 拡大 向上 導入 活用 支援 展開 開発 機能 情報 世界 日本 最大
+最高 規模 完全 大幅 自分 時間 時代 過去 今後 現在 全体 一部 大手 独自 正式 公式 史上 最新作 本日 同社
+""".split()
+NOUN, OTHER_KINDS = "名詞", ("代名詞", "非自立", "数", "接尾")
+NO_LETTER = "(?U)^[\\d\\W_]+$"
+LONGEST_COMPOUND = 3
 
 
 @F.arrow_udf(T.StringType())
@@ -85,3 +95,30 @@ def story_tokens(title: str | Column) -> Column:
 def each_of(rows: DataFrame, items: str | Column, name: str, *kept: str | Column) -> DataFrame:
     """A row per element of an array, without the filter on the array that Spark puts below an explode, which would compute it twice."""
     return rows.select(*kept, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
+def telling(tokens: Column) -> Column:
+    """Tokens with a letter in them."""
+    return F.filter(tokens, lambda t: ~t.rlike(NO_LETTER))
+
+
+def noun_terms(words: str | Column) -> Column:
+    """Distinct terms of a text that a tokenizer has cut into words (surface, pos, kind): nouns, and runs of two or three of them.
+
+    A run ends at any other word, and at a noun that is a pronoun, a number, a suffix or without a letter.
+    A run of ASCII words is joined by spaces, any other without. The tokenizer is the caller's.
+    """
+    noun = lambda w: (w["pos"] == NOUN) & ~w["kind"].isin(*OTHER_KINDS) & ~w["surface"].rlike(NO_LETTER)
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("run"))
+
+    def step(state: Column, word: Column) -> Column:
+        longer = F.struct(state["done"].alias("done"), F.concat(state["run"], F.array(word["surface"])).alias("run"))
+        ended = F.struct(F.concat(state["done"], F.array(state["run"])).alias("done"), none.alias("run"))
+        return F.when(F.coalesce(noun(word), F.lit(False)), longer).otherwise(ended)
+
+    runs = F.aggregate(words, start, step, lambda state: F.concat(state["done"], F.array(state["run"])))
+    gap = lambda run: F.when(F.forall(run, lambda s: ~s.rlike("[^\\x00-\\x7F]")), " ").otherwise("")
+    joined = lambda run: F.when(F.size(run).between(2, LONGEST_COMPOUND), F.array(F.array_join(F.transform(run, lambda s: F.concat(s, gap(run))), ""))).otherwise(none)
+    terms = F.flatten(F.transform(runs, lambda run: F.concat(F.filter(run, lambda s: F.length(s) > 1), F.transform(joined(run), lambda t: F.rtrim(t)))))
+    return F.array_distinct(F.filter(terms, lambda t: ~t.isin(EMPTY_NOUNS)))

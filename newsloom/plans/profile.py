@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.scores import keyword_weight, trend_label
 from newsloom.functions.tables import written
-from newsloom.functions.text import each_of, is_japanese, nfkc, story_tokens, text_of
+from newsloom.functions.text import each_of, is_japanese, nfkc, story_tokens, telling, text_of
 from newsloom.functions.times import decayed, parse_day
 from newsloom.functions.urls import netloc, without_www
 from newsloom.operators.matching import hits, term_table
@@ -194,7 +194,9 @@ def history_stats(rows: DataFrame, matched: DataFrame, old_days: int = OLD_DAYS)
 def build_profile(spark: SparkSession, history: DataFrame, topics: list[Topic], half_life: float = HALF_LIFE_DAYS, terms: Column | None = None) -> dict:
     """The profile of a history (HISTORY rows) as a dict that can be stored as JSON.
 
-    terms: an array column of the terms of a title; story tokens unless given (a tokenizer of nouns can take their place).
+    terms: an array column of the terms of a title; story tokens with a letter unless given (noun_terms of a
+    tokenizer's words can take their place). What comes to the driver is what the JSON holds: a row for each
+    topic, keyword, medium and known domain of one reader, and samples.
     """
     dated = with_est_read(history).withColumn("day", parse_day("est_read"))
     reference = dated.agg(F.max("day")).first()[0]
@@ -204,7 +206,7 @@ def build_profile(spark: SparkSession, history: DataFrame, topics: list[Topic],
     weights = topic_weights(topic_shares(spark, found, topics, total)).orderBy(F.desc("share"), "topic_ord").collect()
     keywords = keyword_stats(spark, found, topics).orderBy("topic_ord", F.desc("observed"), "pos").collect()
     samples = first_rows(found, rows, "read_rank", 5, "title").orderBy("topic_ord", "place").collect()
-    stats = written(spark, term_stats(rows, story_tokens("title") if terms is None else terms), "terms")
+    stats = written(spark, term_stats(rows, telling(story_tokens("title")) if terms is None else terms), "terms")
     free = uncovered(spark, stats, topics)
     domains = written(spark, source_domains(rows, "read_rank"), "domains")
     sources = [r.asDict() for r in source_stats(domains, total).orderBy(F.desc("share"), "source").toLocalIterator()]

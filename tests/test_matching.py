@@ -5,6 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import NOUN, noun_terms, telling
 from newsloom.operators import matching
 from newsloom.sources.config import Topic
 
@@ -88,3 +89,19 @@ def test_vetoes_need_two_different_keywords_in_a_summary(spark, n, kept):
     topic = Topic("money", ["Bitcoin"], ["crypto", "Bitcoin"])
     rows = spark.createDataFrame([(0, "none", " ".join(["Bitcoin", "crypto"][:n]))], "ord long, title string, summary string")
     assert bool(matching.vetoes(spark, rows, [topic]).where(F.col("veto") == "money").count()) == kept
+
+
+def test_terms_of_a_tokenizers_words(spark):
+    n = lambda s, kind="一般": (s, NOUN, kind)
+    rows = [
+        (0, [n("港"), n("町"), ("の", "助詞", "連体化"), n("観光"), n("情報")]),
+        (1, [n("smart"), n("harbor"), n("2026", "数"), n("x"), n("これ", "代名詞"), n("灯台")]),
+        (2, [n("長い"), n("港"), n("町"), n("通り"), ("、", "記号", "読点"), n("!?"), n("_1_")]),
+        (3, []),
+        (4, None),
+    ]
+    df = spark.createDataFrame(rows, "i int, words array<struct<surface: string, pos: string, kind: string>>")
+    got = {r.i: r.t for r in df.select("i", noun_terms("words").alias("t")).collect()}
+    assert {i: set(t) if t is not None else None for i, t in got.items()} == {0: {"港町", "観光", "観光情報"}, 1: {"smart", "harbor", "smart harbor", "灯台"}, 2: {"長い", "通り"}, 3: set(), 4: None}
+    words = spark.createDataFrame([(["2026", "a1", "_-_", "あ", "12.5"],)], "w array<string>")
+    assert words.select(telling(F.col("w"))).first()[0] == ["a1", "あ"]
