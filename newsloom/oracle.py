@@ -226,6 +226,15 @@ l AS (SELECT *, CASE WHEN atom THEN 'https://a.example/' ELSE 'https://www.h' ||
 SELECT CASE WHEN signed AND NOT (kind = 2 AND NOT atom AND FALSE) THEN head || ' - The Post' ELSE head END AS title, link, CASE kind WHEN 0 THEN 'N' || o_custkey WHEN 1 THEN site WHEN 2 THEN CASE WHEN atom THEN 'Googleニュース' ELSE 'The <b>Post' END END AS source,
 CASE kind WHEN 0 THEN 'RSS' WHEN 1 THEN 'はてブ検索' ELSE 'Googleニュース' END AS via, 'L' || o_custkey AS collector, CASE WHEN kind < 2 THEN site WHEN atom THEN '' ELSE 'post.example' END AS domain,
 CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) + CASE WHEN atom THEN 0 ELSE 15 * 3600 END AS published, CASE WHEN kind = 2 THEN '' WHEN atom THEN 's' ELSE 'order ' || o_orderkey END AS summary, 'en' AS lang FROM l""",
+    "feed_statuses": """SELECT 'L' || o_custkey AS label, CASE o_custkey % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'hatena' ELSE 'google' END AS kind, o_custkey % 11 <> 0 AND o_custkey % 13 <> 0 AS ok,
+CAST(CASE WHEN o_custkey % 11 <> 0 AND o_custkey % 13 <> 0 THEN count(*) ELSE 0 END AS INTEGER) AS n, CASE WHEN o_custkey % 13 = 0 THEN 'HTTPError' WHEN o_custkey % 11 = 0 THEN 'ParseError' ELSE '' END AS error FROM orders GROUP BY o_custkey""",
+    "configured_topics": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation)
+SELECT r_name AS topic, string_agg(n_name, ',' ORDER BY k % 2, k) AS terms, CAST(1 + r_regionkey / 4 AS DOUBLE) AS multiplier, r_regionkey <> 3 AS collect FROM region JOIN n ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey""",
+    "configured_sources": """SELECT 'rss' AS section, n_name AS name, 'https://n.example/' || n_nationkey AS value FROM nation UNION ALL SELECT 'hatena', n_name, CAST(n_nationkey * 3 AS VARCHAR) FROM nation WHERE n_nationkey % 2 = 1
+UNION ALL SELECT 'blocked', n_name, '' FROM nation WHERE n_nationkey % 5 = 0""",
+    "published_feed": """SELECT 'News ' || n_name AS title, 'https://n.example/?a=1&n=' || n_nationkey AS link, '該当トピック: R' || n_regionkey || '（x & y, ）｜出典: ' || n_name || CASE WHEN n_nationkey % 2 = 1 THEN '・はてブ検索経由' ELSE '' END ||
+CASE WHEN n_nationkey % 3 = 0 THEN '｜同じ話題: 他2媒体（p、q）' ELSE '' END || '｜スコア ' || printf('%.2f', n_nationkey / 10.0) AS summary,
+CASE WHEN n_nationkey % 2 = 0 THEN 1700000000 + n_nationkey * 3600 ELSE CAST(epoch(TIMESTAMP '2024-01-31') AS BIGINT) END AS published FROM nation""",
     "history_file": """SELECT CAST(p_partkey AS INTEGER) AS read_rank, 'a "quoted", ' || p_name || chr(10) || 'line' AS title, CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE '' END AS source, 'https://p.example/' || p_partkey AS url, '' AS published,
 CAST(p_partkey AS VARCHAR) AS received, CAST(p_partkey AS VARCHAR) AS feed_url, CAST(p_partkey AS VARCHAR) AS feedly_meme, CAST(p_partkey AS VARCHAR) AS summary, CAST(p_partkey AS VARCHAR) AS entry_id FROM part""",
     "state_versions": """SELECT 'u' || user_id || '.example' AS domain, event_type AS publisher, count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS first_seen, strftime(max(ts), '%Y-%m-%d') AS last_seen, event_type AS examples FROM events WHERE event_type <> 'view' GROUP BY user_id, event_type""",

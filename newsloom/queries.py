@@ -44,10 +44,10 @@ from newsloom.plans.profile import (
     with_domain,
     with_weights,
 )
-from newsloom.sinks.feed import description, guid, local_day
+from newsloom.sinks.feed import Channel, description, guid, local_day, rss
 from newsloom.sinks.report import write_history
-from newsloom.sources.config import Topic
-from newsloom.sources.feeds import SUMMARY_CHARS, VIA, healthy, items, parsed
+from newsloom.sources.config import Topic, parse_sources, parse_topics
+from newsloom.sources.feeds import FETCHED, SUMMARY_CHARS, VIA, healthy, items, parsed, statuses
 from newsloom.sources.pages import HISTORY, extraction_report, page_title, read_history
 from newsloom.sources.pages import articles as saved_pages
 from newsloom.sources.state import DISCOVERED, Profile, read_state, write_state
@@ -395,27 +395,75 @@ def saved_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction_report(saved_articles(spark, sf_dir).withColumn("problems", F.filter(F.split("lacks", ","), lambda p: p != "")))
 
 
-def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as feeds, one for each customer, in three kinds and two formats, and the items read back from them."""
+def order_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as feeds, one for each customer, in three kinds and two formats."""
     key, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "dd MMM yyyy")
     head = F.concat(F.lit("<title>T &amp;amp; "), "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, " - The &lt;b&gt;Post").otherwise(""), F.lit("</title>"))
-    rss = F.concat(F.lit("<item>"), head, F.lit("<link>https://www.h"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".example/"), key, F.lit("</link><description>&lt;p&gt;order&lt;/p&gt; "), key,
+    item = F.concat(F.lit("<item>"), head, F.lit("<link>https://www.h"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".example/"), key, F.lit("</link><description>&lt;p&gt;order&lt;/p&gt; "), key,
         F.lit('</description><source url="https://post.example">The &lt;b&gt;Post</source><pubDate>Thu, '), day, F.lit(" 10:00:00 EST</pubDate></item>"))
     atom = F.concat(F.lit("<entry>"), head, F.lit('<link rel="self" href="https://self.example"/><link href="https://a.example/'), key, F.lit('"/><summary>s</summary><updated>'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T09:00:00+09:00</updated></entry>"))
     is_atom = F.col("o_custkey") % 2 == 0
     orders = table(spark, sf_dir, "orders")
-    inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.when(is_atom, atom).otherwise(rss).alias("entry")))), lambda e: e["entry"]), "")
+    inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.when(is_atom, atom).otherwise(item).alias("entry")))), lambda e: e["entry"]), "")
     bodies = orders.groupBy("o_custkey").agg(inside.alias("inside"))
     body = F.when(is_atom, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "inside", F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel>"), "inside", F.lit("</channel></rss>")))
     number = F.col("o_custkey")
-    feeds = bodies.select(
+    return bodies.select(
         of_number(["rss", "hatena", "google"], number).alias("kind"), number.cast("int").alias("position"), F.concat(F.lit("L"), number.cast("string")).alias("label"), F.lit("https://feeds.example").alias("url"),
         F.concat(F.lit("N"), number.cast("string")).alias("name"), F.lit("t").alias("source_topics"), body.cast("binary").alias("body"), F.lit(None).cast("string").alias("error"),
     )
-    rows = items(parsed(feeds))
+
+
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items read back from feeds of orders."""
+    rows = items(parsed(order_feeds(spark, sf_dir)))
     return rows.select("title", "link", "source", "via", "collector", "domain", F.unix_seconds("published").alias("published"), "summary", "lang")
 
 
+def feed_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of orders, of which one in eleven is no XML and one in thirteen could not be fetched."""
+    broken, gone = F.col("position") % 11 == 0, F.col("position") % 13 == 0
+    feeds = order_feeds(spark, sf_dir).withColumn("error", F.when(gone, "HTTPError: 404"))
+    feeds = feeds.withColumn("body", F.when(~gone, F.when(broken, F.lit("<rss>").cast("binary")).otherwise(F.col("body"))))
+    return statuses(parsed(feeds)).select("label", "kind", "ok", F.col("count").alias("n"), F.substring_index("error", ":", 1).alias("error"))
+
+
+def configured_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and their nations as a file of topics, and what is read from it."""
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows make a file by hand
+    text = []
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        own = [n.n_name for n in nations if n.n_regionkey == r.r_regionkey]
+        text += ["", f"## {r.r_name} ", f"- キーワード: {', '.join(own[::2])}", f"- 英語：{'、'.join(own[1::2])}，", f"- 倍率 : {1 + r.r_regionkey / 4}", *["- 扱い: 集めない"] * (r.r_regionkey == 3)]
+    rows = [(t.name, ",".join(t.terms), t.multiplier, t.collect) for t in parse_topics("\n".join(text))]
+    return spark.createDataFrame(rows, "topic string, terms string, multiplier double, collect boolean")
+
+
+def configured_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as the tables of a file of sources, and what is read from it."""
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows make a file by hand
+    text = ["## RSS", "| 名前 | 言語 | RSS |", "|---|:--|---|", *[f"| {n.n_name} | en | https://n.example/{n.n_nationkey} |" for n in nations]]
+    text += ["", "text between", "## はてなブックマーク検索", "| 検索語 | 最低ブックマーク |", "|-|-|", *[f"| {n.n_name} | {n.n_nationkey * 3} |" for n in nations if n.n_nationkey % 2]]
+    text += ["## 除外する媒体", "| 媒体名またはドメイン | 理由 |", "|-|-|", *[f"| {n.n_name} | x |" for n in nations if n.n_nationkey % 5 == 0]]
+    found = parse_sources("\n".join(text))
+    rows = [("rss", s["name"], s["url"]) for s in found.rss] + [("hatena", s["query"], str(s["min_users"])) for s in found.hatena] + [("blocked", b, "") for b in found.blocked]
+    return spark.createDataFrame(rows, "section string, name string, value string")
+
+
+def published_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as the records of a feed, and what a reader of its RSS finds."""
+    k = F.col("n_nationkey")
+    topic = F.struct(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("name"), F.array(F.lit("x & y"), F.lit("<z>")).alias("keywords"))
+    records = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("News <of> "), "n_name").alias("title"), F.concat(F.lit("https://n.example/?a=1&n="), k.cast("string")).alias("link"), F.col("n_name").alias("source"), of_number(["RSS", "はてブ検索"], k).alias("via"),
+        F.lit("https://f.example").alias("feed_url"), (k / 10).alias("score"), F.when(k % 2 == 0, F.timestamp_seconds(F.lit(1_700_000_000) + k * 3600)).alias("published"), F.lit(NOW).alias("selected_at"),
+        F.array(topic).alias("topics"), F.when(k % 3 == 0, F.array(F.lit("p"), F.lit("q"))).otherwise(F.array().cast("array<string>")).alias("related"),
+    )
+    text = rss(records, Channel("t & t", "https://c.example/", "d"), NOW.replace(tzinfo=dt.timezone.utc))
+    bodies = spark.createDataFrame([("rss", 0, "L", "u", "N", "", bytearray(text.encode()), None)], FETCHED)
+    return items(parsed(bodies)).select("title", "link", "summary", F.unix_seconds("published").alias("published"))
+
+
 def history_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """parts as a history, written as CSV and read again."""
     k = F.col("p_partkey").cast("string")
@@ -555,6 +603,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "saved_articles": saved_articles,
     "saved_report": saved_report,
     "feed_entries": feed_entries,
+    "feed_statuses": feed_statuses,
+    "configured_topics": configured_topics,
+    "configured_sources": configured_sources,
+    "published_feed": published_feed,
     "history_file": history_file,
     "state_versions": state_versions,
     "decoded_links": decoded_links,
