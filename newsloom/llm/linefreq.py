@@ -14,8 +14,8 @@ meets its site's lines in a hash set, once.
 Results for odd input: lines that are blank are never dropped; a null text stays null and counts as a
 page without lines; an empty text stays empty; very long texts are handled in one piece; rows with a null
 host are a site of their own; a line exactly at the ratio stays; repeated rows are pages of their own; an
-empty table gives an empty one; the other columns are passed on, whatever their names (but for the two
-that a report adds, which may not be there before).
+empty table gives an empty one; the other columns are passed on, whatever their names: a report's columns
+have underscores after theirs if the pages have a column of that name.
 """
 
 from __future__ import annotations
@@ -39,6 +39,10 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def free(name: str, taken: list[str]) -> str:
+    return free(f"{name}_", taken) if name in taken else name
+
+
 def is_blank(line: Column) -> Column:
     return F.translate(line, " \t\r", "") == ""
 
@@ -61,8 +65,6 @@ def without_boilerplate(
     spark: SparkSession, pages: DataFrame, host: Column, text_column: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, report: bool = False
 ) -> DataFrame:
     """pages with the text rid of its site's boilerplate lines; with `report` also n_lines and n_dropped."""
-    if report and {"n_lines", "n_dropped"} & set(pages.columns):
-        raise ValueError("a report adds n_lines and n_dropped, which the pages have already")
     found = written(spark, boilerplate(pages, host, text_column, ratio, least_pages), "boilerplate")
     own_site, own_lines, done = fresh("site"), fresh("lines"), fresh("done")
     sites = found.groupBy(F.col("site").alias(own_site)).agg(F.collect_list("line").alias(own_lines))
@@ -82,7 +84,8 @@ def without_boilerplate(
     out = [F.coalesce(F.col(f"{done}.text"), F.col(text_column)).alias(text_column) if c == text_column else F.col(c) for c in pages.columns]
     if report:
         n = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(lines))
-        out += [n.cast("long").alias("n_lines"), F.coalesce(n - F.col(f"{done}.n_kept"), F.lit(0)).cast("long").alias("n_dropped")]
+        counts = {"n_lines": n, "n_dropped": F.coalesce(n - F.col(f"{done}.n_kept"), F.lit(0))}
+        out += [count.cast("long").alias(free(name, pages.columns)) for name, count in counts.items()]
     return marked.select(out)
 
 

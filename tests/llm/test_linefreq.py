@@ -41,3 +41,17 @@ def test_hosts_of_urls(spark):
     pages = spark.createDataFrame([(i, f"http://Site.example/{i}", f"menu\ntext {i}") for i in range(8)], "page_id long, url string, text string")
     got = linefreq.without_boilerplate(spark, pages, linefreq.url_host("url")).collect()
     assert all(r.text == f"text {r.page_id}" for r in got)
+
+
+def test_names_of_a_report_that_are_taken(spark):
+    pages = spark.createDataFrame([(i, "s", f"menu\nline {i}", "mine", 7) for i in range(6)], "doc_id long, source string, text string, n_lines string, n_dropped int")
+    got = linefreq.without_boilerplate(spark, pages, F.col("source"), report=True)
+    assert got.columns == [*pages.columns, "n_lines_", "n_dropped_"]
+    assert {tuple(r)[1:] for r in got.drop("doc_id", "text").collect()} == {("mine", 7, 2, 1)}
+
+
+def test_many_boilerplate_lines_by_hash_set(spark):
+    menu = [f"item {i}" for i in range(linefreq.FEW_LINES + 20)]
+    rows = [(i, "s", "\n".join([*menu, f"line {i}", "", *menu])) for i in range(10)]
+    got = linefreq.without_boilerplate(spark, spark.createDataFrame(rows, "doc_id long, source string, text string"), F.col("source"))
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(i, f"line {i}\n") for i in range(10)}
