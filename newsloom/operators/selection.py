@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,39 +75,52 @@ def diverse_selection(reps: DataFrame, frequencies: DataFrame, quotas: list[tupl
 
     reps: ord, source, score, primary, contrib, fresh, buzz, tokens. A candidate is taken unless its source
     has `cap` picks or it is too similar to one. Whether it is depends on all picks before it, so candidates
-    come to the driver in their order, at most `chunk` at a time, until the limit is reached.
+    come to the driver in their order, at most `chunk` at a time and without sources at their cap, until the
+    limit is reached.
     """
     keyed = reps.withColumns({"source_key": norm_name("source"), "rank": F.round(F.col("contrib") * F.col("fresh") * F.col("buzz"), 2)})
     picks = _Picks(cap, diversity)
 
-    def ordered(rows: DataFrame, columns: list[str]):
-        """rows by columns descending and ord ascending, fetched in chunks."""
-        last = None
-        while True:
-            rest = rows
-            if last is not None:
-                beyond, equal = F.lit(False), F.lit(True)
-                for c in columns:
-                    beyond, equal = beyond | (equal & (F.col(c) < last[c])), equal & (F.col(c) == last[c])
-                rest = rows.where(beyond | (equal & (F.col("ord") > last["ord"])))
-            part = rest.orderBy(*[F.desc(c) for c in columns], "ord").limit(chunk)
+    def after(key: dict | None, columns: list[str]) -> Column:
+        """Whether a row comes after this one: columns descending, then ord ascending."""
+        if key is None:
+            return F.lit(True)
+        beyond, equal = F.lit(False), F.lit(True)
+        for c in columns:
+            beyond, equal = beyond | (equal & (F.col(c) < key[c])), equal & (F.col(c) == key[c])
+        return beyond | (equal & (F.col("ord") > key["ord"]))
+
+    def ordered(rows: DataFrame, columns: list[str], more: Callable[[], bool]):
+        """rows by columns descending and ord ascending, while there should be more, fetched in chunks.
+
+        Sources at their cap stay where they are; those before the last row that was looked at count as capped.
+        """
+        last, done = None, False
+        while not done and more():
+            full = [s for s, n in picks.sources.items() if n >= cap]  # at most as many as there are picks
+            beyond = rows.where(after(last, columns))
+            part = beyond.where(~F.col("source_key").isin(full)).orderBy(*[F.desc(c) for c in columns], "ord").limit(chunk)
             words = part.select("ord", F.explode("tokens").alias("token")).join(frequencies, "token").groupBy("ord").agg(F.collect_list(F.struct("token", "idf")).alias("weights"))
             found = part.join(words, "ord", "left").select("ord", "source_key", *columns, F.coalesce("weights", F.expr("cast(array() as array<struct<token: string, idf: double>>)")).alias("weights")).collect()
             found.sort(key=lambda r: (*(-r[c] for c in columns), r["ord"]))
-            yield from found
-            if len(found) < chunk:
-                return
-            last = found[-1]
+            looked_at = last
+            for row in found:
+                if not more():
+                    break
+                yield row
+                looked_at = row
+            done = len(found) < chunk or not more()
+            left_out = beyond.where(F.col("source_key").isin(full) & ~F.col("ord").isin(picks.result.ords))
+            if full and more():  # then what comes after the last row was looked at as well, unless a chunk follows
+                picks.result.capped += (left_out if done else left_out.where(~after(looked_at, columns))).count()
+            elif full and looked_at is not last:
+                picks.result.capped += left_out.where(~after(looked_at, columns)).count()
+            last = looked_at
 
     for name, quota in sorted(quotas, key=lambda x: -x[1]):
         got = 0
-        if quota:
-            for row in ordered(keyed.where(F.col("primary") == name), ["rank", "score"]):
-                if got >= quota:
-                    break
-                got += picks.take(row)
-    for row in ordered(keyed, ["score"]):
-        if len(picks.result.ords) >= limit:
-            break
+        for row in ordered(keyed.where(F.col("primary") == name), ["rank", "score"], lambda quota=quota: got < quota):
+            got += picks.take(row)
+    for row in ordered(keyed, ["score"], lambda: len(picks.result.ords) < limit):
         picks.take(row)
     return picks.result
