@@ -341,6 +341,20 @@ def summed(group: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array([rows[0]["batch"]] * len(distinct), pa.int64()), "place": pa.array(distinct, pa.int32()), "log_weight": pa.array(sums, pa.float64())})
 
 
+def statistics(answered: DataFrame, order: int) -> list[list[int]]:
+    """For each order n_1 .. n_(CUTOFF+1), the number of n-grams and the sum of their counts, added up over the shards."""
+    names = [f"s{i}" for i in range(CUTOFF + 3)]
+
+    def read(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in arrived:
+            found = np.array([unpacked(x).astype(np.int64) for x in some.column(1).to_pylist()], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, found.T)], ["order", *names])
+
+    own = answered.where("batch = -1").select("order", "answers").mapInArrow(read, "order int, " + ", ".join(f"{n} long" for n in names))
+    rows = {r.order: [r[n] for n in names] for r in own.groupBy("order").agg(*[F.sum(n).alias(n) for n in names]).collect()}
+    return [rows.get(k, [0] * len(names)) for k in range(1, order + 1)]
+
+
 def katz_scores(spark: SparkSession, docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER) -> DataFrame:
     """Scores of each row of docs by the model of the rows that aren't held out.
 
@@ -354,10 +368,8 @@ def katz_scores(spark: SparkSession, docs: DataFrame, held_out, id_column: str =
     for k in range(1, order + 1):  # one after the other, so that the questions of one order are on disk at a time
         written(spark, questions(batches, k, bits).groupBy("shard").applyInArrow(answer, ANSWERED).drop("order"), "counts", f"{paths[1]}/order={k}")
     answered = spark.read.schema(ANSWERED).parquet(paths[1])
-    sums = [np.zeros(CUTOFF + 3, np.int64) for _ in range(order)]
-    for r in answered.where("batch = -1").select("order", "answers").toLocalIterator():
-        sums[r.order - 1] += unpacked(bytes(r.answers)).astype(np.int64)
-    discounts = [Discounts(s[: CUTOFF + 1].tolist(), int(s[-2]), int(s[-1])) for s in sums]
+    sums = statistics(answered, order)
+    discounts = [Discounts(s[: CUTOFF + 1], s[-2], s[-1]) for s in sums]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         (batch,) = left.to_pylist()
