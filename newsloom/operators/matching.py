@@ -23,6 +23,9 @@ from newsloom.sources.config import Topic
 
 TERMS = "term int, topic_ord int, topic string, pos int, keyword string, excludes boolean, weight double"
 DEFAULT_WEIGHT = 0.4
+# What a word is made of, what may stand between the parts of a term, and after a term of some length.
+WORD, GAP = "[A-Za-z0-9]", "[\\s\\-]?"
+ENDINGS, LEAST_INFLECTED = ("", "s", "es"), 4
 #: Terms are written by hand; their table is broadcast.
 MOST_WORDS = 200_000
 
@@ -31,11 +34,20 @@ def is_cased(term: str) -> bool:
     return len(term) <= 4 and any(map(str.isupper, term))
 
 
+def endings_of(term: str) -> tuple[str, ...]:
+    """What may follow a term within its word."""
+    return ENDINGS if len(term) >= LEAST_INFLECTED and term[-1].isalpha() else ("",)
+
+
+def pieces_of(term: str) -> list[str]:
+    """The parts of a term between spaces and hyphens."""
+    return term.replace("-", " ").split() or [term]
+
+
 def pattern_of(term: str) -> str:
     """The Java pattern of an ASCII term."""
-    gap = "[\\s\\-]?".join(re.escape(p) for p in re.split(r"[\s\-]+", term))
-    plural = "(?:s|es)?" if term[-1:].isalpha() and len(term) >= 4 else ""
-    return f"{'(?U)' if is_cased(term) else '(?iuU)'}(?<![A-Za-z0-9]){gap}{plural}(?![A-Za-z0-9])"
+    flags = "(?U)" if is_cased(term) else "(?iuU)"
+    return f"{flags}(?<!{WORD}){GAP.join(map(re.escape, pieces_of(term)))}(?:{'|'.join(endings_of(term))})(?!{WORD})"
 
 
 @dataclass
@@ -62,8 +74,7 @@ def term_table(spark: SparkSession, topics: list[Topic], weights: dict[str, dict
                 patterns.append((number, pattern_of(term)))
             else:
                 cased = is_cased(term)
-                endings = ("", "s", "es") if term[-1].isalpha() and len(term) >= 4 else ("",)
-                words += [(number, cased, (term if cased else term.lower()) + e) for e in endings]
+                words += [(number, cased, (term if cased else term.lower()) + e) for e in endings_of(term)]
     words += [(i, True, named(i)) for i, _ in [*patterns, *parts]]
     if len(words) > MOST_WORDS:
         raise ValueError(f"{len(words)} words of terms are more than a configuration holds and a broadcast may")

@@ -26,9 +26,9 @@ GENERAL, AND_OTHERS = "全般", "ほか"
 def is_specialist(source_topics: Column, topic: str) -> Column:
     """Whether the head of a source's topics names a part of the topic and isn't general."""
     head = F.element_at(F.split(text_of(source_topics), "[、,]", 2), 1)
-    parts = [p for p in re.split(r"[・（）()、\s]+", topic) if len(p) >= 2 and p != AND_OTHERS]
+    parts = set(re.findall(r"[^・（）()、\s]{2,}", topic)) - {AND_OTHERS}
     named = F.lit(False)
-    for p in parts:
+    for p in sorted(parts):
         named = named | head.contains(p)
     return (head != "") & ~head.contains(GENERAL) & named
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from newsloom.functions.text import STOP_WORDS
 from newsloom.operators.exclusion import AD, AD_TITLE, BLOCKED as BLOCKED_REASON, COMPANY, ENGLISH, GALLERY, KNOWN
-from newsloom.operators.matching import DEFAULT_WEIGHT, is_cased
+from newsloom.operators.matching import DEFAULT_WEIGHT, GAP, endings_of, is_cased, pieces_of
 from newsloom.plans.profile import LEAST_READS
 from newsloom.queries import BLOCKED, LANGUAGES, PROFILE, TOPICS, WIRE_DOMAINS, WIRE_PROFILE, WIRE_SOURCES, WIRE_TOPICS_OF_SOURCES
 from newsloom.sources.config import Topic
@@ -19,9 +17,8 @@ def quoted(x: str) -> str:
 def condition(term: str, column: str = "text") -> str:
     if not term.isascii():
         return f"contains(lower({column}), {quoted(term.lower())})"
-    gap = "[\\s\\-]?".join(re.split(r"[\s\-]+", term))
-    plural = "(s|es)?" if term[-1].isalpha() and len(term) >= 4 else ""
-    return f"regexp_matches({column}, '(^|[^A-Za-z0-9]){gap}{plural}([^A-Za-z0-9]|$)', '{'c' if is_cased(term) else 'i'}')"
+    said = f"{GAP.join(pieces_of(term))}({'|'.join(endings_of(term))})"
+    return f"regexp_matches({column}, '(^|[^A-Za-z0-9]){said}([^A-Za-z0-9]|$)', '{'c' if is_cased(term) else 'i'}')"
 
 
 def match_ctes(topics: list[Topic], rows: str = "documents", key: str = "doc_id", column: str = "text", weights: dict[str, dict[str, float]] = PROFILE.keyword_weights) -> str:

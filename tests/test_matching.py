@@ -1,5 +1,4 @@
 import random
-import re
 import unicodedata
 
 import pytest
@@ -10,20 +9,35 @@ from newsloom.operators import matching
 from newsloom.sources.config import Topic
 
 
-def plain_pattern(term):
+def is_word(character):
+    return character.isascii() and character.isalnum()
+
+
+def plain_hit(term, text):
+    """Whether a term occurs, character by character."""
     term = unicodedata.normalize("NFKC", term).strip()
+    if not (term.isascii() and matching.is_cased(term)):
+        term, text = term.lower(), text.lower()
     if not term.isascii():
-        return re.compile(re.escape(term), re.I)
-    gap = r"[\s\-]?".join(map(re.escape, re.split(r"[\s\-]+", term)))
-    plural = "(?:s|es)?" if term[-1:].isalpha() and len(term) >= 4 else ""
-    return re.compile(rf"(?<![A-Za-z0-9]){gap}{plural}(?![A-Za-z0-9])", 0 if matching.is_cased(term) else re.I)
+        return term in text
+    endings = ("", "s", "es") if len(term) > 3 and term[-1].isalpha() else ("",)
+
+    def fits(at, rest):
+        if not rest:
+            return any(text.startswith(e, at) and not is_word(text[at + len(e) : at + len(e) + 1]) for e in endings)
+        if rest[0] in " -":
+            next_part, between = rest.lstrip(" -"), text[at : at + 1]
+            return fits(at, next_part) or ((between.isspace() or between == "-") and fits(at + 1, next_part))
+        return text.startswith(rest[0], at) and fits(at + 1, rest[1:])
+
+    return any(fits(at, term) and not is_word(text[at - 1 : at]) for at in range(len(text)))
 
 
 def plain_match(topic, text):
     text = unicodedata.normalize("NFKC", text or "")
-    if any(plain_pattern(k).search(text) for k in topic.exclude):
+    if any(plain_hit(k, text) for k in topic.exclude):
         return []
-    return [k for k in topic.terms if plain_pattern(k).search(text)]
+    return [k for k in topic.terms if plain_hit(k, text)]
 
 
 def matched(spark, topics, texts):
