@@ -8,7 +8,8 @@ each bucket is differenced by itself to one partial partition, and these are dif
 turn, `fan` at a time, until one is left.
 
 Groups are rows with equal texts, told apart by SHA-256. Slots number the rows of a shard from 0: rows
-are numbered in parts of bounded size, each of which begins where the parts before it end.
+are numbered in parts of bounded size, each of which begins where the parts before it end. Rows are dealt
+into parts by their place as well, so that no row that repeats fills one.
 
 Results for odd input: a null text has no bytes and belongs with empty texts; a very long text is a group
 like others; groups of equal weight are taken in the order of their hashes; rows with null ids and repeated
@@ -118,11 +119,12 @@ def shards_by_bytes(spark: SparkSession, docs: DataFrame, id_column: str = "doc_
         (F.octet_length(text) + row_bytes).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"),
+        F.monotonically_increasing_id().alias("row"),  # fixed once written; tells repeated rows apart
     )
     rows = written(spark, rows, "sizes")
     groups = written(spark, rows.groupBy("key").agg(F.sum("size").alias("weight")), "groups")
     placed = rows.join(balanced_groups(spark, groups, shards), "key").drop("key")
-    return with_slots(spark, written(spark, placed, "placed"), ["id", "size", "text_crc32"])
+    return with_slots(spark, written(spark, placed, "placed"), ["id", "size", "text_crc32", "row"]).drop("row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
