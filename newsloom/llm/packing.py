@@ -115,7 +115,7 @@ def harmonic_packing(
     """The pieces of docs with their sequence_id and their offset in it; see PIECES for the rest."""
     cut = written(spark, pieces(spark, docs, path, id_column, text_column, capacity, end_id, with_ids), "pieces")
     buckets = max(1, -(-cut.count() // BUCKET_PIECES))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32", "salt"), F.lit(buckets)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32", "salt"), F.lit(buckets))).drop("salt")
     sizes = dealt.groupBy("bucket", "size_class").agg(F.count("*").alias("held"))
     in_order = Window.partitionBy("bucket", "size_class").orderBy("id", "start", "length", "ids_crc32", "doc_tokens")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -124,13 +124,14 @@ def harmonic_packing(
     placed = placed.withColumn("offset", F.col("before") - opened)
     numbered = placed.join(sizes, ["bucket", "size_class"]).withColumn("bin", F.floor(F.col("number") / F.col("size_class")))
     full = F.col("bin") < F.floor(F.col("held") / F.col("size_class"))
-    result = [*[c for c in cut.columns if c != "salt"], "sequence_id", "offset"]
+    columns = [c for c in cut.columns if c != "salt"]  # the same ones on both ways below, so that they share a shuffle
+    result = [*columns, "sequence_id", "offset"]
 
     def name(size_class, bin_number):  # bucket, class and bin in one long; class 0: what was left over
         return F.shiftleft(F.col("bucket"), 44) + F.shiftleft(size_class.cast("long"), 32) + bin_number
 
     filled = numbered.where(full).withColumn("sequence_id", name(F.col("size_class"), F.col("bin")))
-    left = numbered.where(~full).select("bucket", *cut.columns)
+    left = numbered.where(~full).select("bucket", *columns)
 
     def together(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "id", "start"], ascending=[False, True, True], kind="stable")
