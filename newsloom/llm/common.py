@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,9 +61,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str, path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost nothing.
 
-    What was shuffled for it is no longer needed then, and its files go.
+    What was shuffled for it is no longer needed then, and its files go. A path of the caller's is the caller's to remove.
     """
-    path = path or new_path(spark, name)
+    if path is None:
+        path = new_path(spark, name)
+        _scratch.get().append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -78,6 +82,21 @@ def removed(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_scratch: ContextVar[list[str]] = ContextVar("tables to remove", default=[])
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written within, but for those at a path of the caller's, go at its end."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        tables = _scratch.get()
+        _scratch.reset(token)
+        removed(spark, *tables)
+
+
 def fresh(name: str) -> str:
     """A column name that no table of a user has."""
     return f"{name}_{uuid.uuid4().hex}"
