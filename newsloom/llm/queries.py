@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import chroma, decontaminate, katz, langid, linefreq, negatives, outliers, packing, quality, sharding, simhash, tokens
+from newsloom.llm import alignment, chroma, decontaminate, katz, langid, linefreq, negatives, outliers, packing, quality, sharding, simhash, tokens
 from newsloom.llm.common import with_small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_shards": sharding.query,
     "op10_line_frequency": linefreq.query,
     "op11_outliers": outliers.query,
+    "op12_alignment": alignment.query,
     "op13_hard_negatives": negatives.query,
 }
 QUERIES = {name: with_small_batches(query) for name, query in QUERIES.items()}
