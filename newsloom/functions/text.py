@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import string
 import unicodedata
 
 import pyarrow as pa
@@ -14,7 +15,6 @@ from pyspark.sql import types as T
 JAPANESE = "[\\u3040-\\u30FF\\u4E00-\\u9FFF]"
 KATAKANA_RUN = "([\\u30A0-\\u30FF]{2,})"
 HAN_RUN = "([\\u4E00-\\u9FFF]{2,})"
-ASCII_WORD = "([a-z0-9][a-z0-9\\-.]*[a-z0-9]|[a-z0-9])"
 STOP_WORDS = """
 a an the to of and or in on for with as at by is are was were be been its it from new says say said how
 what why who when after over amid into this that these those your you we our their his her will would can could may
@@ -32,16 +32,21 @@ NO_LETTER = "(?U)^[\\d\\W_]+$"
 LONGEST_COMPOUND = 3
 
 
+#: Characters that are their own normal form wherever they stand: none composes with one before it. ASCII, Latin letters
+#: and marks without compatibility forms, Cyrillic letters, kana, some of their punctuation, and Han.
+SETTLED = "\\x00-\\x7F¡-§©«¬®°±¶·»¿À-ıĴ-ľŁ-ňŊ-žƀ-ǃǍ-ǰǴ-ɏЀ-ҁ、-〕ぁ-ゖァ-ヾ一-鿿"
+
+
 @F.arrow_udf(T.StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def nfkc(text: str | Column) -> Column:
-    """The normal form; texts of ASCII alone have it already and don't go to Python."""
+    """The normal form; texts of settled characters alone have it already and don't go to Python."""
     text = F.col(text) if isinstance(text, str) else text
-    beyond = text.rlike("[^\\x00-\\x7F]")
-    return F.when(beyond, _nfkc(F.when(beyond, text))).otherwise(text)
+    beyond = text.rlike(f"(?=[^\\x00-\\x7F])[^{SETTLED}]")  # characters of ASCII are passed over by one comparison
+    return F.coalesce(_nfkc(F.when(beyond, text)), text)
 
 
 @F.arrow_udf(T.StringType())
@@ -76,20 +81,23 @@ def detect_lang(text: str | Column) -> Column:
     return F.when(is_japanese(text), "ja").otherwise("en")
 
 
+#: What is between two words, of which hyphens and stops at an end are no part; an s that isn't part of a word of four characters or more.
+BETWEEN_WORDS = "[-.]*[^a-z0-9.\\-][^a-z0-9]*"
+PLURAL = "(?<=[^ ]{2}[^ s])s(?= |$)"
+
+
 def story_tokens(title: str | Column) -> Column:
     """Distinct telling tokens: ASCII words without plural s, runs of Katakana, pairs of Han characters."""
-    text = F.translate(F.lower(nfkc(text_of(title))), "’", "'")
-    words = F.transform(
-        F.regexp_extract_all(text, F.lit(ASCII_WORD), 1),
-        lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.left(w, F.length(w) - 1)).otherwise(w),
-    )
-    words = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
+    text = F.lower(nfkc(text_of(title)))
+    words = F.split(F.concat(F.lit(" "), text, F.lit(" ")), BETWEEN_WORDS)
+    words = F.split(F.regexp_replace(F.array_join(F.array_distinct(words), " "), PLURAL, ""), " ")
+    words = F.array_except(words, F.lit(["", *string.ascii_lowercase, *string.digits, *STOP_WORDS]))
     pairs = F.transform(
         F.regexp_extract_all(text, F.lit(HAN_RUN), 1),
         lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2))),
     )
     beyond = F.concat(F.regexp_extract_all(text, F.lit(KATAKANA_RUN), 1), F.flatten(pairs))
-    return F.array_distinct(F.when(text.rlike(JAPANESE), F.concat(words, beyond)).otherwise(words))
+    return F.when(text.rlike(JAPANESE), F.array_distinct(F.concat(words, beyond))).otherwise(words)
 
 
 def each_of(rows: DataFrame, items: str | Column, name: str, *kept: str | Column) -> DataFrame:
