@@ -9,7 +9,7 @@ text.
 
 Results for odd input: a text that is null or has no letter is `und` with score 0, and so is every
 text if nothing could be learned; of languages with equal odds the first in order is taken; null labels
-aren't learned from; very long texts are scored whole, a slice of texts at a time; repeated rows count as
+aren't learned from; very long texts are scored whole, piece by piece, and their pieces' sums added up; repeated rows count as
 often as they come; an empty table gives an empty one; columns that aren't named are ignored.
 """
 
@@ -33,20 +33,40 @@ BLOCK_LANGUAGES = 64
 UNKNOWN = "und"
 #: Characters handled at once, which bounds the memory of a task.
 SLICE_CHARS = 250_000
+#: Log probabilities that are gathered at once.
+GATHERED = 8_000_000
 
 #: The best language so far, its log odds, and the logarithm of the sum of all odds.
 FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("best", T.DoubleType()), T.StructField("whole", T.DoubleType())])
 Block = tuple[list[str], np.ndarray, np.ndarray]
 
 
-def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bucket numbers for each order at each position of the joined texts, and where each text begins.
+def pieces_of(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Lots of (text, piece, n-grams that begin in it as its own), about SLICE_CHARS together; a long text has several pieces.
 
-    Where an n-gram would leave its text the number is BUCKETS, which has no weight.
+    A piece goes on for what its last n-grams need of the next one.
     """
-    padded = [f" {t.lower()} " for t in texts]
-    begin = np.concatenate(([0], np.cumsum([len(t) for t in padded])))
-    points = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4")
+    lot: tuple[list[int], list[str], list[int]] = ([], [], [])
+    for i, text in enumerate(texts):
+        padded = f" {text.lower()} "
+        for first in range(0, len(padded), SLICE_CHARS):
+            piece = padded[first : first + SLICE_CHARS + max(ORDERS) - 1]
+            for column, value in zip(lot, (i, piece, min(SLICE_CHARS, len(padded) - first)), strict=True):
+                column.append(value)
+            if sum(lot[2]) >= SLICE_CHARS:
+                yield lot
+                lot = ([], [], [])
+    if lot[0]:
+        yield lot
+
+
+def grams(pieces: list[str], own: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bucket numbers for each order at each position of the joined pieces, and where each piece begins.
+
+    Where an n-gram would leave its piece, or isn't the piece's own, the number is BUCKETS, which has no weight.
+    """
+    begin = np.concatenate(([0], np.cumsum([len(t) for t in pieces])))
+    points = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
     out, mixed = [], np.zeros(len(points), np.uint32)
     for order in range(1, max(ORDERS) + 1):
         tail = points[order - 1 :]
@@ -57,10 +77,27 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
             numbers[: len(mixed)] = (mixed * np.uint32(0x85EBCA77)) >> np.uint32(16)
             for back in range(1, order):
                 numbers[begin[1:] - back] = BUCKETS
+            for at, n, end in zip(begin, own, begin[1:], strict=False):
+                if at + n < end:
+                    numbers[at + n : end] = BUCKETS
             out.append(numbers)
     return out, begin
 
 
+def text_odds(texts: list[str], priors: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Log odds of each text and language; what is gathered at once is bounded by GATHERED, whatever the texts and languages."""
+    sums = np.tile(priors, (len(texts), 1)).astype(np.float64)
+    step = max(1, GATHERED // max(1, logs.shape[1]))
+    for owners, pieces, own in pieces_of(texts):
+        numbers, begin = grams(pieces, own)
+        for n in numbers:
+            for at in range(0, len(n), step):
+                first = np.searchsorted(begin, at, "right") - 1
+                edges = np.maximum(begin[first : np.searchsorted(begin, min(at + step, len(n)), "left")], at) - at
+                np.add.at(sums, owners[first : first + len(edges)], np.add.reduceat(logs[n[at : at + step]], edges, axis=0, dtype=np.float64))
+    return sums
+
+
 def slices_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
     first, held = 0, 0
     for i, size in enumerate(pc.fill_null(pc.utf8_length(texts.cast(pa.string())), 0).to_pylist()):
@@ -84,8 +121,9 @@ def learn(spark: SparkSession, labelled: DataFrame, text_column: str = "text", l
                     of = [t for t, x in zip(texts, labels, strict=True) if x == label]
                     held = sums.setdefault(label, np.zeros(BUCKETS + 2, np.int64))
                     held[-1] += len(of)
-                    for numbers in grams(of)[0]:
-                        held += np.bincount(numbers, minlength=BUCKETS + 2)
+                    for _, pieces, own in pieces_of(of):
+                        for numbers in grams(pieces, own)[0]:
+                            held += np.bincount(numbers, minlength=BUCKETS + 2)
         for label, held in sums.items():
             held[BUCKETS] = 0
             at = np.flatnonzero(held)
@@ -122,8 +160,7 @@ def block_scorer(spark: SparkSession, block: Block):
             names, best, whole = before.field("lang").to_pylist(), before.field("best").to_numpy(zero_copy_only=False).copy(), before.field("whole").to_numpy(zero_copy_only=False).copy()
             for first, last in slices_of(texts):
                 part = pc.fill_null(texts.slice(first, last - first).cast(pa.string()), "").to_pylist()
-                numbers, begin = grams(part)
-                sums = priors + sum(np.add.reduceat(logs[n], begin[:-1], axis=0, dtype=np.float64) for n in numbers)
+                sums = text_odds(part, priors, logs)
                 top = sums.max(axis=1)
                 whole[first:last] = np.logaddexp(whole[first:last], top + np.log(np.exp(sums - top[:, None]).sum(axis=1)))
                 for i, (at, odds) in enumerate(zip(sums.argmax(axis=1).tolist(), top.tolist(), strict=True), first):

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +51,42 @@ def test_scores_match_plain_form(spark, monkeypatch):
         check(found)
 
 
+def test_a_text_in_pieces_has_the_odds_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    logs = np.vstack([rng.normal(size=(langid.BUCKETS, 5)), np.zeros(5)]).astype(np.float32)
+    texts = ["", "a", "ab", "the cat sat on the mat İΣ", "x" * 37, "le chien " * 9]
+    whole, counts = langid.text_odds(texts, np.arange(5.0), logs), [sum(np.bincount(n, minlength=langid.BUCKETS + 1) for n in langid.grams(*lot[1:])[0]) for lot in langid.pieces_of(texts)]
+    for size in (1, 2, 3, 10, 50):
+        monkeypatch.setattr(langid, "SLICE_CHARS", size)
+        monkeypatch.setattr(langid, "GATHERED", 5 * (size + 1))
+        assert np.allclose(langid.text_odds(texts, np.arange(5.0), logs), whole, atol=1e-9)
+        again = sum(np.bincount(n, minlength=langid.BUCKETS + 1) for lot in langid.pieces_of(texts) for n in langid.grams(*lot[1:])[0])
+        assert (again[:-1] == sum(counts)[:-1]).all()
+
+
+def test_memory_does_not_grow_with_text_times_languages():
+    logs = np.zeros((langid.BUCKETS + 1, 64), np.float32)
+    text = "the quick brown fox " * 200_000
+    tracemalloc.start()
+    langid.text_odds([text], np.zeros(64), logs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000  # 4 million characters; their products with 64 languages alone are 1 GB
+
+
+def test_query_equals_the_plain_form(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", langid.is_held_out("doc_id", 4).alias("held")).limit(1000).collect()
+    rows = [r for r in rows if len(r.text or "") < 4000]  # one position after the other is slow
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string, held boolean")
+    found = {r.doc_id: r.f for r in langid.with_language(spark, few, langid.learn_from(spark, few), "f").collect()}
+    labelled = [(r.lang, r.text) for r in rows if not r.held and r.lang is not None and r.text is not None]
+    for r, (lang, score) in zip(rows, plain_scores([r.text for r in rows], labelled), strict=True):
+        assert found[r.doc_id].lang == lang and found[r.doc_id].score == pytest.approx(score, abs=1e-4)
+    got = {r.doc_id: r for r in langid.query(spark, sf_dir).collect()}
+    assert len(got) == docs.count() and all(got[r.doc_id].held_out == r.held for r in rows)
+
+
 def test_equal_odds_go_to_the_first_language(spark):
     labelled = spark.createDataFrame([("same text", "b"), ("same text", "a"), ("same text", "c")], "text string, lang string")
     docs = spark.createDataFrame([("same text",)], "text string")
