@@ -39,6 +39,8 @@ END_ID = 1
 SLICE_BYTES = 3_000_000
 #: About so many pieces are numbered together.
 BUCKET_PIECES = 200_000
+#: Bins of a class and bucket have numbers of so many bits; a bucket has fewer pieces, since repeated rows are dealt apart.
+BIN_BITS = 26
 #: Equal rows are told apart by so many numbers.
 SALTS = 1 << 20
 
@@ -127,8 +129,12 @@ def harmonic_packing(
     columns = [c for c in cut.columns if c != "salt"]  # the same ones on both ways below, so that they share a shuffle
     result = [*columns, "sequence_id", "offset"]
 
+    room = BIN_BITS + capacity.bit_length()  # classes go up to the capacity
+    if buckets >= 1 << (63 - room):
+        raise ValueError(f"{buckets} buckets of a capacity of {capacity} are more than sequence ids can tell apart")
+
     def name(size_class, bin_number):  # bucket, class and bin in one long; class 0: what was left over
-        return F.shiftleft(F.col("bucket"), 44) + F.shiftleft(size_class.cast("long"), 32) + bin_number
+        return F.shiftleft(F.col("bucket"), room) + F.shiftleft(size_class.cast("long"), BIN_BITS) + bin_number
 
     filled = numbered.where(full).withColumn("sequence_id", name(F.col("size_class"), F.col("bin")))
     left = numbered.where(~full).select("bucket", *columns)
