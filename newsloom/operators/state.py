@@ -24,11 +24,12 @@ def unseen(rows: DataFrame, seen: DataFrame, url_column: str = "link", seen_colu
     return rows.join(known, normalize_url(url_column) == F.col("seen_url"), "left_anti")
 
 
-def to_records(selected: DataFrame, selected_at: Column) -> DataFrame:
+def to_records(selected: DataFrame, selected_at: Column, place: Column) -> DataFrame:
+    """What is kept of selected items; place: their order in the run."""
     kept = ["title", "link", "source", "via", "collector", "feed_url", "domain", "lang", "score", "published"]
     topics = F.transform("topics", lambda t: F.struct(t["name"].alias("name"), t["keywords"].alias("keywords")))
     related = F.array_sort(F.array_except("related", F.array("source")))
-    return selected.select(*kept, selected_at.alias("selected_at"), topics.alias("topics"), "primary", related.alias("related"))
+    return selected.select(*kept, selected_at.alias("selected_at"), topics.alias("topics"), "primary", related.alias("related"), place.cast("int").alias("place"))
 
 
 def newly_found(records: DataFrame, rss_domains: DataFrame) -> DataFrame:

@@ -85,12 +85,12 @@ def rank(
     per_source: int = PER_SOURCE,
     languages: tuple[str, ...] = ("ja",),
 ) -> Ranking:
-    """items: ITEM rows with unique ord; seen: (link, title) of what was shown before. selected is in order of score."""
+    """items: ITEM rows with unique ord; seen: (link, title, ord) of what was shown before, in its order. selected is in order of score."""
     at = F.lit(now).cast("timestamp")
     rows = written(spark, considered(spark, items, profile, blocked, at, languages), "considered")
     reasons = {r.reason: r["count"] for r in rows.groupBy("reason").count().collect()}
     fresh = rows.where((F.col("reason") == "") & (F.col("primary") != "") & (F.col("score") >= least_score)).drop("reason")
-    shown = (seen if seen is not None else spark.createDataFrame([], "link string, title string")).select("link", "title", F.monotonically_increasing_id().alias("ord"))
+    shown = seen.select("link", "title", "ord") if seen is not None else spark.createDataFrame([], "link string, title string, ord long")
     known = rows.where(F.col("reason") == KNOWN).select("link", "title", (F.col("ord") + F.lit(1 << 62)).alias("ord"))
     n_fresh = fresh.count()
     reps, frequencies, already, same = stories(spark, fresh, shown.unionByName(known))

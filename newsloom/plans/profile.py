@@ -6,6 +6,7 @@ term that a profile lists, each bounded by the configuration or a top-k of the r
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -191,7 +192,7 @@ def history_stats(rows: DataFrame, matched: DataFrame, old_days: int = OLD_DAYS)
     )
 
 
-def build_profile(spark: SparkSession, history: DataFrame, topics: list[Topic], half_life: float = HALF_LIFE_DAYS, terms: Column | None = None) -> dict:
+def build_profile(spark: SparkSession, history: DataFrame, topics: list[Topic], half_life: float = HALF_LIFE_DAYS, terms: Column | None = None, now: dt.datetime | None = None) -> dict:
     """The profile of a history (HISTORY rows) as a dict that can be stored as JSON.
 
     terms: an array column of the terms of a title; story tokens with a letter unless given (noun_terms of a
@@ -209,11 +210,13 @@ def build_profile(spark: SparkSession, history: DataFrame, topics: list[Topic],
     stats = written(spark, term_stats(rows, telling(story_tokens("title")) if terms is None else terms), "terms")
     free = uncovered(spark, stats, topics)
     domains = written(spark, source_domains(rows, "read_rank"), "domains")
-    sources = [r.asDict() for r in source_stats(domains, total).orderBy(F.desc("share"), "source").toLocalIterator()]
+    sources = [r.asDict() for r in source_stats(domains, total).withColumnRenamed("source", "name").orderBy(F.desc("share"), "name").toLocalIterator()]
     collected = found.join(F.broadcast(topic_table(spark, topics).where("collect")), "topic_ord", "left_semi")
     unmatched = rows.join(collected.select(F.col("id").alias("read_rank")).distinct(), "read_rank", "left_anti")
     old = rows.where(F.col("age") > OLD_DAYS).groupBy("source").count().orderBy(F.desc("count"), "source").collect()
     listed = lambda df, n: [{"term": r.term, "weighted": round(r.weighted, 1), "count": r["count"]} for r in df.orderBy(F.desc("weighted"), "term").limit(n).collect()]
+    figures = history_stats(rows, collected).first().asDict()
+    known_urls = figures.pop("known_urls_count")
     out = []
     for w in weights:
         t = topics[w.topic_ord]
@@ -233,12 +236,14 @@ def build_profile(spark: SparkSession, history: DataFrame, topics: list[Topic],
         )
     return {
         "version": 1,
+        "generated_at": (now or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ"),
         "params": {"half_life_days": half_life, "reference_date": str(reference), "recent_days": RECENT_DAYS},
-        "stats": history_stats(rows, collected).first().asDict() | {"old_items_sources": [[r.source, r["count"]] for r in old]},
+        "stats": figures | {"old_items_sources": [[r.source, r["count"]] for r in old]},
         "topics": out,
         "sources": sources,
         "known_domains": sorted(r.domain for r in known_domains(domains).toLocalIterator()),
-        "known_publishers": sorted(s["name"] for s in [{"name": x["source"], **x} for x in sources] if s["known"]),
+        "known_publishers": sorted(s["name"] for s in sources if s["known"]),
+        "known_urls_count": known_urls,
         "top_terms": listed(stats, 60),
         "uncovered_top_terms": listed(free, 40),
         "rising_uncovered_terms": [r.asDict() for r in rising(free, total).orderBy(F.desc("recent"), "term").limit(30).collect()],

@@ -12,7 +12,7 @@ import datetime as dt
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.tables import written
@@ -64,14 +64,17 @@ def feed(
         return 1
     at = F.lit(now).cast("timestamp")
     kept = written(spark, retained(read_state(spark, f"{out}/state/items", RECORDS), at), "kept")
-    shown = kept.select("link", "title").unionByName(known_source_titles(spark, known.sources, pause_s, wait_s))
+    # what was shown comes first, the latest run before earlier ones and each in its order of selection; then what media show
+    latest = F.row_number().over(Window.partitionBy().orderBy(F.desc("selected_at"), "place", "link")).cast("long")  # a week's records
+    after = known_source_titles(spark, known.sources, pause_s, wait_s).withColumn("ord", F.col("ord") + (1 << 60))
+    shown = kept.select("link", "title", latest.alias("ord")).unionByName(after)
     found = rank(spark, written(spark, items(feeds), "items"), known, sources.blocked, now, written(spark, shown, "shown"), limit, least_score)
     print(f"excluded {found.excluded}, too old {found.too_old}, below {found.below_threshold}, seen {found.already_seen}, same story {found.same_story}, capped {found.capped}, quotas {found.quotas}")
     if dry_run:
         found.selected.select("score", "primary", "title", "source").show(limit, truncate=60)
         return 0
     chosen = written(spark, found.selected.withColumn("place", F.row_number().over(_by_score())), "selected")
-    records = written(spark, to_records(chosen, at).unionByName(kept.where(is_japanese("title"))), "records")
+    records = written(spark, to_records(chosen, at, F.col("place")).unionByName(kept.where(is_japanese("title"))), "records")
     rss_domains = spark.createDataFrame([(s["url"],) for s in sources.rss], "url string").select(domain_of("url").alias("domain"))
     new = newly_found(chosen.select("domain", "source", "via", "collector", "title", at.alias("selected_at"), F.col("place").alias("ord")), rss_domains)
     media = written(spark, update_discovered(read_state(spark, f"{out}/state/discovered", DISCOVERED), new), "discovered")
@@ -83,8 +86,6 @@ def feed(
 
 
 def _by_score():
-    from pyspark.sql import Window
-
     return Window.partitionBy().orderBy(F.desc("score"), "ord")  # at most `limit` rows
 
 

@@ -261,10 +261,10 @@ def items(feeds: DataFrame) -> DataFrame:
 
 
 def known_source_titles(spark: SparkSession, profile_sources: list[dict], pause_s: float = PAUSE_S, wait_s: float = 2.0) -> DataFrame:
-    """(link, title) of the latest entries of the known sources that have a feed; failures give none."""
+    """(link, title, ord) of the latest entries of the known sources that have a feed, in their order; failures give none."""
     wanted = [s for s in profile_sources if s.get("known") and s.get("feed_url")]
     requests = [{"kind": "rss", "position": i, "label": s["name"], "url": s["feed_url"], "name": s["name"], "source_topics": ""} for i, s in enumerate(wanted)]
     if not requests:
-        return spark.createDataFrame([], "link string, title string")
-    found = parsed(fetched(spark, requests, pause_s, wait_s)).select(F.explode("entries").alias("e"))
-    return found.select(text_of(F.col("e.link")).alias("link"), text_of(F.col("e.title")).alias("title"))
+        return spark.createDataFrame([], "link string, title string, ord long")
+    found = parsed(fetched(spark, requests, pause_s, wait_s)).select("position", F.posexplode("entries").alias("at", "e"))
+    return found.select(text_of(F.col("e.link")).alias("link"), text_of(F.col("e.title")).alias("title"), (F.col("position").cast("long") * (1 << 30) + F.col("at")).alias("ord"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from newsloom.sources.config import Topic, topic_of
 
 RECORDS = """title string, link string, source string, via string, collector string, feed_url string, domain string, lang string, score double,
-    published timestamp, selected_at timestamp, topics array<struct<name: string, keywords: array<string>>>, `primary` string, related array<string>"""
+    published timestamp, selected_at timestamp, topics array<struct<name: string, keywords: array<string>>>, `primary` string, related array<string>, place int"""
 MARKER = "at long, version string"
 DISCOVERED = "domain string, publisher string, count long, first_seen string, last_seen string, examples array<string>"
 

@@ -59,7 +59,7 @@ def test_profile(spark, tmp_path):
     ai = next(x for x in found["topics"] if x["name"] == "AI")
     assert ai["weight"] == 1.0 and ai["keyword_weights"]["GPU"] == 0.4 and sum(x["allocation"] for x in found["topics"]) <= 1.0002
     assert found["known_domains"] == ["a.example", "b.example", "c.example"] and found["known_publishers"] == ["A", "B", "C"]
-    assert found["stats"]["articles"] == 60 and found["stats"]["known_urls_count"] == len({r[3] for r in rows})
+    assert found["stats"]["articles"] == 60 and found["known_urls_count"] == len({r[3] for r in rows})
     assert "weather" in [x["term"] for x in found["uncovered_top_terms"]]
     write_profile(found, str(tmp_path))
     assert read_profile(str(tmp_path / "profile.json")).weights["AI"] == 1.0
@@ -119,6 +119,28 @@ def test_feed_run(spark, tmp_path):
     assert once(now + dt.timedelta(hours=2)) == 1 and (out / "feed.xml").read_bytes() == before
 
 
+def test_profile_then_feed(spark, tmp_path):
+    """A feed run on an own profile: a known medium's items are excluded, and what its feed shows isn't news from others either."""
+    now = dt.datetime(2026, 9, 2, 12, tzinfo=dt.timezone.utc)
+    entry = "<item><title>{}</title><link>{}</link><pubDate>Wed, 02 Sep 2026 10:00:00 +0000</pubDate></item>"
+    feed = lambda *rows: "<rss><channel>" + "".join(entry.format(*r) for r in rows) + "</channel></rss>"
+    (tmp_path / "known.xml").write_text(feed(("新型ロケットの打上げに成功", "https://www.a.example/9")))
+    (tmp_path / "new.xml").write_text(feed(("新型ロケットの打上げに成功した", "https://n.example/1"), ("生成AIが医療の診断を変える", "https://n.example/2"), ("宇宙ステーションの新区画を公開", "https://sub.a.example/3")))
+    known = (tmp_path / "known.xml").as_uri()
+    rows = [(*r[:6], known if r[2] == "A" else "", *r[7:]) for r in history()]
+    found = profile.build_profile(spark, spark.createDataFrame(rows, HISTORY), TOPICS, now=now)
+    assert found["generated_at"] == "2026-09-02T12:00:00Z" and found["known_urls_count"] == len({r[3] for r in rows}) and "known_urls_count" not in found["stats"]
+    assert {s["name"]: (s["known"], s["feed_url"]) for s in found["sources"]} == {"A": (True, known), "B": (True, ""), "C": (True, "")}
+    write_profile(found, str(tmp_path))
+    assert "| A |" in (tmp_path / "profile.md").read_text()
+    (tmp_path / "sources.md").write_text(f"## RSS\n| 名前 | 言語 | RSS | 主なトピック |\n|---|---|---|---|\n| N | ja | {(tmp_path / 'new.xml').as_uri()} | 総合 |\n")
+    out = tmp_path / "out"
+    out.mkdir()
+    assert run.feed(spark, str(tmp_path / "profile.json"), str(tmp_path / "sources.md"), str(out), now, least_score=0.01, pause_s=0, wait_s=0) == 0
+    titles = [i.findtext("title") for i in ET.parse(out / "feed.xml").getroot().findall("channel/item")]
+    assert titles == ["生成AIが医療の診断を変える"]
+
+
 def test_streams(spark, tmp_path):
     at = dt.datetime(2026, 9, 29)
     rows = spark.createDataFrame([("https://a.example/1?utm_source=x", at), ("http://www.a.example/1", at), ("https://b.example/2", at)], "link string, published timestamp")
