@@ -7,13 +7,17 @@ the whole. So the join runs over prefixes, where common tokens hardly occur, and
 
 Clustering by leaders: in their order, titles join the most similar leader before them (the later one
 of equals) at the threshold or above, or else lead a story themselves. A class leads if no leading class
-before it is similar; that is decided in rounds for all classes at once, each round written out.
+before it is similar. Blocks of classes are decided one after the other, each as large as all before it; what is like a leader
+found so far isn't compared with anything but leaders any more. So a story of n titles makes pairs
+in proportion to n, unless its titles follow each other late in the order: then those of one block are compared.
 
 Similarities are compared rounded to 12 digits, so that the order of a sum can't decide.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,10 @@ REP_RATIO = 0.8
 BUZZ_PER_SOURCE = 0.08
 BUZZ_MAX_SOURCES = 10
 DIGITS = 12
+#: What bounds allow for the order of a sum.
+SLACK = 1e-9
+#: Classes that are decided first, and at least at once; how many others each of a block may meet by their prefixes.
+FIRST_BLOCK, SMALLEST_BLOCK, MEETINGS = 4096, 256, 64
 
 
 def idf(df: Column, n: int) -> Column:
@@ -49,25 +57,44 @@ def token_classes(titles: DataFrame, order: str = "ord", tokens: str = "tokens")
     return held.groupBy("key").agg(F.min(order).alias("class_id"), F.first("tokens").alias("tokens"))
 
 
-def similar_classes(classes: DataFrame, frequencies: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) for all pairs of classes (class_id, tokens) at the threshold or above, a < b."""
-    tokens = classes.select("class_id", F.explode("tokens").alias("token")).join(frequencies.select("token", F.col("idf").alias("weight")), "token")
+def weighed(classes: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(class_id, token, weight, total, rest) of classes (class_id, tokens); rest: the weight of this token and the commoner ones."""
+    tokens = each_of(classes, "tokens", "token", "class_id").join(frequencies.select("token", F.col("idf").alias("weight")), "token")
     of_class = Window.partitionBy("class_id")  # the tokens of one title
     rest = of_class.orderBy("weight", F.desc("token")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    weighed = tokens.withColumns({"total": F.sum("weight").over(of_class), "rest": F.sum("weight").over(rest)})
-    prefix = weighed.where(F.col("rest") >= F.col("total") * (threshold - 1e-9)).select("token", "class_id", "total")
-    side = lambda name, rows: rows.select("token", F.col("class_id").alias(name), F.col("total").alias(f"total_{name}"))
-    near = (F.col("a") < F.col("b")) & (F.least("total_a", "total_b") >= F.greatest("total_a", "total_b") * (threshold - 1e-9))
-    candidates = side("a", prefix).join(side("b", prefix), "token").where(near).select("a", "b", "total_a", "total_b").distinct()
-    held = tokens.select("class_id", "token", "weight")
-    shared = candidates.join(held.withColumnRenamed("class_id", "a"), "a").join(held.select(F.col("class_id").alias("b"), "token"), ["b", "token"])
-    both = shared.groupBy("a", "b", "total_a", "total_b").agg(F.sum("weight").alias("both"))
+    return tokens.withColumns({"total": F.sum("weight").over(of_class), "rest": F.sum("weight").over(rest)})
+
+
+def in_prefix(threshold: float) -> Column:
+    return F.col("rest") >= F.col("total") * (threshold - SLACK)
+
+
+def similar(left: DataFrame, right: DataFrame, threshold: float, condition: Column | None = None) -> DataFrame:
+    """(a, b, similarity) of all classes of left and of right (rows of `weighed`) at the threshold or above.
+
+    A pair meets at each token that both have in their prefix. At the rarest token that both have, what they share
+    can't be more than the lesser of their rests; where that is too little the pair isn't made. That loses no pair,
+    since a similar one passes at that token.
+    """
+    side = lambda name, rows: rows.where(in_prefix(threshold)).select("token", F.col("class_id").alias(name), F.col("total").alias(f"total_{name}"), F.col("rest").alias(f"rest_{name}"))
+    least, both = F.least("total_a", "total_b"), F.col("total_a") + F.col("total_b")
+    near = (least >= F.greatest("total_a", "total_b") * (threshold - SLACK)) & (F.least("rest_a", "rest_b") >= both * (threshold / (1 + threshold) - SLACK))
+    met = side("a", left).join(side("b", right), "token").where(near if condition is None else near & condition)
+    candidates = met.select("a", "b", "total_a", "total_b").distinct()
+    shared = candidates.join(left.select(F.col("class_id").alias("a"), "token", "weight"), "a").join(right.select(F.col("class_id").alias("b"), "token"), ["b", "token"])
+    summed = shared.groupBy("a", "b", "total_a", "total_b").agg(F.sum("weight").alias("both"))
     similarity = F.round(F.col("both") / (F.col("total_a") + F.col("total_b") - F.col("both")), DIGITS)
-    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    return summed.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def leaders(spark: SparkSession, pairs: DataFrame) -> DataFrame:
-    """(class_id, leads) for the classes in pairs (a before b): the first ones of which no two are similar."""
+def similar_classes(classes: DataFrame, frequencies: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) for all pairs of classes (class_id, tokens) at the threshold or above, a < b."""
+    rows = weighed(classes, frequencies)
+    return similar(rows, rows, threshold, F.col("a") < F.col("b"))
+
+
+def first_ones(spark: SparkSession, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class_id): of classes, the first ones of which no two are in pairs (a before b). All are decided at once, in rounds."""
     nodes = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct().withColumn("leads", F.lit(None).cast("boolean"))
     while True:
         before = pairs.select("a", F.col("b").alias("class_id")).join(nodes.select(F.col("class_id").alias("a"), F.col("leads").alias("a_leads")), "a")
@@ -75,21 +102,66 @@ def leaders(spark: SparkSession, pairs: DataFrame) -> DataFrame:
         decided = F.when(F.coalesce("led", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
         nodes = written(spark, nodes.join(seen, "class_id", "left").select("class_id", F.coalesce("leads", decided).alias("leads")), "leaders")
         if nodes.where("leads IS NULL").limit(1).count() == 0:
-            return nodes
+            return classes.select("class_id").join(nodes.where("NOT leads").select("class_id"), "class_id", "left_anti")
+
+
+def placed(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """(class_id, at): classes numbered in their order, by a range partitioning and the sizes of its parts."""
+    parts = written(spark, classes.select("class_id").orderBy("class_id").withColumn("part", F.spark_partition_id()), "parts")
+    before = F.sum("n").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    offsets = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("class_id"))
+    return parts.join(F.broadcast(offsets), "part").select("class_id", (number - 1 + F.col("before")).alias("at"))
 
 
-def story_clusters(spark: SparkSession, titles: DataFrame, frequencies: DataFrame, threshold: float = SAME_STORY) -> DataFrame:
+def block_end(block: DataFrame, begin: int, end: int, threshold: float) -> int:
+    """Where a block should end so that its classes meet MEETINGS others each at most; but not below a fourth of what is decided."""
+    at = end
+    while at - begin > max(SMALLEST_BLOCK, begin // 4):
+        n = block.where(F.col("at") < at).where(in_prefix(threshold)).groupBy("token").agg(F.count("*").alias("n"))
+        met = n.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+        if met <= MEETINGS * (at - begin):
+            break
+        at = begin + (at - begin) // 2
+    return at
+
+
+def leading(spark: SparkSession, tokens: DataFrame, classes: DataFrame, threshold: float, first_block: int = FIRST_BLOCK) -> tuple[DataFrame, list[DataFrame]]:
+    """(class_id) of the leaders among classes, and the pairs that were made to tell them.
+
+    tokens: rows of `weighed`. Blocks of classes are decided in their order, each twice as large as what is decided. Within a block
+    its similar pairs decide; then the classes that remain meet the block's leaders, and those like one are done
+    with. So the later members of a story never meet each other, and there are as many rounds as doublings.
+    """
+    numbered = written(spark, placed(spark, classes), "placed")
+    rows = written(spark, tokens.join(numbered, "class_id"), "undecided")
+    n, begin, found, made = numbered.count(), 0, [], []
+    while begin < n:
+        end = block_end(rows, begin, min(n, max(first_block, 2 * begin)), threshold)
+        block = written(spark, rows.where(F.col("at") < end), "block")
+        pairs = written(spark, similar(block, block, threshold, F.col("a") < F.col("b")), "pairs")
+        made.append(pairs)
+        found.append(written(spark, first_ones(spark, block.select("class_id").distinct(), pairs), "leading"))
+        rest = rows.where(F.col("at") >= end)
+        if end < n:
+            like = similar(rest, block.join(found[-1], "class_id", "left_semi"), threshold).select(F.col("a").alias("class_id")).distinct()
+            rows = written(spark, rest.join(like, "class_id", "left_anti"), "undecided")
+        begin = end
+    return (reduce(DataFrame.unionByName, found) if found else classes.select("class_id").limit(0)), made
+
+
+def story_clusters(spark: SparkSession, titles: DataFrame, frequencies: DataFrame, threshold: float = SAME_STORY, first_block: int = FIRST_BLOCK) -> DataFrame:
     """(ord, story) of titles (ord, tokens), ord unique: the order number of the leader that a title joins, or its own.
 
     A title without tokens is a story of its own.
     """
     rows = titles.select("ord", token_key().alias("key"), "tokens")
     classes = written(spark, token_classes(rows), "classes")
-    pairs = written(spark, similar_classes(classes, frequencies, threshold), "pairs")
-    led = leaders(spark, pairs)
-    both = pairs.union(pairs.select("b", "a", "similarity"))
-    near = both.join(led.where("leads").select(F.col("class_id").alias("b")), "b").select(F.col("a").alias("class_id"), F.col("b").alias("leader"), "similarity")
-    own = classes.join(led.where("NOT leads").select("class_id"), "class_id", "left_anti").select("class_id", F.col("class_id").alias("leader"), F.lit(1.0).alias("similarity"))
+    tokens = written(spark, weighed(classes, frequencies), "weighed")
+    led = written(spark, leading(spark, tokens, classes, threshold, first_block)[0], "leaders")
+    members = tokens.join(led, "class_id", "left_anti")
+    near = similar(members, tokens.join(led, "class_id", "left_semi"), threshold).select(F.col("a").alias("class_id"), F.col("b").alias("leader"), "similarity")
+    own = led.select("class_id", F.col("class_id").alias("leader"), F.lit(1.0).alias("similarity"))
     options = near.unionByName(own).groupBy("class_id").agg(F.collect_list(F.struct("similarity", "leader")).alias("options"))  # leaders differ, so they are few
     keyed = classes.join(options, "class_id").select("key", "options")
     joined = rows.where(F.size("tokens") > 0).join(keyed, "key")
