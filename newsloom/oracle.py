@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries; what depends on all choices before it (clusters, selections) has none and is tested against a sequential form."""
+"""DuckDB SQL for the queries; selections over page titles and whole feed runs have none and are tested against a sequential form."""
 
 from __future__ import annotations
 
@@ -75,10 +75,11 @@ assert BLOCKED == ["src3", "src4.example.com"]
 WEIGHTS = ", ".join(f"({quoted(k)}, CAST({v} AS DOUBLE))" for k, v in PROFILE.weights.items())
 MEDIA = f"media AS (SELECT page_id, url, page_id % 2 AS run, {HOST.format('url')} AS domain, strftime(DATE '2024-01-31' + CAST(page_id % 5 AS INTEGER), '%Y-%m-%d') AS day FROM pages WHERE {HOST.format('url')} NOT IN ('', 'example.com'))"
 PART_TOKENS = f"parts AS (SELECT p_partkey AS doc_id, p_name AS text FROM part), {TOKENS}, {IDF}, {CLASSES}".replace("documents", "parts")
-PART_PAIRS = f"""{PART_TOKENS}, reps AS (SELECT min(doc_id) AS doc_id FROM sets WHERE len(ws) > 0 GROUP BY ws),
+PAIRS = """reps AS (SELECT min(doc_id) AS doc_id FROM sets WHERE len(ws) > 0 GROUP BY ws),
 held AS (SELECT doc_id, w, idf FROM tok JOIN reps USING (doc_id) JOIN idf USING (w)), total AS (SELECT doc_id, sum(idf) AS s FROM held GROUP BY 1),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.idf) AS s FROM held a JOIN held b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2),
 sims AS (SELECT a, b, round(shared.s / (x.s + y.s - shared.s), 12) AS sim FROM shared JOIN total x ON a = x.doc_id JOIN total y ON b = y.doc_id)"""
+PART_PAIRS, TITLE_PAIRS = f"{PART_TOKENS}, {PAIRS}", f"{TITLE_TOKENS}, {PAIRS}"
 
 SAVED = """saved AS (SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS read_rank, 'T ' || o_orderstatus || ' ' || o_orderkey AS title, 'S & ' || o_orderpriority AS source,
   'https://e.example/?a=1&o=' || o_orderkey AS url, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || 'T04:15:16Z' END AS published,
@@ -86,6 +87,20 @@ SAVED = """saved AS (SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_cu
   'm ' || o_orderkey % 3 AS feedly_meme, 'about ' || o_orderkey AS summary, 'o' || o_orderkey AS entry_id, CASE WHEN o_orderkey % 5 = 0 THEN 'published' ELSE '' END AS lacks FROM orders)"""
 
 
+def stories_sql(pairs: str, name: str) -> str:
+    """Leaders in the order of their ids, one after the other, and each row's most similar one."""
+    return f"""WITH RECURSIVE {pairs}, near AS (SELECT * FROM sims WHERE sim >= 0.3),
+numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM reps), before AS (SELECT numbered.doc_id, i, coalesce(list(a) FILTER (WHERE a IS NOT NULL), []) AS earlier FROM numbered LEFT JOIN near ON doc_id = b GROUP BY 1, 2),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders UNION ALL
+  SELECT before.i, CASE WHEN list_has_any(leaders, earlier) THEN leaders ELSE list_append(leaders, doc_id) END FROM walk JOIN before ON before.i = walk.i + 1),
+leads AS (SELECT unnest(leaders) AS leader FROM walk WHERE i = (SELECT count(*) FROM reps)),
+mutual AS (SELECT a, b, sim FROM near UNION ALL SELECT b, a, sim FROM near UNION ALL SELECT doc_id, doc_id, 1.0 FROM reps),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ws) AS c FROM sets)
+SELECT doc_id AS {name}, story FROM (SELECT class.doc_id, leader AS story, row_number() OVER (PARTITION BY class.doc_id ORDER BY sim DESC, leader DESC) AS place FROM class JOIN mutual ON a = c JOIN leads ON leader = b AND leader <= class.doc_id) WHERE place = 1
+UNION ALL SELECT doc_id, doc_id FROM sets WHERE len(ws) = 0"""
+
+
+
 def one_of(values: list, number: str = "k") -> str:
     return f"list_extract([{', '.join(quoted(v) for v in values)}], CAST({number} % {len(values)} + 1 AS INTEGER))"
 
@@ -182,14 +197,8 @@ sha1('https://' || source || '.example.com/' || d.doc_id) AS guid FROM d JOIN do
     "processing_order": "SELECT o_orderkey, '1' || printf('%012X', CAST(1000000000000 - round(round(o_totalprice / 1e6, 4) * 10000) AS BIGINT)) || printf('%016X', o_orderkey) AS key FROM orders",
     "stream_domain_counts": f"SELECT strftime(TIMESTAMP '2024-01-31' - to_minutes(page_id), '%Y-%m-%d') AS day, {HOST.format('url')} AS domain, count(*) AS n FROM pages GROUP BY 1, 2",
     "part_pairs": f"WITH {PART_PAIRS} SELECT a, b, round(sim, 6) AS similarity FROM sims WHERE sim >= 0.3",
-    "part_stories": f"""WITH RECURSIVE {PART_PAIRS}, near AS (SELECT * FROM sims WHERE sim >= 0.3),
-numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM reps), before AS (SELECT numbered.doc_id, i, coalesce(list(a) FILTER (WHERE a IS NOT NULL), []) AS earlier FROM numbered LEFT JOIN near ON doc_id = b GROUP BY 1, 2),
-walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders UNION ALL
-  SELECT before.i, CASE WHEN list_has_any(leaders, earlier) THEN leaders ELSE list_append(leaders, doc_id) END FROM walk JOIN before ON before.i = walk.i + 1),
-leads AS (SELECT unnest(leaders) AS leader FROM walk WHERE i = (SELECT count(*) FROM reps)),
-mutual AS (SELECT a, b, sim FROM near UNION ALL SELECT b, a, sim FROM near UNION ALL SELECT doc_id, doc_id, 1.0 FROM reps),
-class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY ws) AS c FROM sets)
-SELECT doc_id AS p_partkey, story FROM (SELECT class.doc_id, leader AS story, row_number() OVER (PARTITION BY class.doc_id ORDER BY sim DESC, leader DESC) AS place FROM class JOIN mutual ON a = c JOIN leads ON leader = b AND leader <= class.doc_id) WHERE place = 1""",
+    "part_stories": stories_sql(PART_PAIRS, "p_partkey"),
+    "story_clusters": stories_sql(TITLE_PAIRS, "page_id"),
     "part_picks": f"""WITH RECURSIVE {PART_TOKENS}, cand AS (SELECT p_partkey AS ord, 'source' || p_partkey % 9 AS src, round(p_retailprice, 1) AS score, CASE p_brand WHEN 'Brand#1' THEN 'a' WHEN 'Brand#2' THEN 'b' ELSE '' END AS topic, round(p_size / 100.0, 2) AS rank, ws FROM part JOIN sets ON p_partkey = doc_id),
 weight AS (SELECT map(list(w), list(idf)) AS m FROM idf),
 turn AS (SELECT row_number() OVER (ORDER BY phase, rank DESC, score DESC, ord) AS i, * FROM (SELECT CASE topic WHEN 'a' THEN 1 ELSE 2 END AS phase, CASE topic WHEN 'a' THEN 7 ELSE 3 END AS quota, * FROM cand WHERE topic <> '' UNION ALL SELECT 3, 12, ord, src, score, topic, 0.0, ws FROM cand)),
@@ -237,3 +246,5 @@ CAST(p_partkey AS VARCHAR) AS received, CAST(p_partkey AS VARCHAR) AS feed_url,
     "state_versions": """SELECT 'u' || user_id || '.example' AS domain, event_type AS publisher, count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS first_seen, strftime(max(ts), '%Y-%m-%d') AS last_seen, event_type AS examples FROM events WHERE event_type <> 'view' GROUP BY user_id, event_type""",
     "decoded_links": "SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS day, 'http://e.example/' || event_type || '/あ+%zz' AS link FROM events",
 }
+# The same results by other ways: as a stream, and from partials.
+ORACLE_SQL |= {"stream_discovered": ORACLE_SQL["discovered_upsert"], "partial_shares": ORACLE_SQL["topic_share"], "partial_terms": ORACLE_SQL["top_terms"]}

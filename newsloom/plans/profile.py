@@ -87,7 +87,11 @@ def topic_table(spark: SparkSession, topics: list[Topic]) -> DataFrame:
 
 def topic_shares(spark: SparkSession, found: DataFrame, topics: list[Topic], total: Totals) -> DataFrame:
     """Per topic, hit or not: share of the weight, count, rates of recent and older rows, trend."""
-    sums = found.groupBy("topic_ord").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.sum(F.col("recent").cast("long")).alias("recent"))
+    return shares_of(spark, found.groupBy("topic_ord").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.sum(F.col("recent").cast("long")).alias("recent")), topics, total)
+
+
+def shares_of(spark: SparkSession, sums: DataFrame, topics: list[Topic], total: Totals) -> DataFrame:
+    """The same from the sums (w, n, recent) of each topic_ord."""
     rows = topic_table(spark, topics).join(F.broadcast(sums), "topic_ord", "left").fillna({"w": 0.0, "n": 0, "recent": 0})
     recent, older = F.col("recent") / total.recent, (F.col("n") - F.col("recent")) / total.older
     return rows.select(

@@ -26,6 +26,7 @@ from newsloom.operators.selection import capped, diverse_selection, largest_rema
 from newsloom.operators.state import newly_found, retained, unseen, update_discovered
 from newsloom.operators.stories import buzz, document_frequencies, representatives, similar_classes, story_clusters, token_classes, token_key
 from newsloom.plans.feed import considered, processing_key, rank
+from newsloom.plans.partials import Sums, add_partials, day_partials, read_partials
 from newsloom.plans.profile import (
     first_rows,
     history_stats,
@@ -52,6 +53,7 @@ from newsloom.sources.pages import HISTORY, extraction_report, page_title, read_
 from newsloom.sources.pages import articles as saved_pages
 from newsloom.sources.state import DISCOVERED, Profile, read_state, write_state
 from newsloom.streaming.items import domain_counts
+from newsloom.streaming.state import discovered_media, keyed_state
 
 REFERENCE = dt.date(2024, 1, 31)
 NOW = dt.datetime(2024, 1, 31)
@@ -134,6 +136,25 @@ def topic_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("topic", "share", F.col("count").alias("n"), "recent_rate", "older_rate", "trend")
 
 
+def increments(spark: SparkSession, sf_dir: str) -> Sums:
+    """documents as a history that came in three increments, as partials."""
+    path = f"{shared_dir(spark)}/newsloom/partials-{uuid.uuid4().hex}"
+    rows = dated(spark, sf_dir).select(F.col("doc_id").alias("id"), "day", "text")
+    for part in range(3):
+        add_partials(day_partials(spark, rows.where(F.col("id") % 3 == part), TOPICS, story_tokens("text")), path)
+    return Sums(read_partials(spark, path), REFERENCE)
+
+
+def partial_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = increments(spark, sf_dir).shares(spark, TOPICS)
+    return shares.select("topic", "share", F.col("count").alias("n"), "recent_rate", "older_rate", "trend")
+
+
+def partial_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = increments(spark, sf_dir).terms().orderBy(F.desc("count"), "term").limit(60)
+    return top.select("term", F.round("weighted", 6).alias("weighted"), F.col("count").alias("n"), "recent", "older")
+
+
 def topic_weights_alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dated(spark, sf_dir)
     shares = topic_shares(spark, topic_hits(spark, rows, TOPICS, "doc_id", "text"), TOPICS, totals(rows))
@@ -549,16 +570,34 @@ def stream_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    counts = domain_counts(rows).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    counts = domain_counts(rows).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     counts.awaitTermination()
-    batches = spark.read.parquet(path)
-    last = batches.where(F.col("batch") == batches.agg(F.max("batch")).first()[0])
-    return last.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "domain", "n")
+    changed = spark.read.parquet(path)  # of each batch what it changed; counts only grow
+    return changed.groupBy(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "domain").agg(F.max("n").alias("n"))
+
+
+def stream_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as a stream of two micro-batches, and the media discovered in them as they stand after both."""
+    path = f"{shared_dir(spark)}/newsloom/discovered-{uuid.uuid4().hex}"
+    for run in (0, 1):
+        found_media(spark, sf_dir, run).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    with keyed_state(spark):
+        discovered_media(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    changed = spark.read.parquet(f"{path}/out")
+    latest = changed.groupBy("domain").agg(F.max_by(F.struct(*[c for c in changed.columns if c not in ("domain", "batch")]), "batch").alias("last")).select("domain", "last.*")
+    return latest.select("domain", "publisher", F.col("count").alias("n"), "first_seen", "last_seen", F.array_join("examples", " ").alias("examples"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_match": topic_match,
     "topic_share": topic_share,
+    "partial_shares": partial_shares,
+    "partial_terms": partial_terms,
     "topic_weights_alloc": topic_weights_alloc,
     "keyword_weights": keyword_weights,
     "topic_samples": topic_samples,
@@ -611,4 +650,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "state_versions": state_versions,
     "decoded_links": decoded_links,
     "stream_domain_counts": stream_domain_counts,
+    "stream_discovered": stream_discovered,
 }

@@ -6,13 +6,15 @@ import xml.etree.ElementTree as ET
 
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import story_tokens
 from newsloom.operators.state import newly_found, retained, unseen, update_discovered
-from newsloom.plans import profile, run
+from newsloom.plans import partials, profile, run
 from newsloom.sinks.report import markdown, topic_bars, write_profile
 from newsloom.sources.config import Topic
 from newsloom.sources.pages import HISTORY
 from newsloom.sources.state import DISCOVERED, read_profile
 from newsloom.streaming.items import fresh_once, run_batches
+from newsloom.streaming.state import keyed_state, remembered
 from tests.test_matching import plain_match
 
 TOPICS = [Topic("AI", ["AI", "生成AI", "GPU"], ["robot"], multiplier=2.0), Topic("宇宙", ["宇宙", "ロケット"]), Topic("株", ["株価"], collect=False)]
@@ -69,6 +71,27 @@ def test_profile(spark, tmp_path):
     assert [r.bar for r in topic_bars(weights, 4).orderBy("topic").collect()] == ["████", "██░░"]
 
 
+def test_profile_from_partials_equals_the_one_made_anew(spark, tmp_path):
+    """Whatever increments the history came in, and at a later reference date as well."""
+    rows = [(r[0], r[1], (r[4] or r[5])[:10]) for r in history(120, 7)] + [(500, None, "2026-08-01"), (501, "AI no day", None)]
+    df = spark.createDataFrame(rows, "id long, text string, day string").withColumn("day", F.to_date("day"))
+    path = str(tmp_path / "partials")
+    for k in range(3):
+        partials.add_partials(partials.day_partials(spark, df.where(F.col("id") % 3 == k), TOPICS, story_tokens("text")), path)
+    for reference in (dt.date(2026, 9, 1), dt.date(2027, 2, 1)):
+        anew = profile.with_weights(df.where("day IS NOT NULL"), F.col("day"), reference)
+        sums = partials.Sums(partials.read_partials(spark, path), reference)
+        want, got = profile.totals(anew), sums.totals()
+        assert math.isclose(want.weight, got.weight, rel_tol=1e-9) and (want.recent, want.older) == (got.recent, got.older)
+        shares = profile.topic_shares(spark, profile.topic_hits(spark, anew, TOPICS, "id", "text"), TOPICS, want)
+        assert sorted(shares.collect()) == sorted(sums.shares(spark, TOPICS).collect())
+        terms = {r.term: r for r in profile.term_stats(anew, story_tokens("text")).collect()}
+        found = {r.term: r for r in sums.terms().collect()}
+        assert terms.keys() == found.keys()
+        assert all(math.isclose(terms[t].weighted, found[t].weighted, rel_tol=1e-9) and terms[t][2:] == found[t][2:] for t in terms)
+    assert partials.day_partials(spark, df.limit(0), TOPICS, story_tokens("text")).count() == 0
+
+
 def test_running_maximum_over_buckets(spark):
     rows = history(200, 4)
     df = profile.running_max(spark.createDataFrame(rows, HISTORY), "read_rank", F.coalesce(F.nullif("received", F.lit("")), F.col("published")), "est_read", bucket_rows=7)
@@ -149,3 +172,17 @@ def test_streams(spark, tmp_path):
     got = []
     run_batches(fresh_once(stream), lambda df, _: got.extend(df.collect()), str(tmp_path / "state")).awaitTermination()
     assert sorted(r.link.split(".")[-2][-1] for r in got) == ["a", "b"]
+
+
+def test_links_are_remembered_for_some_days(spark, tmp_path):
+    """State by key over micro-batches: a link comes again once its timer has cleared it."""
+    at = dt.datetime(2026, 9, 1)
+    batches = [[("https://a.example/1", 0), ("http://www.a.example/1?utm_source=x", 1)], [("https://a.example/1", 3), ("https://b.example/2", 9)], [("https://c.example/3", 10)], [("https://a.example/1", 11), ("https://b.example/2", 11)]]
+    for i, rows in enumerate(batches):
+        days = [(link, at + dt.timedelta(days=d)) for link, d in rows]
+        spark.createDataFrame(days, "link string, published timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("link string, published timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = []
+    with keyed_state(spark):
+        run_batches(remembered(stream), lambda df, _: got.append(sorted((r.link, (r.published - at).days) for r in df.collect())), str(tmp_path / "state")).awaitTermination()
+    assert [g for g in got if g] == [[("https://a.example/1", 0)], [("https://b.example/2", 9)], [("https://c.example/3", 10)], [("https://a.example/1", 11)]]
