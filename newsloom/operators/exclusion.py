@@ -24,6 +24,8 @@ COMPANY_FORMS = "^(株式会社|合同会社|有限会社)"
 MAX_AGE_HOURS = 72
 LEAST_NAME = 3
 BROADCAST_NAMES = 100_000
+#: Plain strings of which the titles above must hold one, which is tested first.
+AD_HINTS, GALLERY_HINTS = ("PR", "ponsored", "PONSORED"), ("画像", "/")
 
 
 def is_too_old(published: Column, now: Column, hours: float = MAX_AGE_HOURS) -> Column:
@@ -31,6 +33,13 @@ def is_too_old(published: Column, now: Column, hours: float = MAX_AGE_HOURS) ->
     return F.coalesce((now.cast("double") - published.cast("double")) > hours * 3600, F.lit(False))
 
 
+def hinted(text: Column, hints: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for h in hints:
+        found = found | text.contains(h)
+    return found
+
+
 def listed(names: DataFrame) -> DataFrame:
     """names, as a broadcast side if there are few enough."""
     return F.broadcast(names) if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names
@@ -80,8 +89,8 @@ def with_reasons(spark: SparkSession, items: DataFrame, known_domains: list[str]
     reason = (
         F.when(F.col("known_domain") | (F.col("known_name") & (F.col("via") != "RSS")), KNOWN)
         .when(~F.col("lang").isin(*languages) | F.col("lang").isNull(), ENGLISH)
-        .when(F.col("title").rlike(AD_TITLE), AD)
-        .when(F.col("title").rlike(GALLERY_TITLE), GALLERY)
+        .when(hinted(F.col("title"), AD_HINTS) & F.col("title").rlike(AD_TITLE), AD)
+        .when(hinted(F.col("title"), GALLERY_HINTS) & F.col("title").rlike(GALLERY_TITLE), GALLERY)
         .when((F.col("via") == "Googleニュース") & F.col("source").rlike(COMPANY_FORMS), COMPANY)
         .when(F.col("blocked_name") | F.col("blocked_domain"), BLOCKED)
         .when(F.col("veto").isNotNull(), F.concat(F.lit("集めない話題（"), F.col("veto"), F.lit("）")))
