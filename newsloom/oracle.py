@@ -157,6 +157,10 @@ coalesce(array_to_string(list_sort(list(DISTINCT left(day, 4)) FILTER (WHERE age
     "saved_dates": "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS saved, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS feed FROM events",
     "name_and_language": "SELECT p_partkey, lower(replace(p_name, ' ', '')) AS name, CASE WHEN regexp_matches(p_name, '[぀-ヿ一-鿿]') THEN 'ja' ELSE 'en' END AS lang FROM part",
     "exclusion_reason": REASON,
+    "profile_exclusion": f"""WITH {READS}, {KNOWN_SOURCES}, kd AS (SELECT DISTINCT domain FROM (SELECT source, domain, count(*) AS n FROM reads GROUP BY 1, 2) JOIN known USING (source) WHERE n >= {LEAST_READS}),
+at_domain AS (SELECT DISTINCT page_id FROM reads JOIN kd ON reads.domain = kd.domain OR ends_with(reads.domain, '.' || kd.domain)),
+at_name AS (SELECT DISTINCT page_id FROM reads JOIN known ON length(known.source) >= 3 AND length(domain) >= 3 AND (starts_with(domain, lower(known.source)) OR starts_with(lower(known.source), domain)) WHERE page_id % 3 <> 0)
+SELECT page_id, page_id IN (SELECT page_id FROM at_domain) OR page_id IN (SELECT page_id FROM at_name) AS known FROM reads""",
     "exclusion_counts": f"SELECT reason, count(*) AS n FROM ({REASON}) GROUP BY 1",
     "domain_list": f"SELECT page_id FROM pages WHERE regexp_matches({HOST.format('url')}, '(^|\\.)(example\\.com|ththth\\.example\\.net)$')",
     "publisher_prefixes": """SELECT DISTINCT p_name AS name FROM (SELECT p_name, lower(replace(p_name, ' ', '')) AS n FROM part), (VALUES ('smallr'), ('redwidgetnews')) k(k)

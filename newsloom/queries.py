@@ -8,6 +8,7 @@ articles where titles are compared: titles are short, and so are the prefixes th
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +20,7 @@ from newsloom.functions.tables import shared_dir, table, written
 from newsloom.functions.text import detect_lang, norm_name, plain, story_tokens
 from newsloom.functions.times import feed_time, parse_day, saved_date
 from newsloom.functions.urls import domain_of, normalize_url, unquoted
-from newsloom.operators.exclusion import in_domains, known_publishers, with_reasons
+from newsloom.operators.exclusion import KNOWN, in_domains, known_publishers, with_reasons
 from newsloom.operators.matching import match_topics, vetoes
 from newsloom.operators.scoring import with_scores
 from newsloom.operators.selection import capped, diverse_selection, largest_remainders
@@ -28,6 +29,7 @@ from newsloom.operators.stories import buzz, document_frequencies, representativ
 from newsloom.plans.feed import considered, processing_key, rank
 from newsloom.plans.partials import Sums, add_partials, day_partials, read_partials
 from newsloom.plans.profile import (
+    build_profile,
     first_rows,
     history_stats,
     keyword_stats,
@@ -51,7 +53,7 @@ from newsloom.sources.config import Topic, parse_sources, parse_topics
 from newsloom.sources.feeds import FETCHED, SUMMARY_CHARS, VIA, healthy, items, parsed, statuses
 from newsloom.sources.pages import HISTORY, extraction_report, page_title, read_history
 from newsloom.sources.pages import articles as saved_pages
-from newsloom.sources.state import DISCOVERED, Profile, read_state, write_state
+from newsloom.sources.state import DISCOVERED, Profile, profile_of, read_state, write_state
 from newsloom.streaming.items import domain_counts
 from newsloom.streaming.state import discovered_media, keyed_state
 
@@ -261,6 +263,20 @@ def exclusion_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("ord").alias("doc_id"), "reason")
 
 
+def profile_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile of pages as a history, stored as JSON and read again, and which pages its known media keep out as candidates."""
+    blank = F.lit("")
+    read = reads(spark, sf_dir).join(table(spark, sf_dir, "pages").select("page_id", page_title(F.col("html")).alias("title")), "page_id")
+    stamp = F.date_format(F.timestamp_seconds(F.unix_seconds(F.lit(NOW)) - F.col("page_id") % 300 * 86_400), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    own = {"read_rank": F.col("page_id").cast("int"), "title": F.col("title"), "source": F.col("source"), "url": F.col("url"), "published": stamp, "received": stamp, "entry_id": F.col("page_id").cast("string")}
+    history = read.select([own.get(n, blank).alias(n) for n in HISTORY.fieldNames()])
+    path = f"{shared_dir(spark)}/newsloom/profile-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(build_profile(spark, history, TOPICS, now=NOW), ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    known = profile_of(json.loads(spark.read.text(path).first().value))
+    rows = with_reasons(spark, headlines(spark, sf_dir), known.known_domains, known.known_publishers, [], known.vetoes, LANGUAGES)
+    return rows.select(F.col("ord").alias("page_id"), (F.col("reason") == KNOWN).alias("known"))
+
+
 def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exclusion_reason(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -616,6 +632,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "name_and_language": name_and_language,
     "exclusion_reason": exclusion_reason,
     "exclusion_counts": exclusion_counts,
+    "profile_exclusion": profile_exclusion,
     "domain_list": domain_list,
     "publisher_prefixes": publisher_prefixes,
     "veto_filter": veto_filter,
