@@ -74,13 +74,15 @@ def similar(left: DataFrame, right: DataFrame, threshold: float, condition: Colu
 
     A pair meets at each token that both have in their prefix. At the rarest token that both have, what they share
     can't be more than the lesser of their rests; where that is too little the pair isn't made. That loses no pair,
-    since a similar one passes at that token.
+    since a similar one passes at that token. Of what was made, those whose shared tokens, and the lesser rest after the
+    last of them, are too little go before any other token is looked at.
     """
-    side = lambda name, rows: rows.where(in_prefix(threshold)).select("token", F.col("class_id").alias(name), F.col("total").alias(f"total_{name}"), F.col("rest").alias(f"rest_{name}"))
-    least, both = F.least("total_a", "total_b"), F.col("total_a") + F.col("total_b")
-    near = (least >= F.greatest("total_a", "total_b") * (threshold - SLACK)) & (F.least("rest_a", "rest_b") >= both * (threshold / (1 + threshold) - SLACK))
-    met = side("a", left).join(side("b", right), "token").where(near if condition is None else near & condition)
-    candidates = met.select("a", "b", "total_a", "total_b").distinct()
+    side = lambda name, rows: rows.where(in_prefix(threshold)).select("token", "weight", F.col("class_id").alias(name), F.col("total").alias(f"total_{name}"), F.col("rest").alias(f"rest_{name}"))
+    least, needed = F.least("total_a", "total_b"), (F.col("total_a") + F.col("total_b")) * (threshold / (1 + threshold)) - SLACK
+    near = (least >= F.greatest("total_a", "total_b") * (threshold - SLACK)) & (F.least("rest_a", "rest_b") >= needed)
+    met = side("a", left).join(side("b", right).drop("weight"), "token").where(near if condition is None else near & condition)
+    after = F.least(*[F.min(F.col(f"rest_{x}") - F.col("weight")) for x in "ab"])
+    candidates = met.groupBy("a", "b", "total_a", "total_b").agg((F.sum("weight") + after).alias("most")).where(F.col("most") >= needed).drop("most")
     shared = candidates.join(left.select(F.col("class_id").alias("a"), "token", "weight"), "a").join(right.select(F.col("class_id").alias("b"), "token"), ["b", "token"])
     summed = shared.groupBy("a", "b", "total_a", "total_b").agg(F.sum("weight").alias("both"))
     similarity = F.round(F.col("both") / (F.col("total_a") + F.col("total_b") - F.col("both")), DIGITS)

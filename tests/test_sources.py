@@ -157,7 +157,7 @@ def test_feeds(spark, tmp_path):
     assert rows[0].summary == "x" and rows[0].lang == "ja" and rows[0].source_topics == "半導体" and rows[0].published == dt.datetime(2026, 9, 29, 10)
     assert rows[2].published == dt.datetime(2026, 9, 29, 9) and rows[2].lang == "en" and rows[4].summary == ""
     known = feeds.known_source_titles(spark, [{"name": "A", "known": True, "feed_url": name("b.xml")}, {"name": "B", "known": False, "feed_url": "x"}], 0, 0)
-    assert [tuple(r) for r in known.collect()] == [("https://b.example/3", "atom")]
+    assert [tuple(r) for r in known.collect()] == [("https://b.example/3", "atom", 0)]
     assert feeds.known_source_titles(spark, []).count() == 0
 
 
