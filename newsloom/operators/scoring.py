@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.scores import missed
+from newsloom.functions.scores import missed, rounded
 from newsloom.functions.text import text_of
 from newsloom.functions.times import age_hours
 from newsloom.operators.matching import hits, matched_keywords, term_table
@@ -69,11 +69,11 @@ def topic_scores(spark: SparkSession, items: DataFrame, topics: list[Topic], wei
 def with_scores(spark: SparkSession, items: DataFrame, topics: list[Topic], weights: dict[str, float], keyword_weights: dict[str, dict[str, float]], now: Column) -> DataFrame:
     """items with score, fresh, topics (by contribution), primary ("" if no title hit) and contrib of the primary topic."""
     scores = topic_scores(spark, items, topics, weights, keyword_weights)
-    rounded = F.round("contribution", 3)
-    rank = F.struct(F.round("title_relevance", 3).alias("title"), F.round("relevance", 3), -F.col("weight"), F.col("topic").alias("topic"), rounded.alias("contrib"))
+    said = rounded(F.col("contribution"), 3)
+    rank = F.struct(rounded(F.col("title_relevance"), 3).alias("title"), rounded(F.col("relevance"), 3), -F.col("weight"), F.col("topic").alias("topic"), said.alias("contrib"))
     by_item = scores.groupBy("ord").agg(
         F.array_sort(F.collect_list(F.struct("topic_ord", "contribution"))).alias("parts"),
-        F.array_sort(F.collect_list(F.struct((-rounded).alias("less"), "topic_ord", F.col("topic").alias("name"), "keywords"))).alias("by"),
+        F.array_sort(F.collect_list(F.struct((-said).alias("less"), "topic_ord", F.col("topic").alias("name"), "keywords"))).alias("by"),
         F.max(rank).alias("best"),
     )
     total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["contribution"])
@@ -82,7 +82,7 @@ def with_scores(spark: SparkSession, items: DataFrame, topics: list[Topic], weig
     hit = F.col("best.title") > 0
     return joined.select(
         *items.columns, "fresh",
-        F.coalesce(F.round(total * F.col("fresh"), 4), F.lit(0.0)).alias("score"),
+        F.coalesce(rounded(total * F.col("fresh"), 4), F.lit(0.0)).alias("score"),
         F.transform("by", lambda t: F.struct(t["name"].alias("name"), t["keywords"].alias("keywords"), (-t["less"]).alias("contrib"))).alias("topics"),
         F.when(hit, F.col("best.topic")).otherwise("").alias("primary"),
         F.when(hit, F.col("best.contrib")).alias("contrib"),

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.scores import rounded
 from newsloom.functions.tables import written
 from newsloom.functions.text import norm_name
 from newsloom.operators.stories import DIGITS, DIVERSITY
@@ -29,7 +30,7 @@ def largest_remainders(shares: DataFrame, limit: int, name: str = "name", share:
 
 def topic_order() -> list[Column]:
     """Candidates of a topic: what the topic itself gives them first, then their score."""
-    return [F.desc(F.round(F.col("contrib") * F.col("fresh") * F.col("buzz"), 2)), F.desc("score"), F.asc("ord")]
+    return [F.desc(rounded(F.col("contrib") * F.col("fresh") * F.col("buzz"), 2)), F.desc("score"), F.asc("ord")]
 
 
 def capped(rows: DataFrame, key: str, cap: int, *order: Column) -> DataFrame:
@@ -109,7 +110,7 @@ def diverse_selection(reps: DataFrame, frequencies: DataFrame, quotas: list[tupl
     """
     empty = F.array().cast(WEIGHTS)
     words = reps.select("ord", F.explode("tokens").alias("token")).join(frequencies.select("token", "idf"), "token").groupBy("ord").agg(F.collect_list(F.struct("token", "idf")).alias("weights"))
-    rank = F.round(F.col("contrib") * F.col("fresh") * F.col("buzz"), 2)
+    rank = rounded(F.col("contrib") * F.col("fresh") * F.col("buzz"), 2)
     keyed = reps.select("ord", norm_name("source").alias("source_key"), "primary", rank.alias("rank"), "score").join(words, "ord", "left").withColumn("weights", F.coalesce("weights", empty))
     rows = written(reps.sparkSession, keyed.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, t: a + t["idf"])), "selectable")
     picks, result = _Picks(cap, diversity), Selection()

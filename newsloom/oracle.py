@@ -198,6 +198,9 @@ FROM media m JOIN ex ON m.domain = ex.domain GROUP BY 1""",
 d AS (SELECT doc_id, string_agg(part, ' / ' ORDER BY topic_ord) AS parts FROM t GROUP BY 1)
 SELECT d.doc_id, '該当トピック: ' || parts || '｜出典: ' || source || CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE '・' || {VIA.replace('doc_id', 'd.doc_id')} || '経由' END || '｜同じ話題: 他2媒体（x、y）｜スコア ' || printf('%.2f', d.doc_id / 10.0) AS description,
 sha1('https://' || source || '.example.com/' || d.doc_id) AS guid FROM d JOIN documents ON d.doc_id = documents.doc_id""",
+    "exact_rounding": "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"CAST(printf('%.{n}f', CAST(l_extendedprice AS DOUBLE) / 2000) AS DOUBLE) AS d{n}" for n in (1, 2, 3, 4))
+    + " FROM lineitem",
     "processing_order": "SELECT o_orderkey, '1' || printf('%012X', CAST(1000000000000 - round(round(o_totalprice / 1e6, 4) * 10000) AS BIGINT)) || printf('%016X', o_orderkey) AS key FROM orders",
     "stream_domain_counts": f"SELECT strftime(TIMESTAMP '2024-01-31' - to_minutes(page_id), '%Y-%m-%d') AS day, {HOST.format('url')} AS domain, count(*) AS n FROM pages GROUP BY 1, 2",
     "part_pairs": f"WITH {PART_PAIRS} SELECT a, b, round(sim, 6) AS similarity FROM sims WHERE sim >= 0.3",

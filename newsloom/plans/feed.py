@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.scores import rounded
 from newsloom.functions.tables import written
 from newsloom.functions.text import story_tokens
 from newsloom.operators.exclusion import KNOWN, is_too_old, with_reasons
@@ -67,7 +68,7 @@ def stories(spark: SparkSession, fresh: DataFrame, seen: DataFrame) -> tuple[Dat
     reps = representatives(mine.select("story", "ord", "source", "via", "score"))
     rows = mine.drop("story").join(reps.withColumnRenamed("rep", "ord"), "ord")
     loud = buzz("related")
-    rows = rows.withColumns({"buzz": loud, "score": F.round(F.col("score") * loud, 4), "ord": F.col("story")}).drop("story")
+    rows = rows.withColumns({"buzz": loud, "score": rounded(F.col("score") * loud, 4), "ord": F.col("story")}).drop("story")
     rows = written(spark, rows, "representatives")
     n_mine, n_reps = mine.count(), rows.count()
     return rows, frequencies, new.count() - n_mine, n_mine - n_reps

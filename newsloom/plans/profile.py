@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.scores import keyword_weight, trend_label
+from newsloom.functions.scores import keyword_weight, rounded, trend_label
 from newsloom.functions.tables import written
 from newsloom.functions.text import each_of, is_japanese, nfkc, story_tokens, telling, text_of
 from newsloom.functions.times import decayed, parse_day
@@ -96,8 +96,8 @@ def shares_of(spark: SparkSession, sums: DataFrame, topics: list[Topic], total:
     recent, older = F.col("recent") / total.recent, (F.col("n") - F.col("recent")) / total.older
     return rows.select(
         "topic_ord", "topic", "collect", "multiplier",
-        F.round(F.col("w") / F.lit(total.weight or 1.0), 4).alias("share"), F.col("n").alias("count"),
-        F.round(recent, 4).alias("recent_rate"), F.round(older, 4).alias("older_rate"), trend_label(recent, older).alias("trend"),
+        rounded(F.col("w") / F.lit(total.weight or 1.0), 4).alias("share"), F.col("n").alias("count"),
+        rounded(recent, 4).alias("recent_rate"), rounded(older, 4).alias("older_rate"), trend_label(recent, older).alias("trend"),
     )
 
 
@@ -106,11 +106,11 @@ def topic_weights(shares: DataFrame) -> DataFrame:
     everything = Window.partitionBy()  # the topics of a configuration
     collected = F.col("collect")
     top = F.max(F.when(collected, F.col("share"))).over(everything)
-    base = F.when((F.col("share") > 0) & collected, F.round(F.sqrt(F.col("share") / F.when(top > 0, top).otherwise(1.0)), 3)).otherwise(0.0)
+    base = F.when((F.col("share") > 0) & collected, rounded(F.sqrt(F.col("share") / F.when(top > 0, top).otherwise(1.0)), 3)).otherwise(0.0)
     raw = shares.withColumn("base_weight", base).withColumn("raw", F.col("base_weight") * F.col("multiplier"))
     greatest, whole = (f(F.when(collected, F.col("raw"))).over(everything) for f in (F.max, F.sum))
     or_one = lambda c: F.when(c > 0, c).otherwise(1.0)
-    return raw.withColumns({"weight": F.round(F.col("raw") / or_one(greatest), 3), "allocation": F.round(F.col("raw") / or_one(whole), 4)}).drop("raw")
+    return raw.withColumns({"weight": rounded(F.col("raw") / or_one(greatest), 3), "allocation": rounded(F.col("raw") / or_one(whole), 4)}).drop("raw")
 
 
 def keyword_stats(spark: SparkSession, found: DataFrame, topics: list[Topic]) -> DataFrame:
@@ -121,7 +121,7 @@ def keyword_stats(spark: SparkSession, found: DataFrame, topics: list[Topic]) ->
     rows = defined.join(F.broadcast(seen), ["topic_ord", "term"], "left").fillna({"observed": 0.0, "count": 0})
     top = F.max("observed").over(Window.partitionBy("topic_ord"))  # the terms of a topic
     weight = keyword_weight(F.col("observed"), F.when(top > 0, top).otherwise(1.0), F.col("is_english"))
-    return rows.select("topic_ord", "topic", "term", "pos", F.round("observed", 2).alias("weighted"), "observed", "count", weight.alias("keyword_weight"))
+    return rows.select("topic_ord", "topic", "term", "pos", rounded(F.col("observed"), 2).alias("weighted"), "observed", "count", weight.alias("keyword_weight"))
 
 
 def first_rows(found: DataFrame, rows: DataFrame, id_column: str, n: int, *columns: str) -> DataFrame:
@@ -146,7 +146,7 @@ def source_stats(domains: DataFrame, total: Totals, least: int = LEAST_READS) ->
     """Per source: count, share, its commonest domain (the first met of equals), first feed URL, and whether it is known."""
     rows = domains.groupBy("source").agg(
         F.sum("n").alias("count"),
-        F.round(F.sum("w") / F.lit(total.weight or 1.0), 4).alias("share"),
+        rounded(F.sum("w") / F.lit(total.weight or 1.0), 4).alias("share"),
         F.max_by("domain", F.struct("n", -F.col("first_ord"))).alias("domain"),
         F.coalesce(F.min_by("feed", "feed_ord"), F.lit("")).alias("feed_url"),
     )
@@ -175,7 +175,7 @@ def rising(stats: DataFrame, total: Totals, least: int = 8, least_recent: int =
     """Terms whose recent rate is more than `factor` times the older one."""
     recent, older = F.col("recent") / total.recent, F.col("older") / total.older
     rows = stats.where((F.col("count") >= least) & (F.col("recent") >= least_recent) & (recent > factor * older))
-    return rows.select("term", "recent", "older", F.round(recent / F.greatest(older, F.lit(1e-9)), 1).alias("ratio"))
+    return rows.select("term", "recent", "older", rounded(recent / F.greatest(older, F.lit(1e-9)), 1).alias("ratio"))
 
 
 def history_stats(rows: DataFrame, matched: DataFrame, old_days: int = OLD_DAYS) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.scores import trend_label
+from newsloom.functions.scores import rounded, trend_label
 from newsloom.functions.tables import shared_dir, table, written
 from newsloom.functions.text import detect_lang, norm_name, plain, story_tokens
 from newsloom.functions.times import feed_time, parse_day, saved_date
@@ -571,6 +571,12 @@ def feed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selected.select(F.col("item_ord").alias("page_id"), "score", "primary", "source")
 
 
+def exact_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and their fractions to 0 to 4 decimals by their exact values; halves of thousandths are common among them."""
+    prices = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 2000).alias("x"))
+    return prices.select("l_orderkey", "l_linenumber", *[rounded(F.col("x"), n).alias(f"d{n}") for n in (1, 2, 3, 4)])
+
+
 def processing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return orders.select("o_orderkey", processing_key("1", F.round(F.col("o_totalprice") / 1e6, 4), F.col("o_orderkey")).alias("key"))
@@ -650,6 +656,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collector_gate": collector_gate,
     "feed_descriptions": feed_descriptions,
     "feed_rank": feed_rank,
+    "exact_rounding": exact_rounding,
     "processing_order": processing_order,
     "part_pairs": part_pairs,
     "part_stories": part_stories,
