@@ -253,5 +253,6 @@ CAST(p_partkey AS VARCHAR) AS received, CAST(p_partkey AS VARCHAR) AS feed_url,
     "state_versions": """SELECT 'u' || user_id || '.example' AS domain, event_type AS publisher, count(*) AS n, strftime(min(ts), '%Y-%m-%d') AS first_seen, strftime(max(ts), '%Y-%m-%d') AS last_seen, event_type AS examples FROM events WHERE event_type <> 'view' GROUP BY user_id, event_type""",
     "decoded_links": "SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS day, 'http://e.example/' || event_type || '/あ+%zz' AS link FROM events",
 }
-# The same results by other ways: as a stream, and from partials.
+# The same results by other ways: as a stream, from partials, in a store and by a membership filter.
 ORACLE_SQL |= {"stream_discovered": ORACLE_SQL["discovered_upsert"], "partial_shares": ORACLE_SQL["topic_share"], "partial_terms": ORACLE_SQL["top_terms"]}
+ORACLE_SQL |= {"store_media": ORACLE_SQL["discovered_upsert"], "store_days": ORACLE_SQL["retention_seen"], "seen_by_filter": ORACLE_SQL["seen_urls"]}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.tables import written
 from newsloom.functions.text import is_japanese
 from newsloom.functions.urls import domain_of
-from newsloom.operators.state import newly_found, retained, to_records, update_discovered
+from newsloom.operators.state import KEEP_DAYS, newly_found, retained, to_records, update_discovered
 from newsloom.plans.feed import LEAST_SCORE, LIMIT, rank
 from newsloom.plans.profile import HALF_LIFE_DAYS, build_profile
 from newsloom.sinks.feed import Channel, page, rss
@@ -26,8 +26,10 @@ from newsloom.sinks.report import write_history_file, write_profile
 from newsloom.sources.config import read_sources, read_topics
 from newsloom.sources.feeds import fetched, healthy, items, known_source_titles, parsed, requests_of, statuses
 from newsloom.sources.pages import articles, extraction_report, read_history, read_pages
-from newsloom.sources.state import DISCOVERED, RECORDS, read_profile, read_state, write_state
+from newsloom.sources.state import DISCOVERED, RECORDS, read_profile
+from newsloom.sources.store import Change, Store, update_buckets
 
+ONCE = "once"
 CHANNEL = Channel("Missed news", "https://example.com/", "News from media that are not read yet")
 
 
@@ -56,14 +58,21 @@ def feed(
     pause_s: float = 1.0,
     wait_s: float = 2.0,
 ) -> int:
-    """0, or 1 if too few feeds could be read: then nothing is written."""
+    """0, or 1 if too few feeds could be read: then nothing is written.
+
+    Records, found media, feed and page become visible by one commit. Records are kept by day and found media in
+    buckets, of which a run writes those that it changes.
+    """
+    store = Store(spark, f"{out}/state")
+    if not dry_run:
+        store.publish(out)  # if the run before ended between its commit and this
     known, sources = read_profile(profile_path), read_sources(sources_path)
     feeds = written(spark, parsed(fetched(spark, requests_of(sources), pause_s, wait_s)), "feeds")
     if not healthy(feeds):
         print("too few feeds could be read; nothing is published")
         return 1
     at = F.lit(now).cast("timestamp")
-    kept = written(spark, retained(read_state(spark, f"{out}/state/items", RECORDS), at), "kept")
+    kept = written(spark, retained(store.read("items", RECORDS), at), "kept")
     # what was shown comes first, the latest run before earlier ones and each in its order of selection; then what media show
     latest = F.row_number().over(Window.partitionBy().orderBy(F.desc("selected_at"), "place", "link")).cast("long")  # a week's records
     after = known_source_titles(spark, known.sources, pause_s, wait_s).withColumn("ord", F.col("ord") + (1 << 60))
@@ -74,17 +83,27 @@ def feed(
         found.selected.select("score", "primary", "title", "source").show(limit, truncate=60)
         return 0
     chosen = written(spark, found.selected.withColumn("place", F.row_number().over(_by_score())), "selected")
-    records = written(spark, to_records(chosen, at, F.col("place")).unionByName(kept.where(is_japanese("title"))), "records")
+    new = written(spark, to_records(chosen, at, F.col("place")), "new")
+    records = new.unionByName(kept.where(is_japanese("title")))
     rss_domains = spark.createDataFrame([(s["url"],) for s in sources.rss], "url string").select(domain_of("url").alias("domain"))
-    new = newly_found(chosen.select("domain", "source", "via", "collector", "title", at.alias("selected_at"), F.col("place").alias("ord")), rss_domains)
-    media = written(spark, update_discovered(read_state(spark, f"{out}/state/discovered", DISCOVERED), new), "discovered")
-    write_state(spark, records, f"{out}/state/items")
-    write_state(spark, media, f"{out}/state/discovered")
-    Path(out, "feed.xml").write_text(rss(records, channel, now), encoding="utf-8")
-    Path(out, "index.html").write_text(page(records, media, statuses(feeds), channel, now), encoding="utf-8")
+    media = newly_found(chosen.select("domain", "source", "via", "collector", "title", at.alias("selected_at"), F.col("place").alias("ord")), rss_domains)
+    with Change(store) as change:
+        keep_days(change, new, now)
+        update_buckets(change, "discovered", DISCOVERED, written(spark, media, "media"), "domain", update_discovered)
+        change.file("feed.xml", rss(records, channel, now))
+        change.file("index.html", page(records, store.read("discovered", DISCOVERED, manifest=change.after), statuses(feeds), channel, now))
+    store.publish(out)
+    store.vacuum()
     return 0
 
 
+def keep_days(change: Change, new: DataFrame, now: dt.datetime) -> None:
+    """Add records to their days and drop days that are over; what isn't Japanese is kept for one run."""
+    first = f"{now.astimezone(dt.timezone.utc) - dt.timedelta(days=KEEP_DAYS):%Y-%m-%d}"
+    change.drop("items", [p for p in change.before["tables"].get("items", {}) if p < first or p == ONCE])
+    change.put("items", new, F.when(is_japanese("title"), F.date_format("selected_at", "yyyy-MM-dd")).otherwise(ONCE))
+
+
 def _by_score():
     return Window.partitionBy().orderBy(F.desc("score"), "ord")  # at most `limit` rows
 

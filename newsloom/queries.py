@@ -23,6 +23,7 @@ from newsloom.functions.urls import domain_of, normalize_url, unquoted
 from newsloom.operators.exclusion import KNOWN, in_domains, known_publishers, with_reasons
 from newsloom.operators.matching import match_topics, vetoes
 from newsloom.operators.scoring import with_scores
+from newsloom.operators.seen import blocks_for, day_filters, merged_filter, unseen_by_filter
 from newsloom.operators.selection import capped, diverse_selection, largest_remainders
 from newsloom.operators.state import newly_found, retained, unseen, update_discovered
 from newsloom.operators.stories import buzz, document_frequencies, representatives, similar_classes, story_clusters, token_classes, token_key
@@ -54,6 +55,7 @@ from newsloom.sources.feeds import FETCHED, SUMMARY_CHARS, VIA, healthy, items,
 from newsloom.sources.pages import HISTORY, extraction_report, page_title, read_history
 from newsloom.sources.pages import articles as saved_pages
 from newsloom.sources.state import DISCOVERED, Profile, profile_of, read_state, write_state
+from newsloom.sources.store import Change, Store, update_buckets
 from newsloom.streaming.items import domain_counts
 from newsloom.streaming.state import discovered_media, keyed_state
 
@@ -241,6 +243,15 @@ def seen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unseen(new, old).select("page_id", "link")
 
 
+def seen_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seen_urls behind a membership filter that is added up from those of five days."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("link"))
+    new, old = pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0")
+    blocks = blocks_for(old.count())
+    by_day = written(spark, day_filters(old.withColumn("day", F.col("page_id") % 5), "day", "link", blocks), "filters")
+    return unseen_by_filter(new, old, merged_filter(by_day, blocks), blocks).select("page_id", "link")
+
+
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", page_title(F.col("html")).alias("title"), plain(F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1)).alias("article"))
 
@@ -543,6 +554,27 @@ def discovered_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("domain", "publisher", F.col("count").alias("n"), "first_seen", "last_seen", F.array_join("examples", " ").alias("examples"))
 
 
+def store_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """discovered_upsert in a store: each half of the pages is a run that writes the buckets of its media, and commits."""
+    store = Store(spark, f"{shared_dir(spark)}/newsloom/store-{uuid.uuid4().hex}")
+    for parity in (0, 1):
+        with Change(store) as change:
+            update_buckets(change, "media", DISCOVERED, found_media(spark, sf_dir, parity), "domain", update_discovered)
+    return store.read("media", DISCOVERED).select("domain", "publisher", F.col("count").alias("n"), "first_seen", "last_seen", F.array_join("examples", " ").alias("examples"))
+
+
+def store_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """retention_seen in a store: events are added by day in two commits, days that are over are dropped unread."""
+    store = Store(spark, f"{shared_dir(spark)}/newsloom/store-{uuid.uuid4().hex}")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    for parity in (0, 1):
+        with Change(store) as change:
+            change.put("events", events.where(F.col("event_id") % 2 == parity), F.date_format("ts", "yyyy-MM-dd"))
+    with Change(store) as change:
+        change.drop("events", [p for p in change.before["tables"]["events"] if p < "2024-01-23"])
+    return retained(store.read("events", "event_id long, user_id long, ts timestamp"), F.lit("2024-01-30").cast("timestamp"), 7, "ts").select("event_id", "user_id")
+
+
 def retention_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retained(table(spark, sf_dir, "events"), F.lit("2024-01-30").cast("timestamp"), 7, "ts").select("event_id", "user_id")
 
@@ -633,6 +665,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_stats": profile_stats,
     "url_normalize": url_normalize,
     "seen_urls": seen_urls,
+    "seen_by_filter": seen_by_filter,
     "page_extract": page_extract,
     "saved_dates": saved_dates,
     "name_and_language": name_and_language,
@@ -672,6 +705,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "published_feed": published_feed,
     "history_file": history_file,
     "state_versions": state_versions,
+    "store_media": store_media,
+    "store_days": store_days,
     "decoded_links": decoded_links,
     "stream_domain_counts": stream_domain_counts,
     "stream_discovered": stream_discovered,
