@@ -36,7 +36,7 @@ SUMMARY_CHARS = 300
 ERROR_CHARS = 120
 TIMEOUT_S = 25
 PAUSE_S = 1.0
-FINAL_CODES = (403, 404, 410)
+FINAL_CODES = (304, 403, 404, 410)
 KINDS = ("rss", "hatena", "google")
 REQUEST = "kind string, position int, label string, url string, name string, source_topics string"
 FETCHED = REQUEST + ", body binary, error string"
@@ -70,13 +70,15 @@ def is_passing(error: Exception) -> bool:
     return isinstance(error, OSError) and getattr(error, "code", None) not in FINAL_CODES
 
 
-def fetch(url: str, agent: str = "newsloom", attempts: int = 2, wait_s: float = 2.0) -> bytes:
-    request = urllib.request.Request(url)
+def answer(url: str, headers: dict[str, str] | None = None, agent: str = "newsloom", attempts: int = 2, wait_s: float = 2.0) -> tuple[bytes, dict[str, str]]:
+    """The body and the headers, by lower-case names."""
+    request = urllib.request.Request(url, headers=headers or {})
     request.add_header("User-Agent", agent)
     request.add_header("Accept", "application/rss+xml, application/xml, */*")
     for attempt in range(1, attempts + 1):
         try:
-            return urllib.request.urlopen(request, timeout=TIMEOUT_S).read()
+            with urllib.request.urlopen(request, timeout=TIMEOUT_S) as response:
+                return response.read(), {k.lower(): v for k, v in response.headers.items()}
         except Exception as e:
             if attempt == attempts or not is_passing(e):
                 raise
@@ -84,6 +86,10 @@ def fetch(url: str, agent: str = "newsloom", attempts: int = 2, wait_s: float =
     raise ValueError("no attempt")
 
 
+def fetch(url: str, agent: str = "newsloom", attempts: int = 2, wait_s: float = 2.0) -> bytes:
+    return answer(url, None, agent, attempts, wait_s)[0]
+
+
 class FeedReader(DataSourceReader):
     def __init__(self, requests: list[dict], pause_s: float, wait_s: float):
         self.requests, self.pause_s, self.wait_s = requests, pause_s, wait_s
