@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 import string
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,6 +57,24 @@ def unescaped(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
+REFERENCE = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _ended(reference: re.Match) -> str:
+    said = reference[0]
+    return html.unescape(said) if said[1] == "#" or said[1:] in html.entities.html5 else said
+
+
+@F.arrow_udf(T.StringType())
+def _ended_unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else REFERENCE.sub(_ended, t) for t in texts.to_pylist()], pa.string())
+
+
+def ended_unescaped(text: Column) -> Column:
+    """Entities that a semicolon ends, as characters; "&amp" cut off at the end of a title stays. Texts without any don't go to Python."""
+    return F.coalesce(_ended_unescaped(F.when(text.rlike("&[#0-9A-Za-z]+;"), text)), text)
+
+
 def text_of(column: str | Column) -> Column:
     """The column as text, "" for null."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
@@ -63,9 +84,9 @@ def one_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?U)[\\s\\x1C-\\x1F]+", " "))
 
 
-def plain(fragment: str | Column, gap: str = " ") -> Column:
+def plain(fragment: str | Column, gap: str = " ", decoded: Callable[[Column], Column] = unescaped) -> Column:
     """An HTML fragment as text: tags become `gap`, entities characters, white space single spaces."""
-    return one_spaced(unescaped(F.regexp_replace(text_of(fragment), "<[^>]+>", gap)))
+    return one_spaced(decoded(F.regexp_replace(text_of(fragment), "<[^>]+>", gap)))
 
 
 def norm_name(name: str | Column) -> Column:
