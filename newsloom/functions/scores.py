@@ -30,6 +30,15 @@ def rounded(x: Column, digits: int) -> Column:
     return F.when(F.abs(product) < WHOLE, (near + step) / F.lit(scale)).otherwise(F.round(x, digits))
 
 
+def rounded_product(x: Column, digits: int) -> Column:
+    """x to that many decimals as SQL rounds doubles: the product with the power of ten, as a double, halves away from zero."""
+    product = x * F.lit(10.0**digits)
+    near = F.rint(product)
+    step = F.when(product - near == 0.5, 1.0).when(product - near == -0.5, -1.0).otherwise(0.0)  # exact; rint takes halves to even
+    away = near + F.when(F.signum(product) == step, step).otherwise(0.0)
+    return F.when(F.abs(product) < WHOLE, away / F.lit(10.0**digits)).otherwise(x)
+
+
 def _halves(x: Column) -> tuple[Column, Column]:
     big = x * F.lit(SPLIT)
     high = big - (big - x)
