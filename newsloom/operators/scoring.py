@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +67,7 @@ def topic_scores(spark: SparkSession, items: DataFrame, topics: list[Topic], wei
     return scored.withColumn("contribution", F.col("weight") * F.col("relevance") * F.when(F.col("special"), SPECIALIST_FACTOR).otherwise(1.0))
 
 
-def with_scores(spark: SparkSession, items: DataFrame, topics: list[Topic], weights: dict[str, float], keyword_weights: dict[str, dict[str, float]], now: Column) -> DataFrame:
+def with_scores(spark: SparkSession, items: DataFrame, topics: list[Topic], weights: dict[str, float], keyword_weights: dict[str, dict[str, float]], now: Column, round_score: Callable[[Column, int], Column] = rounded) -> DataFrame:
     """items with score, fresh, topics (by contribution), primary ("" if no title hit) and contrib of the primary topic."""
     scores = topic_scores(spark, items, topics, weights, keyword_weights)
     said = rounded(F.col("contribution"), 3)
@@ -82,7 +83,7 @@ def with_scores(spark: SparkSession, items: DataFrame, topics: list[Topic], weig
     hit = F.col("best.title") > 0
     return joined.select(
         *items.columns, "fresh",
-        F.coalesce(rounded(total * F.col("fresh"), 4), F.lit(0.0)).alias("score"),
+        F.coalesce(round_score(total * F.col("fresh"), 4), F.lit(0.0)).alias("score"),
         F.transform("by", lambda t: F.struct(t["name"].alias("name"), t["keywords"].alias("keywords"), (-t["less"]).alias("contrib"))).alias("topics"),
         F.when(hit, F.col("best.topic")).otherwise("").alias("primary"),
         F.when(hit, F.col("best.contrib")).alias("contrib"),
