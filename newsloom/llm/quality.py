@@ -4,10 +4,12 @@ A document's strength is linear in features of its text: shares of character cla
 words, word pairs and lines, word and line lengths, compressibility. A text with label 1 is preferred
 to one with label 0, and the weights minimise the logistic loss on feature differences of such pairs.
 
-The weights are fitted on the driver to a bounded sample: the MAX_LABELLED labelled rows with the
-least hashes of their ids, each text of either label paired PAIRS_EACH times. The threshold is the
-strength at the quantile that leaves as large a share of the sample above as has label 1; scores are
-the strength around it, squeezed so that it scores exactly 0.7. Texts are scored whole, where they are.
+The loss is the mean over every pair of a good and a bad text among all labelled rows of the allowed folds. A pair's
+share depends on its two strengths alone, so a Newton step needs of each label how many texts, and what sum of
+their features, lie in each of BINS narrow bins of strength: one aggregation of all rows for these, and one for the second
+moments, weighted by bin. The threshold is the strength at the quantile that leaves as large a share of all learned rows
+above as has label 1, exactly; scores are the strength around it, squeezed so that it scores exactly 0.7.
+Texts are measured whole, where they are, once; only sums and counts come to the driver, a few for each partition.
 
 Results for odd input: a null text is an empty one, and has a score as well; very long texts are measured
 whole, one at a time; labels that are null, or whose document is missing, aren't learned from; repeated
@@ -20,19 +22,27 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import is_held_out, table
+from newsloom.llm.common import is_held_out, sized, table, written
 
-MAX_LABELLED = 20_000
+#: Bins of strength; they are even in its arsinh, which is taken up to REACH: about 0.03 wide where strengths are 3.
+BINS, REACH = 1024, 6.0
+#: At most so many tasks hand their sums to the driver.
+PARTS = 128
+#: Strengths lie within this.
+BOUND = 1e6
+#: Up to so many values around a quantile are looked at one by one.
+FEW = 4096
 PAIRS_EACH = 8
 PENALTY = 1e-3
 LIMIT = 0.7
@@ -90,7 +100,7 @@ def expanded(found: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.nd
 
 
 def fit(found: np.ndarray, labels: np.ndarray, pairs_each: int = PAIRS_EACH, penalty: float = PENALTY, steps: int = 30) -> Model:
-    """Bradley-Terry weights by Newton steps on the pairs' logistic loss."""
+    """Bradley-Terry weights of arrays at hand, by Newton steps on the logistic loss of pairs; tables go through `learn`."""
     centre, spread = (found.mean(axis=0), np.maximum(found.std(axis=0), 1e-9)) if len(found) else (0.0, 1.0)
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     if not len(good) or not len(bad):
@@ -117,15 +127,121 @@ def feature_column(texts: pa.Array) -> pa.Array:
     return pa.array([features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, folds: int, max_labelled: int = MAX_LABELLED) -> Model:
-    allowed = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).where(~is_held_out("id", folds)).where("label IN (0, 1)")
-    # rows of labels, of which some may lack a document; the sample is bounded
-    sample = allowed.orderBy(F.xxhash64("id"), "id", "label").limit(max_labelled)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(sample), "id")
-    found = rows.select("label", feature_column("text").alias("found"))
-    found = found.orderBy(F.xxhash64("found"), "label").limit(max_labelled).toArrow()  # ids may repeat in docs
-    size = len(features(""))
-    return fit(np.array(found["found"].to_pylist(), float).reshape(-1, size), found["label"].to_numpy())
+def matrix(found: pa.Array) -> np.ndarray:
+    return found.flatten().to_numpy(zero_copy_only=False).reshape(len(found), -1)
+
+
+def gathered(learned: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """What add(features, labels) gives for the batches of a partition, summed up; one array for each, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for batch in batches:
+            if len(batch):
+                more = add(matrix(batch.column("found")), batch.column("label").to_numpy())
+                out = more if out is None else out + more
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "sums"])
+
+    rows = learned.coalesce(PARTS).mapInArrow(run, "part int, sums binary").collect()
+    return [np.frombuffer(r.sums, float) for r in sorted(rows)]
+
+
+def bins_of(strengths: np.ndarray) -> np.ndarray:
+    return np.clip((np.arcsinh(strengths) / REACH + 1) * (BINS / 2), 0, BINS - 1).astype(np.int64)
+
+
+def moments(learned: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """How many good and bad rows, and mean and standard deviation of each feature."""
+    first = gathered(learned, lambda x, y: np.hstack(((y == 1).sum(), (y == 0).sum(), x.sum(axis=0))))
+    if not first:
+        return 0, 0, np.zeros(0), np.ones(0)
+    good, bad, *sums = np.sum(first, axis=0)
+    centre = np.array(sums) / (good + bad)
+    spread = np.sqrt(np.sum(gathered(learned, lambda x, y: ((x - centre) ** 2).sum(axis=0)), axis=0) / (good + bad))
+    return int(good), int(bad), centre, np.maximum(spread, 1e-9)
+
+
+def newton_step(learned: DataFrame, centre: np.ndarray, spread: np.ndarray, weights: np.ndarray, penalty: float) -> np.ndarray:
+    size = len(weights)
+
+    def binned(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        x = expanded(found, centre, spread)
+        strengths = x @ weights
+        at = bins_of(strengths) * 2 + labels
+        held = np.column_stack((np.ones(len(x)), strengths, x))
+        return np.stack([np.bincount(at, h, BINS * 2) for h in held.T], axis=1).ravel()
+
+    sums = np.sum(gathered(learned, binned), axis=0).reshape(BINS, 2, size + 2)
+    (bad, good), (low, high) = (sums[sums[:, k, 0] > 0, k] for k in (0, 1)), (np.flatnonzero(sums[:, k, 0]) for k in (0, 1))
+    n = good[:, 0].sum() * bad[:, 0].sum()
+    ahead = (good[:, 1] / good[:, 0])[:, None] - (bad[:, 1] / bad[:, 0])[None, :]
+    lost = 1 / (1 + np.exp(np.clip(ahead, -40, 40)))
+    curved = lost * (1 - lost)
+    slope = ((lost.T @ good[:, 0]) @ bad[:, 2:] - (lost @ bad[:, 0]) @ good[:, 2:]) / n + penalty * weights
+    of_bin = np.zeros((BINS, 2))
+    of_bin[high, 1], of_bin[low, 0] = curved @ bad[:, 0], curved.T @ good[:, 0]
+
+    def second(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        x = expanded(found, centre, spread)
+        return ((x * of_bin[bins_of(x @ weights), labels][:, None]).T @ x).ravel()
+
+    both = good[:, 2:].T @ curved @ bad[:, 2:]
+    curve = (np.sum(gathered(learned, second), axis=0).reshape(size, size) - both - both.T) / n + penalty * np.eye(size)
+    return np.linalg.solve(curve, slope)
+
+
+def quantile(learned: DataFrame, strengths_of: Callable[[np.ndarray], np.ndarray], n: int, q: float) -> float:
+    """The quantile of all strengths, between two of them as numpy's."""
+    place = q * (n - 1)
+    wanted = [int(np.floor(place)), int(np.ceil(place))]
+    found = []
+    for rank in wanted:
+        begin, end, before = -BOUND, BOUND, 0  # what is below begin: `before` values
+        while True:
+            edges = np.linspace(begin, end, FEW + 1)
+            edges = np.unique(np.append(edges[:-1], np.nextafter(end, np.inf)))
+            counts = np.sum(gathered(learned, lambda x, y, e=edges: np.histogram(strengths_of(x), e)[0].astype(float)), axis=0).astype(np.int64)
+            upto = before + np.cumsum(counts)
+            k = int(np.searchsorted(upto, rank, side="right"))
+            begin, end, before = edges[k], np.nextafter(edges[k + 1], -np.inf), int(upto[k] - counts[k])
+            if counts[k] <= FEW or begin >= end:
+                break
+        if begin >= end:
+            found.append(float(begin))
+            continue
+        inside = gathered_values(learned, strengths_of, begin, end)
+        found.append(float(inside[rank - before]))
+    return found[0] + (found[1] - found[0]) * (place - wanted[0])
+
+
+def gathered_values(learned: DataFrame, strengths_of: Callable[[np.ndarray], np.ndarray], begin: float, end: float) -> np.ndarray:
+    """The strengths within these bounds, ascending: the caller knows that they are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = strengths_of(matrix(batch.column("found"))) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[(x >= begin) & (x <= end)])], ["strength"])
+
+    return np.sort(learned.coalesce(PARTS).mapInArrow(run, "strength double").toArrow()["strength"].to_numpy())
+
+
+def learn(learned: DataFrame, penalty: float = PENALTY, steps: int = 20) -> Model:
+    """The model of all rows of learned (label, found), a written table."""
+    good, bad, centre, spread = moments(learned)
+    if not good or not bad:
+        return Model(centre, spread, np.zeros(0), 0.0, 0.0)
+    weights = np.zeros(2 * len(centre))
+    for _ in range(steps):
+        step = newton_step(learned, centre, spread, weights, penalty)
+        weights = weights - step
+        if np.abs(step).max() < 1e-4:
+            break
+    model = Model(centre, spread, weights, 0.0, 1.0)
+    n, strengths = good + bad, model.strengths
+    mean = np.sum(gathered(learned, lambda x, y: strengths(x).sum(keepdims=True)), axis=0)[0] / n
+    square = np.sum(gathered(learned, lambda x, y: ((strengths(x) - mean) ** 2).sum(keepdims=True)), axis=0)[0]
+    return Model(centre, spread, weights, quantile(learned, strengths, n, 1 - good / n), float(np.sqrt(square / n)) or 1.0)
 
 
 def scorer(spark: SparkSession, model: Model):
@@ -133,9 +249,8 @@ def scorer(spark: SparkSession, model: Model):
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            found = np.array([features(t) for t in texts.to_pylist()]).reshape(len(texts), -1)
-            yield pa.array(sent.value.scores(found), pa.float64())
+        for found in batches:
+            yield pa.array(sent.value.scores(matrix(found)), pa.float64())
 
     return score.asNondeterministic()  # so that it isn't run again for each use
 
@@ -144,8 +259,11 @@ def quality_scores(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", folds: int = 4
 ) -> DataFrame:
     """(id, held_out, score, predicted) for each row of docs."""
-    model = learn(docs, labels, id_column, text_column, label_column, folds)
-    scored = docs.select(F.col(id_column).alias("id"), is_held_out(id_column, folds).alias("held_out"), scorer(spark, model)(text_column).alias("score"))
+    rows = docs.select(F.col(id_column).alias("id"), is_held_out(id_column, folds).alias("held_out"), feature_column(text_column).alias("found"))
+    rows = written(spark, rows, "features")
+    allowed = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).where(~is_held_out("id", folds)).where("label IN (0, 1)")
+    learned = written(spark, rows.join(sized(allowed), "id").select("label", "found"), "learned")
+    scored = rows.select("id", "held_out", scorer(spark, learn(learned))("found").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= LIMIT).cast("int"))
 
 
