@@ -53,10 +53,24 @@ def nfkc(text: str | Column) -> Column:
 
 
 @F.arrow_udf(T.StringType())
-def unescaped(texts: pa.Array) -> pa.Array:
+def _unescaped(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
+#: The commonest entities, the ampersand last, and one that is none of them and may be an entity.
+COMMON = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+OTHER_ENTITY = "&(?!(?:lt|gt|quot|#39|amp);|[\\t\\n\\f <&;])(?=.)"
+
+
+def unescaped(text: str | Column) -> Column:
+    """Entities as characters, as html.unescape has them. Texts with none but the commonest don't go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    common = text
+    for entity, character in COMMON.items():
+        common = F.replace(common, F.lit(entity), F.lit(character))
+    return F.coalesce(_unescaped(F.when(text.rlike(OTHER_ENTITY), text)), common)
+
+
 REFERENCE = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 

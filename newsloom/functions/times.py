@@ -37,12 +37,17 @@ def entry_time(published: str | Column, updated: str | Column) -> Column:
 def saved_date(text: str | Column) -> Column:
     """'Thu, 24 Sep 2026 22:15:16 GMT-4' -> '2026-09-25T02:15:16Z'; hour 24 is hour 0 of the same day; else ""."""
     s = text_of(text)
-    part = lambda i: F.regexp_extract(s, SAVED_DATE, i)
-    number = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
-    day = F.try_to_timestamp(F.concat_ws(" ", part(1), part(2), part(3)), F.lit("d MMM yyyy"))
-    seconds = (number(4) % 24) * 3600 + number(5) * 60 + number(6)
-    ahead = (number(8) * 3600 + number(9) * 60) * F.when(part(7) == "-", -1).otherwise(1)
-    return F.coalesce(F.date_format(F.timestamp_seconds(F.unix_seconds(day) + seconds - ahead), ISO), F.lit(""))
+    parts = F.split(F.regexp_replace(s, f"(?s){SAVED_DATE}.*", "$1 $2 $3/$4/$5/$6/$7/$8/$9"), "/")
+
+    def said(part: Column) -> Column:
+        number = lambda i: F.coalesce(F.get(part, F.lit(i)).try_cast("int"), F.lit(0))
+        day = F.try_to_timestamp(F.get(part, F.lit(0)), F.lit("d MMM yyyy"))
+        seconds = (number(1) % 24) * 3600 + number(2) * 60 + number(3)
+        ahead = (number(5) * 3600 + number(6) * 60) * F.when(F.get(part, F.lit(4)) == "-", -1).otherwise(1)
+        return F.date_format(F.timestamp_seconds(F.unix_seconds(day) + seconds - ahead), ISO)
+
+    # a transform of one element: its parts are found once, however often they are named
+    return F.when(s.rlike(SAVED_DATE), F.coalesce(F.element_at(F.transform(F.array(parts), said), 1), F.lit(""))).otherwise("")
 
 
 def parse_day(iso: str | Column) -> Column:
