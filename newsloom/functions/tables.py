@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows and bytes of an Arrow batch: Spark's default of 10,000 whole pages or feeds takes several times their size in a task.
+ARROW_ROWS, ARROW_BYTES = 1_000, 8_000_000
+
+
+def with_small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query (spark, ...) that hands pages or feeds to Python in small Arrow batches; a session's own setting stays."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args):
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        return query(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -36,6 +36,7 @@ SUMMARY_CHARS = 300
 ERROR_CHARS = 120
 TIMEOUT_S = 25
 PAUSE_S = 1.0
+AT_ONCE = 64
 FINAL_CODES = (304, 403, 404, 410)
 KINDS = ("rss", "hatena", "google")
 REQUEST = "kind string, position int, label string, url string, name string, source_topics string"
@@ -208,16 +209,28 @@ def entries_of(body: bytes) -> list[dict]:
         return found
 
 
-@F.arrow_udf(PARSED)
-def _parsed(bodies: pa.Array) -> pa.Array:
-    rows = []
-    for body in bodies.to_pylist():
+def _parsed_slice(bodies: list[bytes | None]) -> pa.Array:
+    held, errors, ends = {n: [] for n in ENTRY}, [], [0]
+    for body in bodies:
+        found, error = [], None
         try:
-            rows.append({"entries": entries_of(body) if body is not None else [], "error": None})
+            found = entries_of(body) if body is not None else []
         except ET.ParseError as e:
-            rows.append({"entries": [], "error": f"ParseError: {e}"[:ERROR_CHARS]})
-    entry = pa.struct([(n, pa.string()) for n in ENTRY])
-    return pa.array(rows, pa.struct([("entries", pa.list_(entry)), ("error", pa.string())]))
+            error = f"ParseError: {e}"[:ERROR_CHARS]
+        for name, values in held.items():
+            values += [e[name] for e in found]
+        errors.append(error)
+        ends.append(ends[-1] + len(found))
+    entries = pa.StructArray.from_arrays([pa.array(v, pa.string()) for v in held.values()], list(held))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries), pa.array(errors, pa.string())], ["entries", "error"])
+
+
+@F.arrow_udf(PARSED)
+def _parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """A few bodies at a time, so that what is held as Python objects doesn't grow with a batch."""
+    for bodies in batches:
+        slices = [_parsed_slice(bodies.slice(at, AT_ONCE).to_pylist()) for at in range(0, len(bodies), AT_ONCE)]
+        yield pa.concat_arrays(slices) if slices else _parsed_slice([])
 
 
 def parsed(bodies: DataFrame) -> DataFrame:
