@@ -11,6 +11,8 @@ partials of rows that are added twice count twice; an empty history gives no par
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,26 +23,32 @@ from newsloom.operators.matching import hits, term_table
 from newsloom.plans.profile import HALF_LIFE_DAYS, RECENT_DAYS, Totals, shares_of
 from newsloom.sources.config import Topic
 
+KINDS = ("all", "topic", "keyword", "term")
 #: kind: all (a row of the history), topic, keyword or term.
 PARTIALS = "kind string, topic_ord int, term string, n long, day date"
 
 
-def day_partials(spark: SparkSession, rows: DataFrame, topics: list[Topic], terms: Column) -> DataFrame:
-    """PARTIALS of rows (id, day, text), ids unique; terms: an array of distinct terms of a row."""
+def day_partials(spark: SparkSession, rows: DataFrame, topics: list[Topic], terms: Column, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """PARTIALS of rows (id, day, text), ids unique; terms: an array of distinct terms of a row; kinds: those that will be read."""
     held = rows.where(F.col("day").isNotNull())
-    found = written(spark, hits(held.select("id", "day", "text"), term_table(spark, topics)).select("day", "topic_ord", F.col("hits.keyword").alias("keywords")), "partial-hits")
-    none = F.lit(None)
-    kinds = {
-        "all": held.select("day", none.cast("int").alias("topic_ord"), none.cast("string").alias("term")),
-        "topic": found.select("day", "topic_ord", none.cast("string").alias("term")),
-        "keyword": found.select("day", "topic_ord", F.explode("keywords").alias("term")),
-        "term": each_of(held, terms, "term", "day").select("day", none.cast("int").alias("topic_ord"), "term"),
-    }
-    out = None
-    for kind, of in kinds.items():
-        counted = of.groupBy("day", "topic_ord", "term").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "topic_ord", "term", "n", "day")
-        out = counted if out is None else out.unionByName(counted)
-    return out
+    parts = [counted(held.select("day"), "all")]
+    if "topic" in kinds or "keyword" in kinds:
+        found = hits(held.select("id", "day", "text"), term_table(spark, topics)).select("day", "topic_ord", F.col("hits.keyword").alias("keywords"))
+        if "keyword" in kinds:  # the texts are matched once for both
+            found = written(spark, found, "partial-hits")
+            parts.append(counted(found.select("day", "topic_ord", F.explode("keywords").alias("term")), "keyword"))
+        if "topic" in kinds:
+            parts.append(counted(found.select("day", "topic_ord"), "topic"))
+    if "term" in kinds:
+        parts.append(counted(each_of(held, terms, "term", "day"), "term"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def counted(rows: DataFrame, kind: str) -> DataFrame:
+    """PARTIALS of a kind: how many rows are equal."""
+    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    lacks = {"topic_ord": F.lit(None).cast("int"), "term": F.lit(None).cast("string")}
+    return counts.withColumns({n: c for n, c in lacks.items() if n not in rows.columns}).select("kind", "topic_ord", "term", "n", "day")
 
 
 def add_partials(partials: DataFrame, path: str) -> None:
