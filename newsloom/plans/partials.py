@@ -33,9 +33,8 @@ def day_partials(spark: SparkSession, rows: DataFrame, topics: list[Topic], term
     held = rows.where(F.col("day").isNotNull())
     parts = [counted(held.select("day"), "all")]
     if "topic" in kinds or "keyword" in kinds:
-        found = hits(held.select("id", "day", "text"), term_table(spark, topics)).select("day", "topic_ord", F.col("hits.keyword").alias("keywords"))
-        if "keyword" in kinds:  # the texts are matched once for both
-            found = written(spark, found, "partial-hits")
+        found = written(spark, hits(held.select("id", "day", "text"), term_table(spark, topics)).select("day", "topic_ord", F.col("hits.keyword").alias("keywords")), "partial-hits")
+        if "keyword" in kinds:
             parts.append(counted(found.select("day", "topic_ord", F.explode("keywords").alias("term")), "keyword"))
         if "topic" in kinds:
             parts.append(counted(found.select("day", "topic_ord"), "topic"))
