@@ -6,11 +6,14 @@ of the leading components are added up in STAGES; what the others can still add
 the two rests (Cauchy-Schwarz), plus a slack for rounding, which comes from how far the matrix is from orthogonal and
 from the length of a sum. A pair that can't come among an anchor's best any more, or can't be in its band, is discarded at
 that stage. Survivors get their exact integer product, which alone decides. So the axes, fitted to the
-FITTED rows with the least hashes of their ids, change what is discarded early but never the result.
+FITTED rows with the least hashes of their ids, change what is discarded early but never the result. While more than DENSE
+of the pairs are left, as for vectors without leading components, the next components come as products of matrices
+too; only what is left after that is looked at pair by pair.
 
 How it runs. Anchors are taken in rounds of bounded size. In a round every task holds the round's anchors (a broadcast
 of at most ROUND_BYTES) and reads its rows in blocks against tiles of them; it keeps an anchor's best rows so
-far, whose worst one is the threshold for the next block, and gives them out at its end. A window then picks the best
+far, whose worst one is the threshold for later blocks, and gives them out at its end. New rows
+wait until they are half as many as all slots can hold, and are then sorted in. A window then picks the best
 of all tasks: first each anchor's positives, at most POSITIVES of them, which are sent out in turn with their bands
 for the negatives. A round's result is a table of its own, so a lost executor costs one task's blocks.
 
@@ -37,10 +40,10 @@ POSITIVES, NEGATIVES = 5, 10
 LEAST_PERCENT, MOST_PERCENT = 30, 90
 #: Rows that the axes are fitted to, and bytes of anchors that are sent out in a round.
 FITTED, ROUND_BYTES = 4096, 16_000_000
-#: After which part of the components pairs are looked at; the first one is a product of matrices.
-STAGES = (0.25, 0.5, 1.0)
+#: After which part of the components pairs are looked at; the first one is a product of matrices, and so is the next if more than DENSE of the pairs are left.
+STAGES, DENSE = (0.25, 0.5, 1.0), 0.05
 #: Rows and anchors that are compared at once, and pairs that are verified at once.
-BLOCK, TILE, PAIRS = 512, 2048, 32_768
+BLOCK, TILE, PAIRS = 512, 1024, 32_768
 LARGEST = 1 << 26
 NONE = np.iinfo(np.int64).min
 
@@ -124,53 +127,69 @@ class Search:
         self.anchors, self.axes, self.low, self.high, self.same, self.most = anchors, axes, low, high, same_label, most
         self.slack, self.stages = slack_of(axes), stages_of(anchors.q.shape[1])
         self.least = np.full(low.shape, NONE, np.int64)  # the worst of a full slot
-        self.found = tuple(np.zeros(0, np.int64) for _ in range(3))  # slot, score, id
+        self.highest = np.where(low <= high, high, NONE).max(1)  # of an anchor's bands
+        self.merged = tuple(np.zeros(0, np.int64) for _ in range(3))  # slot, score, id
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.seen = self.survived = 0
 
-    def possible(self, ai: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Whether a product between `least` and `most` can be of use to some band of these anchors."""
-        wanted = np.maximum(self.low, self.least)
-        return ((most[..., None] >= wanted[ai]) & (least[..., None] <= self.high[ai])).any(-1)
+    @property
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, score, id) of the best rows so far; those that wait are merged, and thresholds follow."""
+        if self.waiting:
+            self.merged = best(*map(np.concatenate, zip(self.merged, *self.waiting, strict=True)), self.most)
+            self.waiting = []
+            slot, first, n = np.unique(self.merged[0], return_index=True, return_counts=True)
+            full = n == self.most
+            self.least.reshape(-1)[slot[full]] = self.merged[1][first[full] + self.most - 1]
+        return self.merged
+
+    def wanted(self, part) -> np.ndarray:
+        """The least score of use in each band of these anchors."""
+        return np.where(self.low[part] <= self.high[part], np.maximum(self.low[part], self.least[part]), np.iinfo(np.int64).max)
+
+    def tiles(self, rows: Turned) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of rows and of anchors that are compared at once: those of a label, or all."""
+        for label in np.unique(rows.labels) if self.same else [None]:
+            mine = np.flatnonzero((rows.labels == label) | (not self.same))
+            theirs = np.flatnonzero((self.anchors.labels == label) | (not self.same))
+            yield from ((mine, theirs[at : at + TILE]) for at in range(0, len(theirs), TILE))
 
     def add(self, rows: Turned) -> None:
         """Look at a block of rows."""
-        for begin in range(0, len(self.anchors.ids), TILE):
-            tile = np.arange(begin, min(begin + TILE, len(self.anchors.ids)))
-            a = self.anchors.at(slice(tile[0], tile[-1] + 1))
-            k = self.stages[0]
-            part = rows.y[:, :k] @ a.y[:, :k].T
-            rest = rows.rests[0][:, None] * a.rests[0][None, :] + self.slack * rows.norms[:, None] * a.norms[None, :] + 1e-6
-            fits = (rows.labels[:, None] == a.labels[None, :]) == self.same
-            fits &= rows.ids[:, None] != a.ids[None, :]
-            bands = np.zeros_like(fits)
-            for j in range(self.low.shape[1]):
-                bands |= (part + rest >= np.maximum(self.low[tile, j], self.least[tile, j])) & (part - rest <= self.high[tile, j])
-            ri, ai = np.nonzero(fits & bands)
+        for mine, tile in self.tiles(rows):
+            r, a, wanted, highest = rows.at(mine), self.anchors.at(tile), self.wanted(tile).min(1), self.highest[tile]
+            fits = (r.labels[:, None] == a.labels[None, :]) == self.same
             self.seen += fits.sum()
+            part, k = 0, 0
+            for stage, more in enumerate(self.stages):  # noqa: B007
+                part, k = part + r.y[:, k:more] @ a.y[:, k:more].T, more
+                rest = r.rests[stage].max() * a.rests[stage] + self.slack * r.norms.max() * a.norms + 1e-6  # for any row of the block
+                fits &= (part >= wanted - rest) & (part <= highest + rest)
+                if fits.sum() <= DENSE * fits.size:
+                    break
+            ri, ai = np.nonzero(fits)
             for at in range(0, len(ri), PAIRS):
-                self.verify(rows, ri[at : at + PAIRS], ai[at : at + PAIRS] + begin, part[ri[at : at + PAIRS], ai[at : at + PAIRS]])
-
-    def verify(self, rows: Turned, ri: np.ndarray, ai: np.ndarray, part: np.ndarray) -> None:
-        a = self.anchors
-        for stage, (k, more) in enumerate(zip(self.stages, self.stages[1:], strict=False), 1):
-            part = part + np.einsum("ij,ij->i", rows.y[ri, k:more], a.y[ai, k:more])
-            rest = rows.rests[stage][ri] * a.rests[stage][ai] + self.slack * rows.norms[ri] * a.norms[ai] + 1e-6
-            kept = self.possible(ai, part + rest, part - rest)
+                i, j = ri[at : at + PAIRS], ai[at : at + PAIRS]
+                self.verify(r, i, tile[j], part[i, j], stage)
+
+    def verify(self, rows: Turned, ri: np.ndarray, ai: np.ndarray, part: np.ndarray, stage: int) -> None:
+        """Look at pairs of rows and anchors; part: their products up to this stage."""
+        a, bands = self.anchors, self.low.shape[1]
+        other = rows.ids[ri] != a.ids[ai]
+        ri, ai, part = ri[other], ai[other], part[other]
+        for after in range(stage, len(self.stages)):
+            if after > stage:
+                new = slice(self.stages[after - 1], self.stages[after])
+                part = part + np.einsum("ij,ij->i", rows.y[ri, new], a.y[ai, new])
+            rest = rows.rests[after][ri] * a.rests[after][ai] + self.slack * rows.norms[ri] * a.norms[ai] + 1e-6
+            kept = (((part + rest)[:, None] >= self.wanted(ai)) & ((part - rest)[:, None] <= self.high[ai])).any(1)
             ri, ai, part = ri[kept], ai[kept], part[kept]
         score = np.einsum("ij,ij->i", rows.q[ri], a.q[ai])
         self.survived += len(ri)
-        slots, scores, ids = [self.found[0]], [self.found[1]], [self.found[2]]
-        bands = self.low.shape[1]
-        for j in range(bands):
-            kept = (score >= np.maximum(self.low[ai, j], self.least[ai, j])) & (score <= self.high[ai, j])
-            slots.append(ai[kept] * bands + j)
-            scores.append(score[kept])
-            ids.append(rows.ids[ri[kept]])
-        if sum(map(len, slots[1:])):
-            self.found = best(*map(np.concatenate, (slots, scores, ids)), self.most)
-            slot, first, n = np.unique(self.found[0], return_index=True, return_counts=True)
-            full = n == self.most
-            self.least.reshape(-1)[slot[full]] = self.found[1][first[full] + self.most - 1]
+        pair, band = np.nonzero((score[:, None] >= self.wanted(ai)) & (score[:, None] <= self.high[ai]))
+        self.waiting.append((ai[pair] * bands + band, score[pair], rows.ids[ri[pair]]))
+        if 2 * sum(len(w[0]) for w in self.waiting) >= self.low.size * self.most:
+            self.found  # noqa: B018
 
 
 def searched(spark: SparkSession, rows: DataFrame, anchors: Turned, axes: np.ndarray, low: np.ndarray, high: np.ndarray, same_label: bool, most: int) -> DataFrame:

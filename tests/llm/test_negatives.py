@@ -85,6 +85,34 @@ def test_pairs_are_discarded_early_and_bounds_hold():
         assert got[a] == sorted((exact[a, i] for i in range(2000) if i % 4 == a % 4 and i != a), reverse=True)[:5]
 
 
+def test_vectors_without_leading_components_are_discarded_in_blocks(monkeypatch):
+    """Few pairs are looked at one by one, and the rows kept are sorted now and then, not after each block."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(6000, 64))
+    base = np.floor(256 * base / np.linalg.norm(base, axis=1)[:, None]).astype(np.int64)
+    labels = np.arange(6000) % 7
+    axes = np.linalg.eigh(base.T.astype(float) @ base)[1][:, ::-1]
+    rows = n.turned(np.arange(6000), labels, base, axes)
+    exact = base[:100] @ base.T
+    best_of = np.array([np.sort(exact[a, (labels == a % 7) & (np.arange(6000) != a)])[:-6:-1] for a in range(100)])
+    low, high = -((-30 * best_of) // 100), 90 * best_of // 100
+    looked, ordered, verify, best = [], [], n.Search.verify, n.best
+    monkeypatch.setattr(n.Search, "verify", lambda self, rows, ri, *more: (looked.append(len(ri)), verify(self, rows, ri, *more))[1])
+    monkeypatch.setattr(n, "best", lambda slot, *more: (ordered.append(len(slot)), best(slot, *more))[1])
+    search = n.Search(rows.at(slice(0, 100)), axes, low, high, False, 10)
+    for at in range(0, 6000, 100):
+        search.add(rows.at(slice(at, at + 100)))
+    got = defaultdict(list)
+    for slot, score, i in zip(*search.found, strict=True):
+        got[slot].append((-score, i))
+    for a in range(100):
+        for band in range(5):
+            fit = [(-exact[a, i], i) for i in range(6000) if i % 7 != a % 7 and low[a, band] <= exact[a, i] <= high[a, band]]
+            assert got[5 * a + band] == sorted(fit)[:10]
+    assert sum(looked) < search.seen / 8
+    assert sum(ordered) < 30 * 100 * 5 * 10  # thirty times what the slots hold
+
+
 def test_query_equals_its_sql(spark, sf_dir):
     got = n.query(spark, sf_dir)
     con = duckdb.connect()
